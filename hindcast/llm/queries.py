@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .decontam import decontaminate
 from .linededup import line_dedup
 from .packing import pack
+from .secrets import scan_secrets
+from .warc import warc_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +25,25 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owner = F.col("source")  # a source's texts in one language stand for a repository
+    found = scan_secrets(table(spark, sf_dir, "documents"), owner=owner, repository=F.concat_ws("/", "source", "lang"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_opaque", "n_live", "n_shared")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -35,12 +54,56 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
+    "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
+    "op7_nearest": op7_nearest,
     "op8_line_dedup": op8_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
+
+def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    return f"""
+  SELECT doc_id, source, lang, '{kind}' AS kind, {number} AS no, v[i] AS value,
+         CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, source, lang, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v
+    FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)))
+  WHERE length(v[i]) >= {least}"""
+
+
+_ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLES: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+""",
+    "op4_secrets": f"""
+WITH base AS ({_spans_sql("assign", 0, _ASSIGN, 2, 8)} UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]+", 0, 16)} UNION ALL {_spans_sql("hex", 2, "[0-9a-f]+", 0, 32)}
+), opaque AS (
+  SELECT * FROM ({_spans_sql("opaque", 3, "[A-Za-z0-9+/_=-]+", 0, 20)}) o
+  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.s + o.n AND o.s < b.s + b.n)
+), each AS (
+  SELECT *, kind || ':' || s || ':' || (s + n) AS label FROM (FROM base UNION ALL FROM opaque)
+), held AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM each GROUP BY value
+), judged AS (SELECT each.*, owners <= 2 AS live FROM each JOIN held USING (value) WHERE no < 3 OR owners <= 2
+), per AS (
+  SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
+         string_agg(label, ',' ORDER BY s, no) FILTER (WHERE no < 3) AS base, string_agg(label, ',' ORDER BY s, no) AS spans,
+         count(*) FILTER (WHERE no = 3) AS n_opaque, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_shared
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_opaque, 0) AS n_opaque, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
+FROM documents LEFT JOIN per USING (doc_id)
+""",
     "op8_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, line, lower_az(line) AS key FROM (
