@@ -102,20 +102,23 @@ def compile_patterns(items: list[tuple[int, bytes]], window: int) -> list[Patter
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Find every occurrence of a benchmark window of ``window`` words in the documents.
 
     Returns (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits, items), a row for each
     row of ``docs``: ``hits`` lists [first word, last word + 1] of the merged hit stretches, ``items``
     the item ids found, sorted as strings. Words are runs of digits, a-z (A-Z lower-cased) and
     non-ASCII characters. An item of fewer words is one window; an item without words, and a null
-    text, has none. Items with a null id are not searched; repeated items count once.
+    text, has none. Items with a null id are not searched; repeated items count once. Of the other
+    columns of ``docs`` only those in ``keep`` are read; they are returned as they are.
 
     Plan: one narrow pass over the documents; nothing is shuffled. The benchmark is a stated query
     set: its size is counted first, and it is searched in blocks of at most ``block_words`` words,
     each a pass that adds its hits to those carried along.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
+    names, kinds = docs.columns[2:], "".join(f", {name} {kind}" for name, kind in docs.dtypes[2:])
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).filter("item is not null").distinct()
     # Every item has at most (bytes + 1) / 2 words, so blocks are cut by a bound that needs no tokenising.
     sizes = items.select(F.col("item"), (F.octet_length("text") / 2 + 1).cast("long").alias("w"))
@@ -123,21 +126,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_blocks = max(1, -(-int(total) // block_words))
     spark = docs.sparkSession
     out = docs.withColumns({"hits": F.array().cast("array<long>"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")})
-    schema = "doc_id long, hits array<long>, items array<string>, n_words long, n_hit long"
+    schema = "doc_id long, hits array<long>, items array<string>, n_words long, n_hit long" + kinds
     for block in range(n_blocks):
         own = items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
         rows = [(r.item, (r.text or "").encode()) for r in own.toLocalIterator()]
-        names = sorted({name for name, _ in rows})
-        number = {name: i for i, name in enumerate(names)}
-        shared = spark.sparkContext.broadcast((names, compile_patterns([(number[name], text) for name, text in rows], window)))
+        ids = sorted({name for name, _ in rows})
+        number = {name: i for i, name in enumerate(ids)}
+        shared = spark.sparkContext.broadcast((ids, compile_patterns([(number[name], text) for name, text in rows], window)))
         again = block < n_blocks - 1  # only then is the text needed once more
-        out = out.mapInArrow(_searcher(shared, again), schema + ", text string" * again)
+        out = out.mapInArrow(_searcher(shared, names + ["text"] * again), schema + ", text string" * again)
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "hits", "items"
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "hits", "items", *(F.col(n).alias(c) for n, c in zip(names, keep))
     )
 
 
-def _searcher(shared, keep_text: bool):
+def _searcher(shared, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, patterns = shared.value
         for batch in chunks(batches, "text"):
@@ -167,6 +170,6 @@ def _searcher(shared, keep_text: bool):
                     lists[i] = sorted(found[i] | set(lists[i]))
             columns = [batch.column("doc_id"), pa.array(hits, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string())), pa.array(np.diff(first)), pa.array(counts)]
             names_out = ["doc_id", "hits", "items", "n_words", "n_hit"]
-            yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * keep_text, names_out + ["text"] * keep_text)
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carried], names_out + carried)
 
     return run

@@ -29,19 +29,21 @@ def line_keys(text: bytes, least_chars: int) -> list[bytes | None]:
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key at least ``least_docs`` documents hold, except in the largest id holding it.
 
     Returns (doc_id, text, n_lines, n_dropped, kept_sha256), a row for each row of ``docs``; ``text``
     has the lines that stay, in order, joined by newlines. A null or empty text is one empty line.
     Documents are told apart by id: rows that repeat an id count once and lose the same keys. Rows
-    with a null id count for no key and keep all their lines. Other columns of ``docs`` are not read.
+    with a null id count for no key and keep all their lines. Of the other columns of ``docs`` only
+    those in ``keep`` are read; they are returned as they are.
 
     Plan: keys are exploded as 16-byte hashes, counted by a distinct aggregation that is combined
     before each shuffle, so a key that a third of the documents share stays cheap; only keys over
     the threshold are joined back (AQE splits a hot one), and texts move once, keyed by document.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -53,7 +55,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pair = np.frombuffer(b"".join(hashed), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["id", "k1", "k2"])
 
-    held = stage(docs.filter("doc_id is not null").mapInArrow(keys, "id long, k1 long, k2 long"), "line-keys")
+    held = stage(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(keys, "id long, k1 long, k2 long"), "line-keys")
     shared = (
         held.groupBy("k1", "k2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= least_docs).select("k1", "k2", "keeper")
     )
@@ -82,9 +84,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_dropped.append(len(lines) - len(stay))
                 digest.append(sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(digest, pa.string())],
-                ["doc_id", "text", "n_lines", "n_dropped", "kept_sha256"],
+                [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(digest, pa.string())] + [batch.column(c) for c in kept_names],
+                ["doc_id", "text", "n_lines", "n_dropped", "kept_sha256"] + kept_names,
             )
 
-    joined = docs.join(drops, docs.doc_id == drops.id, "left").select("doc_id", "text", "d1", "d2")
-    return joined.mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string")
+    kept_names = docs.columns[2:]
+    joined = docs.join(drops, docs.doc_id == drops.id, "left").select("doc_id", "text", "d1", "d2", *kept_names)
+    schema = "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string" + "".join(f", {name} {kind}" for name, kind in docs.dtypes[2:])
+    return joined.mapInArrow(rebuild, schema).withColumnsRenamed(dict(zip(kept_names, keep)))

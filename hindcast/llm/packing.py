@@ -22,50 +22,67 @@ class WordEncoder:
 
     The tokenizer's normaliser and its split pattern treat ASCII white space as a boundary that no
     token, composition or added token crosses, so the ids of a text are those of its words in turn.
+    Likewise a run of letters and a full stop or comma after it are tokens of their own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, np.ndarray] = {}
+        #: Little-endian 32-bit ids by word, and by lower-cased run of letters.
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.stops = {stop: self._ids(stop) for stop in (".", ",")}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Encode words that are not in the cache; runs of letters go many to a call."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        plain, other = [], []
+        if len(self.words) + len(words) > CACHE_WORDS:
+            self.words.clear()
+            self.letters.clear()
+        simple, other = [], []
         for word in words:
             text = word.decode("utf-8", "replace")
-            (plain if text.isascii() and text.isalpha() else other).append((word, text))
-        # A run of ASCII letters is one pre-token; its last id, and no other, ends a word.
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, np.uint32)
-            cut = np.split(ids, np.flatnonzero(self.ends_word[ids])[:-1] + 1)
-            if len(cut) == len(part):
-                self.cache.update((word, own) for (word, _), own in zip(part, cut))
+            stop = text[-1] if text[-1] in self.stops else ""
+            run = text[:-1].lower() if stop else text.lower()
+            # Letters below U+0250 stay single letters under NFC and lower-casing, but for one.
+            if run.isalpha() and (run.isascii() or max(run) < "\u0250" and "\u0130" not in text):
+                simple.append((word, run, stop))
+            else:
+                other.append((word, text))
+        new = list({run for _, run, _ in simple if run not in self.letters})
+        for i in range(0, len(new), 4000):
+            part = new[i : i + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1  # the last id of a run of letters, and no other, ends a word
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.letters.update((run, raw[a:b]) for run, a, b in zip(part, at, at[1:]))
             else:
-                other += part
+                self.letters.update((run, self._ids(run)) for run in part)
+        for word, run, stop in simple:
+            self.words[word] = self.letters[run] + self.stops[stop] if stop else self.letters[run]
         for i in range(0, len(other), 4000):
             part = other[i : i + 4000]
             for (word, _), own in zip(part, self.tokenizer.encode_batch([t for _, t in part], add_special_tokens=False)):
-                self.cache[word] = np.array(own.ids, np.uint32)
+                self.words[word] = np.array(own.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         split = [text.split() for text in texts]
         wanted = set().union(*split)
-        missing = wanted.difference(self.cache)
+        missing = wanted.difference(self.words)
         if missing:
             self.learn(missing)
-            if len(self.cache) < len(wanted):  # it was cleared
-                self.learn(wanted.difference(self.cache))
-        find = self.cache.__getitem__
+            if len(missing) < len(wanted):  # the cache may have been cleared
+                self.learn(wanted.difference(self.words))
+        find = self.words.__getitem__
         for words in split:
-            yield np.concatenate(list(map(find, words))) if words else np.zeros(0, np.uint32)
+            yield np.frombuffer(b"".join(map(find, words)), "<u4")
 
 
 _encoders: dict[str, WordEncoder] = {}

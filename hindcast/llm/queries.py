@@ -13,6 +13,7 @@ from .linededup import line_dedup
 from .ngramjoin import ngram_groups
 from .packing import pack
 from .secrets import scan_secrets
+from .toxicity import score_toxicity
 from .warc import warc_round_trip
 
 
@@ -41,6 +42,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0)
 
@@ -58,14 +63,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_nearest": op7_nearest,
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
 }
 
 
