@@ -47,11 +47,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
+    """Delete the files of a staged table that no later plan reads.
+
+    The shuffle files of plans that made it go when the JVM collects them, so that is asked for.
+    """
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

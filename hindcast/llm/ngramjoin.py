@@ -17,12 +17,17 @@ from .words import LOWER, NOT_SPACE, U64, hashes, mix, shingles, spans
 FREQUENCY_BITS, FILTER_BITS = 22, 24
 #: A task counts n-grams in runs of about this many; those seen once in a run aren't passed on.
 RUN = 2_000_000
-#: Prefixes are lengthened by up to this many n-grams less one.
-MOST_MATCHES = 4
-#: An n-gram estimated in at least this many documents is paired by pre-aggregation alone.
+#: A candidate shares at most this many prefix n-grams of demand; prefixes grow by one less.
+MOST_MATCHES = 8
+#: Partners that an n-gram is expected to bring by chance, though none were counted, and the cost of
+#: verifying a candidate in postings.
+CHANCE, VERIFY_COST = 0.25, 32
+#: An n-gram estimated in at least 2 ** HEAVY_LOG documents is never gathered in one place.
 HEAVY_LOG = 10
-#: Rounds of pairing with one leader a bucket before all remaining pairs of a bucket are made.
-LEADER_ROUNDS = 6
+#: Buckets of at most this many sets make all their pairs at once; larger ones pair with leaders.
+SMALL_BUCKET = 8
+#: Rounds of pairing with one leader a bucket before a large bucket's remaining pairs are made.
+LEADER_ROUNDS = 3
 
 _K = U64(0xD6E8FEB86659FD93)
 
@@ -78,39 +83,41 @@ def prefix_of(own: np.ndarray, log_count: np.ndarray, parts: int, of: int) -> tu
     """The n-grams to index a set by, rarest first, and how many of them a partner has to share.
 
     With the shortest prefix, n - ceil(t n) + 1, one shared n-gram makes a candidate; each further
-    n-gram lets the demand rise by one. Of sum(counts) partners that share something at most
-    sum(counts) / m share m, which weighed against the length picks m.
+    n-gram lets the demand rise by one. Of the partners that the prefix's n-grams bring in all, at
+    most one in m shares m; the cost of verifying those, weighed against the length, picks m.
     """
     n = len(own)
     order = np.argsort(log_count, kind="stable")  # own is sorted: ties go by hash, for all sets alike
     shortest = n - -(-parts * n // of) + 1
     most = min(MOST_MATCHES, n - shortest + 1)
-    cost = np.cumsum(np.exp2(log_count[order[: shortest + most - 1]].astype(np.float64)) - 1)
-    m = 1 + int(np.argmin([cost[shortest + j - 1] / (j + 1) + shortest + j for j in range(most)]))
+    brought = np.cumsum(np.maximum(np.exp2(log_count[order[: shortest + most - 1]].astype(np.float64)) - 1, CHANCE))
+    m = 1 + int(np.argmin([VERIFY_COST * brought[shortest + j - 1] / (j + 1) + j for j in range(most)]))
     return order[: shortest + m - 1], m
 
 
 def _postings(k: int, parts: int, of: int, frequency):
-    """Rows (h, c, n, m, heavy) of each set's prefix, once a task for equal sets."""
-    names = ["h", "c", "n", "m", "heavy"]
+    """Rows (h, c, nm, spread) of each set's prefix, once a task for equal sets.
+
+    nm packs the set's size and its demand; spread cuts a heavy n-gram's postings into parts.
+    """
+    names = ["h", "c", "nm", "spread"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequency.value
         met: set[int] = set()
         for batch in chunks(batches, "text"):
-            h, c, n, m, heavy = [], [], [], [], []
+            h, c, nm, spread = [], [], [], []
             for _, own, mark in _sets(batch, k):
                 if mark not in met:
                     met.add(mark)
                     log_count = table[(own >> U64(64 - FREQUENCY_BITS)).astype(np.int64)]
                     take, need = prefix_of(own, log_count, parts, of)
                     h.append(own[take].view(np.int64))
-                    heavy.append(log_count[take] >= HEAVY_LOG)
                     c.append(np.full(len(take), mark, np.int64))
-                    n.append(np.full(len(take), len(own), np.int32))
-                    m.append(np.full(len(take), need, np.int8))
+                    nm.append(np.full(len(take), len(own) << 8 | need, np.int64))
+                    spread.append(np.where(log_count[take] >= HEAVY_LOG, 1 + mark % 1000, 0).astype(np.int16))
             if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, c, n, m, heavy)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, c, nm, spread)], names)
 
     return run
 
@@ -136,7 +143,7 @@ def _members(k: int, wanted):
     return run
 
 
-def _frequency_table(counts: DataFrame, least: int = 8) -> np.ndarray:
+def _frequency_table(counts: DataFrame, least: int = 4) -> np.ndarray:
     """log2 of the largest count in each slot; one fixed-size array, whatever the corpus."""
     slot = F.shiftrightunsigned("h", 64 - FREQUENCY_BITS)
     most = counts.groupBy("h").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least).groupBy(slot.alias("slot")).agg(F.max("seen").alias("seen"))
@@ -146,23 +153,33 @@ def _frequency_table(counts: DataFrame, least: int = 8) -> np.ndarray:
     return table
 
 
-def _filter_bits(postings: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each fingerprint's low end."""
+def _filter_bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with a bit for the low end of each fingerprint c."""
     slot = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1) + 1  # Spark numbers the bits of its bitmaps from 1
-    maps = postings.select("c").distinct().groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     for row in maps.toLocalIterator():
         bits[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.bits, np.uint8)
     return bits
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, parts: int, of: int) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the similarity."""
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: int, of: int) -> DataFrame | None:
+    """Those of the staged pairs (a, b) whose sets reach the similarity; None if there are none.
+
+    The sets are made anew from the texts, for documents that a filter of fixed size lets through."""
+    if pairs.isEmpty():
+        return None
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(pairs.select(F.explode(F.array("a", "b")).alias("c"))))
+    made = docs.select("text").mapInArrow(_members(k, wanted), "c long, own array<long>")
+    sets = stage(made.groupBy("c").agg(F.any_value("own").alias("own")), "ngram-sets")
     left = pairs.select("a", "b").join(sets.select(F.col("c").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")), "b")
     shared = F.size(F.array_intersect("own_a", "own_b"))
     both = both.select("a", "b", shared.cast("long").alias("i"), (F.size("own_a") + F.size("own_b")).cast("long").alias("s"))
-    return both.filter(of * F.col("i") >= parts * (F.col("s") - F.col("i"))).select("a", "b")
+    found = stage(both.filter(of * F.col("i") >= parts * (F.col("s") - F.col("i"))).select("a", "b"), "ngram-links")
+    unstage(sets)
+    wanted.destroy()
+    return None if found.isEmpty() else found
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, parts: int = 80, of: int = 100) -> DataFrame:
@@ -177,15 +194,16 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a class with other classes. Links that a group's connectedness makes needless are not verified.
     Extra columns are not read. Sets are compared by 64-bit hashes of their n-grams.
 
-    How it scales: texts are read three times and never shuffled.
+    How it scales: texts are read again for each step and never shuffled.
     1. Sets are hashed; n-grams that repeat within a task are counted over all documents into a
        frequency table of fixed size, which orders every set rarest first.
-    2. Each class posts its adaptive prefix. N-grams with one holder go at once. The others form
-       buckets; for rare n-grams a window finds them, heavy ones are aggregated before the shuffle.
-    3. In each round the members of a bucket are paired with one leader of another component, the
-       pairs verified and the components merged: linear in the postings, however large a group of
-       near copies is. Only buckets that still hold several components then make all pairs across
-       components, and those that share enough prefix n-grams are verified, so no link is lost.
+    2. Each class posts its adaptive prefix. N-grams with one holder go at once; the others form
+       buckets. Postings of heavy n-grams are spread, so no task gathers them.
+    3. Small buckets make all their pairs. In large ones the members are paired with one leader of
+       another component, the pairs verified and the components merged, for some rounds: linear in
+       the postings, however large a group of near copies is. Only large buckets that still hold
+       several components then make all pairs across components, so no link is lost.
+    Only pairs that share as many prefix n-grams as their prefixes demand are verified.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -193,44 +211,62 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts, known = read.filter("h is not null").select("h", "seen"), read.filter("h is null").select("doc_id", "n", "c")
     frequency = spark.sparkContext.broadcast(_frequency_table(counts))
 
-    posted = docs.select("text").mapInArrow(_postings(k, parts, of, frequency), "h long, c long, n int, m byte, heavy boolean")
-    posted = stage(posted, "ngram-postings")
-    bucket = Window.partitionBy("h")
-    rare = posted.filter("not heavy").select("h", "c", "n", "m").withColumn("low", F.min("c").over(bucket)).withColumn("high", F.max("c").over(bucket)).filter("low < high")
-    heavy = posted.filter("heavy").select("h", "c", "n", "m").distinct()
+    posted = docs.select("text").mapInArrow(_postings(k, parts, of, frequency), "h long, c long, nm long, spread short")
+    bucket = Window.partitionBy("h", "spread")
+    posted = posted.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket)}).filter("spread > 0 or low < high")
     # Equal sets were posted once a task: one of each stays.
-    rare = rare.drop("low", "high").distinct()
-    postings = stage(rare.unionByName(heavy), "ngram-buckets")
+    posted = stage(posted.select("h", "spread", "c", "nm").distinct(), "ngram-postings")
+    sized = posted.withColumn("held", F.count("*").over(bucket)).withColumn("large", (F.col("spread") > 0) | (F.col("held") > SMALL_BUCKET))
+    parted = stage(sized.select("h", "c", F.shiftright("nm", 8).alias("n"), F.col("nm").bitwiseAND(255).alias("m"), "large"), "ngram-buckets")
     unstage(posted)
-    wanted = spark.sparkContext.broadcast(_filter_bits(postings))
-    sets = docs.select("text").mapInArrow(_members(k, wanted), "c long, own array<long>")
-    sets = stage(sets.groupBy("c").agg(F.any_value("own").alias("own")), "ngram-sets")
-
-    links, component = None, None
+    small, large = parted.filter("not large").drop("large"), parted.filter("large").drop("large")
     similar_size = lambda n, o: (of * F.least(n, o) >= parts * F.greatest(n, o))
-    for round_no in range(LEADER_ROUNDS):
-        live = postings.withColumn("comp", F.col("c"))
+    # Each side counts its own buckets alone, so its demand falls by what the other side could add.
+    n_small, n_large = (df.groupBy("c").agg(F.count("*").alias("g")) for df in (small, large))
+    lowered = lambda df, g: df.join(g, "c", "left").withColumn("m", F.col("m") - F.coalesce("g", F.lit(0))).drop("g")
+    small, large = stage(lowered(small, n_large), "ngram-small"), stage(lowered(large, n_small), "ngram-large")
+    unstage(parted)
+
+    def paired(one: DataFrame, two: DataFrame, which, slack: int = 1) -> DataFrame:
+        """Pairs (a, b) that share enough n-grams; ``two`` has the names of ``one`` with a 2."""
+        met = one.join(two, "h").filter((of * F.least("n", "n2") >= parts * F.greatest("n", "n2")) & which)
+        counted = met.groupBy(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).agg(F.count("*").alias("shared"), F.least(F.min("m"), F.min("m2")).alias("need"))
+        return counted.filter(F.col("shared") * slack >= F.col("need")).select("a", "b")
+
+    other = lambda df: df.select("h", *(F.col(x).alias(f"{x}2") for x in df.columns if x != "h"))
+    before, apart = F.col("c") < F.col("c2"), F.col("comp") != F.col("comp2")
+    links = component = tried = None
+    round_no, last = 0, False
+    while True:
+        live = large.withColumn("comp", F.col("c"))
         if component is not None:
-            live = postings.join(component, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        lead = F.min(F.struct(F.xxhash64("comp", F.lit(round_no)).alias("x"), F.xxhash64("c", F.lit(round_no)).alias("y"), "c", "n", "m", "comp"))
-        leaders = live.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), lead.alias("l")).filter("low < high").select("h", F.col("l.c").alias("lc"), F.col("l.n").alias("ln"), F.col("l.m").alias("lm"), F.col("l.comp").alias("lcomp"))
-        leaders = stage(leaders, "ngram-leaders")
-        live = stage(live.join(leaders, "h"), "ngram-live")
-        if live.isEmpty():
-            break
-        pairs = live.filter(F.col("comp") != F.col("lcomp")).filter(similar_size(F.col("n"), F.col("ln"))).groupBy(F.least("c", "lc").alias("a"), F.greatest("c", "lc").alias("b")).agg(F.count("*").alias("shared"), F.least(F.first("m"), F.first("lm")).alias("need"))
-        found = stage(_verified(pairs.filter("shared >= need"), sets, parts, of), "ngram-links")
-        if found.isEmpty():
+            live = large.join(component, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        order = F.struct(F.xxhash64("comp", F.lit(round_no)).alias("x"), F.xxhash64("c", F.lit(round_no)).alias("y"), "c", "n", "m", "comp")
+        mixed = live.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order).alias("l")).filter("low < high")
+        leaders = stage(mixed.select("h", *(F.col(f"l.{x}").alias(f"{x}2") for x in ("c", "n", "m", "comp"))), "ngram-leaders")
+        if round_no and leaders.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(links, "c", "comp")
-    if not live.isEmpty():
-        one, two = live.select("h", "c", "n", "m", "comp"), live.select("h", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("comp").alias("comp2"))
-        pairs = one.join(two, "h").filter((F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & similar_size(F.col("n"), F.col("n2"))).groupBy(F.col("c").alias("a"), F.col("c2").alias("b")).agg(F.count("*").alias("shared"), F.least(F.first("m"), F.first("m2")).alias("need"))
-        found = stage(_verified(pairs.filter("shared >= need"), sets, parts, of), "ngram-links")
-        if not found.isEmpty():
+        if last:
+            live = stage(live.join(leaders.select("h"), "h", "left_semi"), "ngram-live")
+            pairs = paired(live, other(live), before & apart)
+        else:
+            # A leader shares with a member in the buckets that it leads, which need not be all.
+            pairs = paired(live, leaders, apart, slack=2)
+        if round_no == 0:
+            pairs = pairs.unionByName(paired(small, other(small), before)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "ngram-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = _verified(docs, pairs, k, parts, of)
+        if found is not None:
             links = found if links is None else links.unionByName(found)
             component = connected_components(links, "c", "comp")
+        unstage(leaders)
+        if last:
+            break
+        round_no += 1
+        last = found is None or round_no == LEADER_ROUNDS
 
     classes = known.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     if component is None:
