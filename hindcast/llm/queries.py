@@ -12,7 +12,9 @@ from .decontam import decontaminate
 from .linededup import line_dedup
 from .ngramjoin import ngram_groups
 from .packing import pack
+from .pii import replace_pii
 from .secrets import scan_secrets
+from .token_edits import count_after_edits
 from .toxicity import score_toxicity
 from .warc import warc_round_trip
 
@@ -27,6 +29,26 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"), key=b"a key for these synthetic tables")
+
+
+def op2_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight edits for each document, at places that a hash of its id picks: words come, go and change."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = lambda i, j, most: F.pmod(F.xxhash64("doc_id", F.lit(i), F.lit(j)), most)
+    texts = F.array(*map(F.lit, ("", " ", "x", "the edit", "\n\n", "  '", "2024-01-31, ", "Straße ", "don't ", "of a longer passage that replaces another one. ")))
+    edits = F.array(
+        *(
+            F.struct(drawn(i, 0, F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1).alias("start"), drawn(i, 1, F.lit(30).cast("long")).alias("length"), F.element_at(texts, (drawn(i, 2, F.lit(10).cast("long")) + 1).cast("int")).alias("replacement"))
+            for i in range(8)
+        )
+    )
+    return count_after_edits(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc_round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -70,6 +92,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_token_edits": op2_token_edits,
     "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
