@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 #: Words whose ids a Python worker remembers between tasks; then it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 
 
 class WordEncoder:
@@ -48,14 +48,14 @@ class WordEncoder:
         simple, other = [], []
         for word in words:
             text = word.decode("utf-8", "replace")
-            stop = text[-1] if text[-1] in self.stops else ""
+            stop = text[-1] if text[-1] in ".," else ""
             run = text[:-1].lower() if stop else text.lower()
             # Letters below U+0250 stay single letters under NFC and lower-casing, but for one.
             if run.isalpha() and (run.isascii() or max(run) < "\u0250" and "\u0130" not in text):
                 simple.append((word, run, stop))
             else:
                 other.append((word, text))
-        new = list({run for _, run, _ in simple if run not in self.letters})
+        new = list({run for _, run, _ in simple}.difference(self.letters))
         for i in range(0, len(new), 4000):
             part = new[i : i + 4000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 16 << 20):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                 ids = np.append(ids, np.uint32(end_id))
