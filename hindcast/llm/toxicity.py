@@ -52,7 +52,7 @@ def words_of(data: np.ndarray, at: np.ndarray, sizes: Sizes) -> tuple[Vocabulary
     letters = np.full(edge[-1], 1, np.uint64)
     inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     letters[np.repeat(edge[:-1] + 1, length) + inner] = data[np.repeat(begin, length) + inner] + U64(2)
-    owner = np.repeat(np.arange(len(size)), size)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     grams, owners = [], []
     for n in (3, 4, 5):
         m = len(letters) - n + 1
@@ -61,9 +61,9 @@ def words_of(data: np.ndarray, at: np.ndarray, sizes: Sizes) -> tuple[Vocabulary
             for j in range(n):
                 total = total * U64(1_000_003) + letters[j : j + m]
             whole = owner[:m] == owner[n - 1 :]
-            grams.append((mix(total[whole] * U64(8) + U64(n)) % U64(sizes.gram_slots)).astype(np.int64))
+            grams.append((mix(total[whole] * U64(8) + U64(n)) % U64(sizes.gram_slots)).astype(np.int32))
             owners.append(owner[:m][whole])
-    grams, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, owners))
+    grams, owners = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (grams, owners))
     order = np.argsort(owners, kind="stable")
     first = np.r_[0, np.searchsorted(owners[order], np.arange(len(value) + 1))]
     slot = np.r_[0, 1 + (value % U64(sizes.word_slots - 1)).astype(np.int64)]
@@ -98,7 +98,7 @@ class Network:
         rng = np.random.default_rng(seed)
         self.sizes, d, h = sizes, sizes.word_dim + sizes.gram_dim, sizes.hidden
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.p = {"word": draw(sizes.word_slots, sizes.word_dim, scale=0.1), "gram": draw(sizes.gram_slots, sizes.gram_dim, scale=0.3)}
+        self.p = {"word": draw(sizes.word_slots, sizes.word_dim, scale=0.01), "gram": draw(sizes.gram_slots, sizes.gram_dim, scale=0.02)}
         for way in "fb":
             self.p |= {f"{way}_in": draw(d, 3 * h, scale=d**-0.5), f"{way}_bias": np.zeros(3 * h, np.float32), f"{way}_rec": draw(h, 3 * h, scale=h**-0.5)}
         self.p |= {"att": draw(2 * h, sizes.attention, scale=(2 * h) ** -0.5), "att_bias": np.zeros(sizes.attention, np.float32), "att_to": draw(sizes.attention, scale=1.0)}
@@ -219,12 +219,14 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.shift, -40, 40)))
 
 
-def fit(texts: list[str], toxic: list[int], share_toxic: float, epochs: int = 4, windows_a_text: int = 12, batch: int = 256, seed: int = 11) -> Scorer:
+def fit(texts: list[str], toxic: list[int], share_toxic: float, least_epochs: int = 4, least_steps: int = 250, windows_a_text: int = 12, batch: int = 256, seed: int = 11) -> Scorer:
     """Train on labelled texts; a fifth is held back to set the scale.
 
     Labels belong to texts, not windows: at first each of up to ``windows_a_text`` windows of a text
-    takes its label; after an epoch only the higher half of a toxic text's windows does. Losses are
+    takes its label; after each epoch only the higher half of what a toxic text has left does, down
+    to a quarter. Losses are
     weighted to balance the classes, and the scale to the share of toxic texts among all labels.
+    Few windows are gone through more often, up to ``least_steps`` steps.
     """
     rng, network = np.random.default_rng(seed), Network(Sizes(), seed)
     toxic = np.asarray(toxic, np.int64)
@@ -248,24 +250,26 @@ def fit(texts: list[str], toxic: list[int], share_toxic: float, epochs: int = 4,
     label = toxic[text].astype(np.float32)
     on = np.ones(len(rows), bool)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
-    step = 0
-    for epoch in range(epochs):
+    step, epochs = 0, max(least_epochs, -(-least_steps * batch // len(rows)))
+    for epoch in range(min(epochs, 40)):
         if epoch:
             embedded = network.embed(vocabulary)
             logit = np.concatenate([network.logits(embedded, rows[i : i + BATCH]) for i in range(0, len(rows), BATCH)])
             by = np.lexsort((-logit, text))
             place = np.empty(len(rows), np.int64)
             place[by] = np.arange(len(by)) - np.searchsorted(text[by], text[by])
-            on = (label == 0) | (place < -(-np.bincount(text)[text] // 2))
+            on = (label == 0) | (place < -(-np.bincount(text)[text] // 2 ** min(epoch, 2)))
         use = rng.permutation(np.flatnonzero(on))
         balance = np.where(label == 1, (label[use] == 0).sum() / max(1, (label[use] == 1).sum()), 1.0).astype(np.float32)
         for i in range(0, len(use), batch):
             pick = use[i : i + batch]
             own, numbers = _part(vocabulary, rows[pick])
-            keep = (rng.random(len(own.slot)) >= 0.4).astype(np.float32)  # so that n-grams learn too
+            keep = (rng.random(len(own.slot)) >= 0.7).astype(np.float32)  # so that n-grams learn too
             step += 1
-            rate = 0.01 * (1 - (epoch + i / len(use)) / epochs * 0.9)
+            rate = 0.01 * (1 - 0.9 * min(1.0, (epoch + i / len(use)) / epochs))
             for k, g in network.gradients(own, numbers, label[pick], balance[pick], keep).items():
+                if k in ("word", "gram"):  # what few texts show fades
+                    g = g + 3e-4 * network.p[k]
                 m, v = moment[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -291,7 +295,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 2000, most_chars: int = 20_000) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_clean: int = 1600, most_chars: int = 12_000) -> Scorer:
     """Fit on a bounded sample: at most ``most_toxic`` and ``most_clean`` labelled documents of at most
     ``most_chars`` characters, drawn by a hash of the id from rows that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
