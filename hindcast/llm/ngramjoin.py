@@ -98,7 +98,8 @@ def prefix_of(own: np.ndarray, log_count: np.ndarray, parts: int, of: int) -> tu
 def _postings(k: int, parts: int, of: int, frequency):
     """Rows (h, c, nm, spread) of each set's prefix, once a task for equal sets.
 
-    nm packs the set's size and its demand; spread cuts a heavy n-gram's postings into parts.
+    nm packs the set's size, the n-gram's place in the prefix (from 1) and the set's demand; spread
+    cuts a heavy n-gram's postings into parts.
     """
     names = ["h", "c", "nm", "spread"]
 
@@ -114,7 +115,7 @@ def _postings(k: int, parts: int, of: int, frequency):
                     take, need = prefix_of(own, log_count, parts, of)
                     h.append(own[take].view(np.int64))
                     c.append(np.full(len(take), mark, np.int64))
-                    nm.append(np.full(len(take), len(own) << 8 | need, np.int64))
+                    nm.append((len(own) << 32 | need) + (np.arange(1, len(take) + 1, dtype=np.int64) << 8))
                     spread.append(np.where(log_count[take] >= HEAVY_LOG, 1 + mark % 1000, 0).astype(np.int16))
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, c, nm, spread)], names)
@@ -215,35 +216,55 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bucket = Window.partitionBy("h", "spread")
     posted = posted.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket)}).filter("spread > 0 or low < high")
     # Equal sets were posted once a task: one of each stays.
-    posted = stage(posted.select("h", "spread", "c", "nm").distinct(), "ngram-postings")
-    sized = posted.withColumn("held", F.count("*").over(bucket)).withColumn("large", (F.col("spread") > 0) | (F.col("held") > SMALL_BUCKET))
-    parted = stage(sized.select("h", "c", F.shiftright("nm", 8).alias("n"), F.col("nm").bitwiseAND(255).alias("m"), "large"), "ngram-buckets")
-    unstage(posted)
+    raw = stage(posted.select("h", "spread", "c", "nm").distinct(), "ngram-postings")
+    posted = raw.select("h", "spread", "c", F.shiftright("nm", 32).alias("n"), F.shiftright("nm", 8).bitwiseAND((1 << 24) - 1).alias("at"), F.col("nm").bitwiseAND(255).alias("m"))
+    held = stage(posted.groupBy("h").agg(F.count("*").alias("held"), F.min("m").alias("low")), "ngram-held")
+    # How far a set can reach: of its n-grams up to place ``at`` only those that others hold are shared,
+    # and a partner shares at least the lowest demand among its buckets. That bounds any overlap, and
+    # an overlap bounds the size of the partner.
+    own = Window.partitionBy("c")
+    turned = posted.join(held, "h").withColumns({"turn": F.row_number().over(own.orderBy("at", "h")), "low": F.min("low").over(own)})
+    most = F.max(F.when(F.col("turn") >= F.col("low"), F.col("turn") + F.col("n") - F.col("at"))).over(own)
+    reach = F.floor(most * (of + parts) / parts).cast("long") - F.col("n")
+    sized = turned.withColumn("reach", reach).filter(of * F.col("reach") >= parts * F.col("n"))
+    sized = sized.withColumn("large", (F.col("spread") > 0) | (F.col("held") > SMALL_BUCKET))
+    parted = stage(sized.select("h", "c", "n", "at", "m", "reach", "large"), "ngram-buckets")
+    unstage(held)
+    unstage(raw)
     small, large = parted.filter("not large").drop("large"), parted.filter("large").drop("large")
-    similar_size = lambda n, o: (of * F.least(n, o) >= parts * F.greatest(n, o))
     # Each side counts its own buckets alone, so its demand falls by what the other side could add.
     n_small, n_large = (df.groupBy("c").agg(F.count("*").alias("g")) for df in (small, large))
-    lowered = lambda df, g: df.join(g, "c", "left").withColumn("m", F.col("m") - F.coalesce("g", F.lit(0))).drop("g")
+    lowered = lambda df, g: df.join(g, "c", "left").withColumn("g", F.coalesce("g", F.lit(0))).withColumn("m", F.col("m") - F.col("g"))
     small, large = stage(lowered(small, n_large), "ngram-small"), stage(lowered(large, n_small), "ngram-large")
     unstage(parted)
 
     def paired(one: DataFrame, two: DataFrame, which, slack: int = 1) -> DataFrame:
         """Pairs (a, b) that share enough n-grams; ``two`` has the names of ``one`` with a 2."""
-        met = one.join(two, "h").filter((of * F.least("n", "n2") >= parts * F.greatest("n", "n2")) & which)
-        counted = met.groupBy(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).agg(F.count("*").alias("shared"), F.least(F.min("m"), F.min("m2")).alias("need"))
-        return counted.filter(F.col("shared") * slack >= F.col("need")).select("a", "b")
+        met = one.join(two, "h").filter((of * F.least("n", "n2") >= parts * F.greatest("n", "n2")) & (F.col("n2") <= F.col("reach")) & (F.col("n") <= F.col("reach2")) & which)
+        # What lies behind the last shared n-gram may all be shared, and so may the other side's buckets.
+        rest = F.least(F.min(F.col("n") - F.col("at")), F.min(F.col("n2") - F.col("at2"))) + F.least(F.min("g"), F.min("g2"))
+        counted = met.groupBy(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).agg(
+            F.count("*").alias("shared"), F.least(F.min("m"), F.min("m2")).alias("need"), rest.alias("rest"), F.min(F.col("n") + F.col("n2")).alias("size")
+        )
+        enough = F.col("shared") * slack >= F.col("need")
+        if slack == 1:
+            enough &= (of + parts) * (F.col("shared") + F.col("rest")) >= parts * F.col("size")
+        return counted.filter(enough).select("a", "b")
 
     other = lambda df: df.select("h", *(F.col(x).alias(f"{x}2") for x in df.columns if x != "h"))
     before, apart = F.col("c") < F.col("c2"), F.col("comp") != F.col("comp2")
+    fields = ("c", "n", "at", "m", "reach", "g", "comp")
     links = component = tried = None
     round_no, last = 0, False
     while True:
         live = large.withColumn("comp", F.col("c"))
         if component is not None:
             live = large.join(component, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        order = F.struct(F.xxhash64("comp", F.lit(round_no)).alias("x"), F.xxhash64("c", F.lit(round_no)).alias("y"), "c", "n", "m", "comp")
+        # First the member that reaches furthest leads: the one with the fewest n-grams of its own.
+        first = -F.col("reach") if round_no == 0 else F.xxhash64("comp", F.lit(round_no))
+        order = F.struct(first.alias("x"), F.xxhash64("c", F.lit(round_no)).alias("y"), *fields)
         mixed = live.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order).alias("l")).filter("low < high")
-        leaders = stage(mixed.select("h", *(F.col(f"l.{x}").alias(f"{x}2") for x in ("c", "n", "m", "comp"))), "ngram-leaders")
+        leaders = stage(mixed.select("h", *(F.col(f"l.{x}").alias(f"{x}2") for x in fields)), "ngram-leaders")
         if round_no and leaders.isEmpty():
             break
         if last:
