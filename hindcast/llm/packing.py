@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks
 
-#: Words whose ids a Python worker remembers between tasks; then it starts anew.
-CACHE_WORDS = 1_500_000
+#: Words whose ids a Python worker remembers between slices; beyond that it starts anew.
+CACHE_WORDS = 400_000
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 32 << 20
 
 
 class WordEncoder:
@@ -29,9 +31,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Little-endian 32-bit ids by word, and by lower-cased run of letters.
+        #: Little-endian 32-bit ids of words that two slices running had, and of those new in the last one.
         self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.fresh: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -40,12 +42,9 @@ class WordEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not in the cache; runs of letters go many to a call."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-            self.letters.clear()
-        simple, other = [], []
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't remembered; runs of letters go many to a call."""
+        simple, other, found = [], [], {}
         for word in words:
             text = word.decode("utf-8", "replace")
             stop = text[-1] if text[-1] in ".," else ""
@@ -55,34 +54,35 @@ class WordEncoder:
                 simple.append((word, run, stop))
             else:
                 other.append((word, text))
-        new = list({run for _, run, _ in simple}.difference(self.letters))
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
+        runs, letters = list({run for _, run, _ in simple}), {}
+        for i in range(0, len(runs), 4000):
+            part = runs[i : i + 4000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1  # the last id of a run of letters, and no other, ends a word
             if len(ends) == len(part):
                 raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.letters.update((run, raw[a:b]) for run, a, b in zip(part, at, at[1:]))
+                letters.update((run, raw[a:b]) for run, a, b in zip(part, at, at[1:]))
             else:
-                self.letters.update((run, self._ids(run)) for run in part)
+                letters.update((run, self._ids(run)) for run in part)
         for word, run, stop in simple:
-            self.words[word] = self.letters[run] + self.stops[stop] if stop else self.letters[run]
+            found[word] = letters[run] + self.stops[stop] if stop else letters[run]
         for i in range(0, len(other), 4000):
             part = other[i : i + 4000]
             for (word, _), own in zip(part, self.tokenizer.encode_batch([t for _, t in part], add_special_tokens=False)):
-                self.words[word] = np.array(own.ids, "<u4").tobytes()
+                found[word] = np.array(own.ids, "<u4").tobytes()
+        return found
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         split = [text.split() for text in texts]
         wanted = set().union(*split)
-        missing = wanted.difference(self.words)
-        if missing:
-            self.learn(missing)
-            if len(missing) < len(wanted):  # the cache may have been cleared
-                self.learn(wanted.difference(self.words))
-        find = self.words.__getitem__
+        again = wanted.intersection(self.fresh)
+        if len(self.words) + len(again) > CACHE_WORDS:
+            self.words.clear()
+        self.words.update((word, self.fresh[word]) for word in again)
+        self.fresh = self.learn(wanted.difference(self.words))
+        every = self.words | self.fresh
         for words in split:
-            yield np.frombuffer(b"".join(map(find, words)), "<u4")
+            yield np.frombuffer(b"".join(map(every.__getitem__, words)), "<u4")
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in chunks(batches, "text", 16 << 20):
+        for batch in chunks(batches, "text", SLICE_BYTES):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                 ids = np.append(ids, np.uint32(end_id))
@@ -184,6 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield flush()
 
         left = state.rest()
+        encoder(tokenizer_path).fresh = {}  # a worker that waits for other tasks holds little
         remaining = sum(len(ids) for _, _, ids, _ in left)
         sequence: list[tuple] = []
         room = _next_length(remaining, window)
