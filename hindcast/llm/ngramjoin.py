@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, stage, text_buffers, unstage
-from .graph import connected_components
+from .graph import connected_components, contract, forest, labels
 from .words import LOWER, NOT_SPACE, U64, hashes, mix, shingles, spans
 
 #: Slots (a power of two) of the table of estimated frequencies, and of the filter of candidates' sets.
@@ -27,7 +27,7 @@ HEAVY_LOG = 10
 #: Buckets of at most this many sets make all their pairs at once; larger ones pair with leaders.
 SMALL_BUCKET = 8
 #: Rounds of pairing with one leader a bucket before a large bucket's remaining pairs are made.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 
 _K = U64(0xD6E8FEB86659FD93)
 
@@ -155,31 +155,32 @@ def _frequency_table(counts: DataFrame, least: int = 4) -> np.ndarray:
 
 
 def _filter_bits(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for the low end of each fingerprint c."""
+    """A bitmap of fixed size (2 ** FILTER_BITS) with a bit for the low end of each fingerprint c."""
     slot = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1) + 1  # Spark numbers the bits of its bitmaps from 1
     maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for row in maps.toLocalIterator():
-        bits[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.bits, np.uint8)
+    for row in maps.toArrow().to_pylist():
+        bits[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, parts: int, of: int) -> DataFrame | None:
-    """Those of the staged pairs (a, b) whose sets reach the similarity; None if there are none.
-
-    The sets are made anew from the texts, for documents that a filter of fixed size lets through."""
-    if pairs.isEmpty():
-        return None
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(pairs.select(F.explode(F.array("a", "b")).alias("c"))))
+def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(c, own): the sets of the candidates (c), staged; made anew from the texts in one pass, for
+    documents that a filter of fixed size lets through."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(candidates))
     made = docs.select("text").mapInArrow(_members(k, wanted), "c long, own array<long>")
     sets = stage(made.groupBy("c").agg(F.any_value("own").alias("own")), "ngram-sets")
+    wanted.destroy()
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, parts: int, of: int) -> DataFrame | None:
+    """Those of the staged pairs (a, b) whose sets reach the similarity; None if there are none."""
     left = pairs.select("a", "b").join(sets.select(F.col("c").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")), "b")
     shared = F.size(F.array_intersect("own_a", "own_b"))
     both = both.select("a", "b", shared.cast("long").alias("i"), (F.size("own_a") + F.size("own_b")).cast("long").alias("s"))
     found = stage(both.filter(of * F.col("i") >= parts * (F.col("s") - F.col("i"))).select("a", "b"), "ngram-links")
-    unstage(sets)
-    wanted.destroy()
     return None if found.isEmpty() else found
 
 
@@ -254,7 +255,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other = lambda df: df.select("h", *(F.col(x).alias(f"{x}2") for x in df.columns if x != "h"))
     before, apart = F.col("c") < F.col("c2"), F.col("comp") != F.col("comp2")
     fields = ("c", "n", "at", "m", "reach", "g", "comp")
-    links = component = tried = None
+    links = component = tried = sets = trees = None
     round_no, last = 0, False
     while True:
         live = large.withColumn("comp", F.col("c"))
@@ -279,16 +280,25 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "ngram-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(docs, pairs, k, parts, of)
+        if sets is None:  # later rounds pair members of large buckets only
+            met = pairs.select(F.explode(F.array("a", "b")).alias("c"))
+            sets = _candidate_sets(docs, met.unionByName(large.select("c")), k)
+        found = _verified(pairs, sets, parts, of)
         if found is not None:
             links = found if links is None else links.unionByName(found)
-            component = connected_components(links, "c", "comp")
+            if not last:
+                # One step of contraction is enough to tell which pairs a link would be needless for.
+                grown = found if trees is None else found.unionByName(trees.select(F.col("u").alias("a"), F.col("v").alias("b")))
+                trees = contract(forest(grown))
+                component = labels(trees, "c", "comp")
         unstage(leaders)
         if last:
             break
         round_no += 1
         last = found is None or round_no == LEADER_ROUNDS
 
+    unstage(sets)
+    component = None if links is None else connected_components(links, "c", "comp")
     classes = known.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     if component is None:
         named = classes.filter("rows > 1").select("c", F.col("first").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
