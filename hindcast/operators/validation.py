@@ -33,8 +33,8 @@ def trailing_vol(grid: DataFrame, rows: int = 60, least: int = 20) -> DataFrame:
 
 def clustered(rows: DataFrame, keys: list[str], cluster: str, x: str) -> DataFrame:
     """Mean of x over rows, and its standard error over unweighted cluster means (null for one cluster)."""
-    per = rows.filter(F.col(x).isNotNull()).groupBy(*keys, cluster).agg(F.avg(x).alias("m"), F.sum(x).alias("s"), F.count("*").alias("k"))
-    return per.groupBy(*keys).agg(F.sum("k").alias("n"), (F.sum("s") / F.sum("k")).alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("clusters"))
+    per = rows.filter(F.col(x).isNotNull()).groupBy(*keys, cluster).agg(F.avg(x).alias("own_mean"), F.sum(x).alias("own_sum"), F.count("*").alias("own_rows"))
+    return per.groupBy(*keys).agg(F.sum("own_rows").alias("n"), (F.sum("own_sum") / F.sum("own_rows")).alias("mean"), (F.stddev_samp("own_mean") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("clusters"))
 
 
 def pit_deciles(rows: DataFrame) -> DataFrame:
@@ -74,10 +74,10 @@ def auc(rows: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:
 
     Equal scores are summed first, so the running count sees one row a distinct score.
     """
-    ties = rows.groupBy(*keys, p).agg(F.count("*").alias("k"), F.sum(F.col(y).cast("long")).alias("pos"))
+    ties = rows.groupBy(*keys, p).agg(F.count("*").alias("tied_rows"), F.sum(F.col(y).cast("long")).alias("pos"))
     w = Window.partitionBy(*keys).orderBy(p)
-    ranked = ties.withColumn("rank", F.sum("k").over(w) - (F.col("k") - 1) / 2)
-    total = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("n_pos"), (F.sum("k") - F.sum("pos")).alias("n_neg"))
+    ranked = ties.withColumn("rank", F.sum("tied_rows").over(w) - (F.col("tied_rows") - 1) / 2)
+    total = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("n_pos"), (F.sum("tied_rows") - F.sum("pos")).alias("n_neg"))
     a, b = F.col("n_pos"), F.col("n_neg")
     return total.select(*keys, "n_pos", "n_neg", F.when((a > 0) & (b > 0), (F.col("r") - a * (a + 1) / 2) / (a * b)).alias("auc"))
 
