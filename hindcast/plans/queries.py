@@ -93,6 +93,17 @@ def nearest_date_join(p: Panel) -> DataFrame:
     return panel.nearest_date(left, right)
 
 
+@query("""WITH x AS (SELECT DISTINCT entity, event_date AS d FROM entity_events), y AS (SELECT DISTINCT 'Brand#' || CAST(11 + o_custkey % 25 // 5 * 10 + o_custkey % 5 AS VARCHAR) AS entity, CAST(o_orderdate AS DATE) AS d FROM orders),
+m AS (SELECT x.entity, x.d, y.d AS nearest, abs(date_diff('day', x.d, y.d)) AS days FROM x LEFT JOIN y ON y.entity = x.entity)
+SELECT entity, CAST(d AS VARCHAR) AS d, CAST(arg_min(nearest, (days, nearest)) AS VARCHAR) AS nearest, min(days) AS days FROM m GROUP BY entity, d""")
+def nearest_date_all(p: Panel) -> DataFrame:
+    """All entities with all order dates: customers stand for the 25 brands in turn."""
+    k = F.col("o_custkey") % 25
+    brand = 11 + F.floor(k / 5) * 10 + k % 5
+    right = p.table("orders").select(F.concat(F.lit("Brand#"), brand.cast("string")).alias("entity"), F.col("o_orderdate").cast("date").alias("d"))
+    return panel.nearest_date(p.entity_events.select("entity", F.col("event_date").alias("d")), right)
+
+
 @query("""WITH RECURSIVE d AS (SELECT entity, session_date AS d, row_number() OVER (PARTITION BY entity ORDER BY session_date) AS rn FROM bars),
 k AS (SELECT entity, d, rn, d AS kept FROM d WHERE rn = 1 UNION ALL SELECT d.entity, d.d, d.rn, CASE WHEN date_diff('day', k.kept, d.d) > 20 THEN d.d ELSE k.kept END FROM k JOIN d ON d.entity = k.entity AND d.rn = k.rn + 1)
 SELECT entity, CAST(d AS VARCHAR) AS d FROM k WHERE d = kept""")
