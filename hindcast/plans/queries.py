@@ -158,11 +158,12 @@ for _name, _columns in {
     "dv20z": ["dv20z"],
     "market_features": ["mkt_ret20", "mkt_vol20", "mkt_dist52", "growth_rel20"],
     "macro_changes": ["vix_chg5", "usd_chg20", "oil_chg20", "btc_ret5", "btc_ret20"],
+    "macro_levels": ["vix", "slope", "d_rate90", "bei_chg20", "hy_chg20", "fng"],
     "event_columns": ["dte", "event_load5", "is_fomc_day"],
 }.items():
     feature_query(_name, _columns)
 for _name in list(ORACLES):
-    if _name in ("ret_k", "dist52", "vol20", "vol_ratio", "dd60", "rel_bench", "gap20", "dv20z", "market_features", "macro_changes", "event_columns"):
+    if _name in ("ret_k", "dist52", "vol20", "vol_ratio", "dd60", "rel_bench", "gap20", "dv20z", "market_features", "macro_changes", "macro_levels", "event_columns"):
         ORACLES[_name] = ORACLES[_name].replace(" AS DOUBLE), 6)", " AS DOUBLE), 5)")
 
 
@@ -181,6 +182,11 @@ def expanding_stats(p: Panel) -> DataFrame:
     return p.stats.filter(F.col("feature").isin(SCALE_FREE))
 
 
+@query(f"SELECT feature, session_idx, n, {r('mu', 'sd', digits=4)} FROM stats", 4)
+def expanding_stats_all(p: Panel) -> DataFrame:
+    return p.stats
+
+
 @query("SELECT entity, session_idx, feature, round(CAST(z AS DOUBLE), 3) + 0 AS z FROM z", 3)
 def zscore_clip(p: Panel) -> DataFrame:
     return p.z

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from hindcast.plans.tables import Panel
+from hindcast.schema import FEATURES
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -53,3 +54,12 @@ def test_path_fan_follows_the_chosen(spark, whole):
 
     rows, most = both(spark, "path_fan_chosen"), chosen(whole).count()
     assert {r.t for r in rows} == {1, 2, 3, 4, 5} and all(r.n <= most for r in rows)
+
+
+def test_statistics_have_all_features(spark):
+    assert {r.feature for r in both(spark, "expanding_stats_all")} == set(FEATURES)
+
+
+def test_every_feature_is_in_a_query(spark):
+    rows = both(spark, "macro_levels")
+    assert all(any(r[f] is not None for r in rows) for f in ("vix", "slope", "d_rate90", "bei_chg20", "hy_chg20", "fng"))
