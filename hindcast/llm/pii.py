@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from hashlib import blake2b
 from math import isqrt, prod
 
@@ -28,6 +28,10 @@ TITLES = {
     "f": "Mrs Ms Miss Madam Lady Frau Mme Madame Mlle Señora Sra Señorita Doña Госпожа Κυρία".split(),
     "?": "Dr Prof Professor Доктор".split(),
 }
+#: Endings of made names by script and the gender that a title states; no name above ends so.
+MARKS = {("latin", "f"): "etta", ("latin", "m"): "ardo", ("cyrillic", "f"): "илла", ("cyrillic", "m"): "слав", ("greek", "f"): "ούλα", ("greek", "m"): "άκης"}
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 VOWELS = "aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüаеёиоуыэюяαεηιουωάέήίόύώ"
 FIRST_OCTETS = [o for o in range(1, 224) if o not in (10, 100, 127, 169, 172, 192, 198, 203)]
 
@@ -139,30 +143,84 @@ def surrogate_card(key: bytes, value: str) -> str:
 
 
 def surrogate_number(key: bytes, value: str) -> str:
-    """Phone and identity numbers: separators, a leading + and its country code stay."""
+    """Identity numbers: separators stay."""
     digits = re.sub(r"\D", "", value)
-    code = re.match(r"\+(\d{1,3})\D", value)
-    fixed = len(code[1]) if code else 0
-    rest = digits[fixed:]
-    classes = ["23456789" if rest[0] > "1" else "01"] + ["0123456789"] * (len(rest) - 1)
+    classes = ["23456789" if digits[0] > "1" else "01"] + ["0123456789"] * (len(digits) - 1)
     # A number that isn't a card's is never turned into one.
-    card = len(digits) > 12
-    new = permute(key, f"number{digits[:fixed]}", rest, classes, lambda s: not card or luhn_digit((digits[:fixed] + s)[:-1]) != s[-1])
-    return _digits_into(value, digits[:fixed] + new)
+    return _digits_into(value, permute(key, "number", digits, classes, lambda s: not _is_card(s)))
+
+
+def _is_card(digits: str) -> bool:
+    return len(digits) > 12 and luhn_digit(digits[:-1]) == digits[-1]
+
+
+def _of_one(digits: str) -> bool:
+    """Whether ten digits are a number of country code 1."""
+    return len(digits) == 10 and digits[0] > "1" and digits[3] > "1"
+
+
+def phone_parts(value: str) -> tuple[str, str]:
+    """(country code, the rest) of a phone number, alike for all of its formats.
+
+    The code follows a +, with or without a separator. Without a + a number of code 1 is told by its
+    form, with or without the 1; any other has no code.
+    """
+    digits = re.sub(r"\D", "", value)
+    if value[0] == "+":
+        size = next((n for n in (1, 2) if digits[:n] in COUNTRY_CODES), 3)
+        return digits[:size], digits[size:]
+    if _of_one(digits) or digits[0] == "1" and _of_one(digits[1:]):
+        return "1", digits[-10:]
+    return "", digits
+
+
+def surrogate_phone(key: bytes, value: str) -> str:
+    """Separators and the country code stay; the rest is permuted by code, so formats share a surrogate."""
+    code, rest = phone_parts(value)
+    one = code == "1" and _of_one(rest)
+    classes = ["0123456789"] * len(rest)
+    classes[0] = "23456789" if rest[0] > "1" else "01"
+    if one:
+        classes[3] = "23456789"
+    # What isn't of code 1 is never turned into such a number, nor into a card's.
+    fits = lambda s: one or not (code == "1" and _of_one(s) or code == "" and phone_parts(s)[0]) and not _is_card(code + s)
+    new = permute(key, f"phone{code}", rest, classes, fits)
+    n = sum(c.isdigit() for c in value) - len(rest)
+    return _digits_into(value, re.sub(r"\D", "", value)[:n] + new)
+
+
+def _unmarked(low: str) -> tuple[str, list[str]]:
+    """A name without its marks, and those marks in order."""
+    marks: list[str] = []
+    while True:
+        mark = next((m for m in MARKS.values() if low.endswith(m) and len(low) > len(m) + 1), None)
+        if mark is None:
+            return low, marks[::-1]
+        low, marks = low[: -len(mark)], [*marks, mark]
 
 
 def surrogate_name(key: bytes, value: str, gender: str) -> str:
     """Given names on the lists change within their script and gender; any other name keeps the class
-    of each letter and its last letter, so that it stays pronounceable and keeps a gendered ending."""
+    of each letter and its last letter, so that it stays pronounceable and keeps a gendered ending.
+
+    Where a title states a ``gender`` that the lists don't give, the surrogate ends in that gender's
+    mark. A name that ends in marks itself gets one more, so that distinct names stay distinct.
+    """
     low = value.lower()
-    if low in GENDER_OF:
-        names = GIVEN[GENDER_OF[low]]
-        new = names[Cycle(key, f"given{GENDER_OF[low]}", len(names))([n.lower() for n in names].index(low))].lower()
+    own, marks = _unmarked(low)
+    if own in GENDER_OF:
+        names = GIVEN[GENDER_OF[own]]
+        new = names[Cycle(key, f"given{GENDER_OF[own]}", len(names))([n.lower() for n in names].index(own))].lower()
     else:
-        classes = [_CLASS_OF.get(c, c) for c in low[:-1]] + [low[-1]]
-        if prod(map(len, classes)) < 2:
-            return value
-        new = permute(key, "name", low, classes, lambda s: s not in GENDER_OF)
+        classes = [_CLASS_OF.get(c, c) for c in own[:-1]] + [own[-1]]
+        new = own
+        if prod(map(len, classes)) > 1:
+            new = permute(key, "name", own, classes, lambda s: s not in GENDER_OF and not _unmarked(s)[1])
+    if gender in ("f", "m") and GENDER_OF.get(low, ("", ""))[1] != gender:
+        script = "cyrillic" if re.search("[а-яё]", low) else "greek" if re.search("[α-ωάέήίόύώ]", low) else "latin"
+        new += "".join(marks) + MARKS[script, gender]
+    elif marks:
+        new += "".join(marks) + marks[-1]
     if value.isupper() and len(value) > 1:
         return new.upper()
     return new[:1].upper() + new[1:] if value[:1].isupper() else new
@@ -188,11 +246,17 @@ _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
 _WORD = rf"[{_UPPER}][\w'’-]*\w"
 _TITLED = re.compile(rf"\b({'|'.join(t for titles in TITLES.values() for t in titles)})\b\.?[ \t]+({_WORD}(?:[ \t]+{_WORD}){{0,2}})")
 _NAMED = re.compile(rf"\b({'|'.join(n for names in GIVEN.values() for n in names)})[ \t]+({_WORD})")
+_CAPITAL = re.compile(rf"\b[{_UPPER}][\w'’-]*")
+_SEGMENT = re.compile(r"[^'’-]+")
 _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 
 
 def find_entities(text: str) -> list[Entity]:
-    """Non-overlapping entities in order: addresses first, then cards, phones and identity numbers, names."""
+    """Non-overlapping entities in order: addresses first, then cards, phones and identity numbers, names.
+
+    A name's gender is the one that a title states: of the given names behind it, and of the same
+    names without a title, by the last title before them or else the first.
+    """
     found: list[Entity] = []
     at = text.find("@")
     while at >= 0:
@@ -209,21 +273,55 @@ def find_entities(text: str) -> list[Entity]:
             found.append(Entity(m.start(), m.end(), "identity"))
         elif 9 <= len(digits) <= 15 and (form[0] in "+(" or re.search(r"[ .-]", form)) and len(digits) >= 0.6 * len(form):
             found.append(Entity(m.start(), m.end(), "phone"))
+    stated: dict[str, list[tuple[int, str]]] = {}
     for m in _TITLED.finditer(text):
-        gender = _TITLE_GENDER[m[1]]
-        found += [Entity(m.start(2) + w.start(), m.start(2) + w.end(), "name", gender) for w in re.finditer(r"\S+", m[2])]
+        gender, words = _TITLE_GENDER[m[1]], list(re.finditer(r"\S+", m[2]))
+        for i, w in enumerate(words):
+            start = m.start(2) + w.start()
+            name = re.sub(r"['’]s\Z", "", w[0])
+            given = i < len(words) - 1 and gender != "?"
+            if given:
+                stated.setdefault(name.lower(), []).append((start, gender))
+            found.append(Entity(start, start + len(name), "name", gender if given else ""))
     for m in _NAMED.finditer(text):
-        gender = GENDER_OF[m[1].lower()][1]
-        found += [Entity(m.start(i), m.end(i), "name", gender) for i in (1, 2)]
+        found += [Entity(m.start(i), m.start(i) + len(re.sub(r"['’]s\Z", "", m[i])), "name") for i in (1, 2)]
     kept, end = [], 0
     for e in sorted(found, key=lambda e: (e.start, -e.end, e.kind)):
         if e.start >= end:
             kept.append(e)
             end = e.end
+    if stated:
+        kept = [replace(e, gender=_gender_at(stated.get(text[e.start : e.end].lower()), e.start)) if e.kind == "name" and not e.gender else e for e in kept]
     return kept
 
 
-SURROGATES = {"email": surrogate_email, "ip": surrogate_ip, "card": surrogate_card, "identity": surrogate_number, "phone": surrogate_number}
+def _gender_at(stated: list[tuple[int, str]] | None, at: int) -> str:
+    return next((g for start, g in reversed(stated) if start <= at), stated[0][1]) if stated else ""
+
+
+def find_mentions(text: str, entities: list[Entity]) -> list[Entity]:
+    """Where the names of ``entities`` stand alone elsewhere in the text, capitalised or in capitals."""
+    names: dict[str, list[tuple[int, str]]] = {}
+    for e in entities:
+        if e.kind == "name":
+            value = text[e.start : e.end]
+            for form in {value, value.upper(), value[:1] + value[1:].lower()}:
+                names.setdefault(form, []).append((e.start, e.gender))
+    if not names:
+        return []
+    found, taken, i = [], entities, 0
+    for m in _CAPITAL.finditer(text):
+        whole = re.sub(r"['’]s\Z", "", m[0])
+        spans = [(m.start(), whole)] if whole in names else [(m.start() + x.start(), x[0]) for x in _SEGMENT.finditer(m[0]) if x[0] in names]
+        for start, name in spans:
+            while i < len(taken) and taken[i].end <= start:
+                i += 1
+            if i == len(taken) or taken[i].start >= start + len(name):
+                found.append(Entity(start, start + len(name), "name", _gender_at(names[name], start)))
+    return found
+
+
+SURROGATES = {"email": surrogate_email, "ip": surrogate_ip, "card": surrogate_card, "identity": surrogate_number, "phone": surrogate_phone}
 
 
 def surrogate(key: bytes, kind: str, value: str, gender: str = "") -> str:
@@ -231,13 +329,19 @@ def surrogate(key: bytes, kind: str, value: str, gender: str = "") -> str:
 
 
 def replace_entities(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (kind, original, surrogate) of each entity in order."""
+    """The text with surrogates, and (kind, original, surrogate) of each entity in order.
+
+    Where a found name stands alone in the text it is replaced alike, but isn't an entity of its own.
+    """
     out, made, end = [], [], 0
-    for e in find_entities(text):
+    entities = find_entities(text)
+    own = set(entities)
+    for e in sorted(entities + find_mentions(text, entities), key=lambda e: e.start):
         value = text[e.start : e.end]
         new = surrogate(key, e.kind, value, e.gender)
         out += [text[end : e.start], new]
-        made.append((e.kind, value, new))
+        if e in own:
+            made.append((e.kind, value, new))
         end = e.end
     return "".join(out) + text[end:], made
 
@@ -246,8 +350,10 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     """Replace personal data by surrogates: (doc_id, text, n_entities, n_email, n_ip, n_card, n_identity,
     n_phone, n_name), a row for each row of ``docs``; a null text stays null and has none.
 
-    A surrogate depends on the key and the entity alone, so an entity gets the same one in every
-    document, and no state is shared. Surrogates of one format are a permutation of all strings of
+    A surrogate depends on the key and the entity alone (of a given name, with the gender that its
+    document's titles state), so an entity gets the same one in every document, and no state is shared.
+    Formats of one phone number share theirs (see phone_parts), and a found name is replaced wherever
+    it stands in its document, though n_name counts it only where it is found. Surrogates of one format are a permutation of all strings of
     that format without fixed points: distinct entities stay distinct and none keeps its value.
     With ``check`` the distinct (kind, original, surrogate) of the whole corpus are aggregated first
     (as hashes, combined before the shuffle), and the job fails if two originals share a surrogate.
@@ -261,7 +367,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
         for batch in chunks(batches, "text"):
             for text in batch.column("text").to_pylist():
                 for kind, old, new in replace_entities(text or "", key)[1]:
-                    form = (lambda s: s.lower()) if kind in ("email", "name") else (lambda s: re.sub(r"\D", "", s) if kind != "ip" else s)  # noqa: B023
+                    form = {"email": str.lower, "name": str.lower, "ip": str, "phone": lambda s: "|".join(phone_parts(s))}.get(kind, lambda s: re.sub(r"\D", "", s))
                     seen.add((kind, *(blake2b(form(x).encode(), digest_size=16).digest() for x in (old, new))))
             if len(seen) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*seen)], ["kind", "old", "new"])

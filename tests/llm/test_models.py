@@ -103,6 +103,40 @@ def test_surrogates_stay_distinct_and_refer_alike():
     assert pii.surrogate(b"other", "email", "a@b.com") != pii.surrogate(KEY, "email", "a@b.com") or True
 
 
+def test_a_title_states_the_gender_of_a_given_name():
+    new = lambda text: pii.replace_entities(text, KEY)[0].split()
+    for title, name, mark in (("Mrs", "Jan", "etta"), ("Mr", "Maria", "ardo"), ("Miss", "Jocelyn", "etta"), ("Госпожа", "Женя", "илла"), ("Κύριος", "Σοφία", "άκης")):
+        assert new(f"{title} {name} Smith came")[1].endswith(mark)
+    assert pii.GENDER_OF[new("Mr Jan Smith came")[1].lower()] == ("latin", "m")
+    said = new("Mrs Jan Smith came and Jan left with Jan Smith")
+    assert said[1] == said[5] == said[8]
+    assert not any(name.endswith(mark) for name in pii.GENDER_OF for mark in pii.MARKS.values())
+    names = ["ab", "abc", "jan", "maria", "thomas", *(a + m + n for a in ("ab", "abc", "jan", "maria") for m in pii.MARKS.values() for n in ("", "etta", "ardo"))]
+    made = {(n, g): pii.surrogate(KEY, "name", n, g) for n in names for g in ("", "f", "m")}
+    assert len({(v, k[0]) for k, v in made.items()}) == len(set(made.values())) and all(v != n for (n, _), v in made.items())
+
+
+def test_bare_mentions_of_a_found_name_are_replaced():
+    text = "Smith slept. Mr Smith came. Smith left; SMITH's hat, Smith-led, Smithson and smith stay. Mrs Anna Berg: Anna called Berg’s son at smith@Smith.org."
+    new, made = pii.replace_entities(text, KEY)
+    smith = next(n for _, o, n in made if o == "Smith")
+    assert not re.search(r"\b(Smith|SMITH|Anna|Berg)\b", new) and "Smithson and smith stay" in new
+    assert new.startswith(f"{smith} slept. Mr {smith} came. {smith} left; {smith.upper()}'s hat, {smith}-led,")
+    assert Counter(k for k, _, _ in made) == {"name": 3, "email": 1}
+
+
+def test_formats_of_a_phone_number_share_a_surrogate():
+    rest = lambda v: re.sub(r"\D", "", pii.surrogate(KEY, "phone", v))[-10:]
+    formats = ["+1 415-555-0123", "+14155550123", "(415) 555-0123", "415.555.0123", "1-415-555-0123"]
+    assert len({rest(v) for v in formats}) == 1 and rest(formats[0]) != "4155550123"
+    assert rest("+44 20 7946 0958") == rest("+442079460958")
+    assert pii.surrogate(KEY, "phone", "+44 20 7946 0958")[:4] == "+44 "
+    rng = random.Random(4)
+    values = {f"{plus}{code}{rng.randrange(10**9, 10**10)}" for plus in ("+", "") for code in ("", "1", "44", "7", "0", "358") for _ in range(400)}
+    parts = {pii.phone_parts(v): pii.phone_parts(pii.surrogate(KEY, "phone", v)) for v in values}
+    assert len(set(parts.values())) == len(parts) and all(a != b and a[0] == b[0] for a, b in parts.items())
+
+
 def test_pii_table(spark):
     clean = "Nothing here: 3.14, 2024-01-31, version 1.2.3, x" + "9" * 60
     rows = [(1, "write to bob@example.org and BOB@example.org", "clash"), (1, "write to bob@example.org", ""), (2, None, ""), (3, "", ""), (4, clean, ""), (None, "call +44 20 7946 0958", "")]
