@@ -184,16 +184,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, parts: int, of: int) -> DataFra
     return None if found.isEmpty() else found
 
 
-def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, parts: int = 80, of: int = 100) -> DataFrame:
+def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, parts: int = 80, of: int = 100, exact: bool = False) -> DataFrame:
     """Groups of documents that links of Jaccard similarity >= parts / of connect.
 
-    Returns a row for each row of ``docs``: (doc_id, n_shingles, component_id, class_id, n_links).
+    Returns a row for each row of ``docs``: (doc_id, n_shingles, component_id, class_id), and n_links with ``exact``.
     A set holds the distinct k-word sequences (words: runs outside of [\\x20\\x09-\\x0D], A-Z
     lower-cased); with fewer words, the whole text as one; a null text or one without words has an
     empty set, links with nothing and is its own component. component_id is the smallest id that
     links reach. Rows that repeat an id are rows of their own; a null id is in its group but never
-    names it. class_id tells equal sets (a 64-bit fingerprint); n_links counts the verified links of
-    a class with other classes. Links that a group's connectedness makes needless are not verified.
+    names it. class_id tells equal sets (a 64-bit fingerprint). Links that a group's connectedness
+    makes needless are not verified, but with ``exact`` all are: n_links is then the number of other
+    classes that a row's class links with.
     Extra columns are not read. Sets are compared by 64-bit hashes of their n-grams.
 
     How it scales: texts are read again for each step and never shuffled.
@@ -205,6 +206,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        another component, the pairs verified and the components merged, for some rounds: linear in
        the postings, however large a group of near copies is. Only large buckets that still hold
        several components then make all pairs across components, so no link is lost.
+       With ``exact`` all buckets make all their pairs, whose number, like that of the links, grows with
+       the square of a group of near copies.
     Only pairs that share as many prefix n-grams as their prefixes demand are verified.
     """
     spark = docs.sparkSession
@@ -228,7 +231,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most = F.max(F.when(F.col("turn") >= F.col("low"), F.col("turn") + F.col("n") - F.col("at"))).over(own)
     reach = F.floor(most * (of + parts) / parts).cast("long") - F.col("n")
     sized = turned.withColumn("reach", reach).filter(of * F.col("reach") >= parts * F.col("n"))
-    sized = sized.withColumn("large", (F.col("spread") > 0) | (F.col("held") > SMALL_BUCKET))
+    sized = sized.withColumn("large", F.lit(not exact) & ((F.col("spread") > 0) | (F.col("held") > SMALL_BUCKET)))
     parted = stage(sized.select("h", "c", "n", "at", "m", "reach", "large"), "ngram-buckets")
     unstage(held)
     unstage(raw)
@@ -312,7 +315,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = known.withColumn("key", F.coalesce("c", F.xxhash64("doc_id")))
     out = own.join(named.withColumnRenamed("c", "key"), "key", "left")
     none = F.col("c").isNull()
-    return out.select(
+    out = out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.col("c").alias("class_id"), F.when(none, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
+    return out if exact else out.drop("n_links")

@@ -147,6 +147,29 @@ def test_ngram_groups(spark, monkeypatch, k, parts, small, heavy):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(docs, k, parts, 100)
 
 
+def test_exact_mode_counts_every_link(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(ngramjoin, "HEAVY_LOG", 2)
+    rng = random.Random(11)
+    texts = []
+    for n, copies in ((60, 14), (200, 9), (2, 3)):
+        base = [rng.choice(WORDS) for _ in range(n)]
+        for i in range(copies):
+            own = list(base)
+            own[rng.randrange(n)] = f"own{i}"
+            texts.append(" ".join(own))
+    texts += [texts[0], texts[20], None, "", prose(rng, 80)]
+    docs = list(enumerate(texts))
+    sets = {i: frozenset(tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))) for i, t in docs if (w := (t or "").split())}
+    classes = set(sets.values())
+    links = {s: sum(s != o and 100 * len(s & o) >= 80 * len(s | o) for o in classes) for s in classes}
+    got = ngramjoin.ngram_groups(documents(spark, texts), k=4, parts=80, exact=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: links[sets[i]] if i in sets else 0 for i, _ in docs}
+    assert max(links.values()) > 3
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups_by_hand(docs, 4, 80, 100)
+    assert "n_links" not in ngramjoin.ngram_groups(documents(spark, texts[:3])).columns
+
+
 def test_prefixes_keep_every_link():
     """Sets that reach the similarity share what their prefixes demand, whatever the frequencies are."""
     rng = np.random.default_rng(5)
