@@ -13,8 +13,11 @@ from .common import chunks, stage, text_buffers, unstage
 from .graph import connected_components, contract, forest, labels
 from .words import LOWER, NOT_SPACE, U64, hashes, mix, shingles, spans
 
-#: Slots (a power of two) of the table of estimated frequencies, and of the filter of candidates' sets.
-FREQUENCY_BITS, FILTER_BITS = 22, 24
+#: Slots (a power of two) of the table of estimated frequencies.
+FREQUENCY_BITS = 22
+#: Least and most bits (powers of two) of the filter of candidates' sets; it has 16 bits a candidate
+#: up to 16 MB, and lets more other sets through beyond that.
+FILTER_BITS = (16, 27)
 #: A task counts n-grams in runs of about this many; those seen once in a run aren't passed on.
 RUN = 2_000_000
 #: A candidate shares at most this many prefix n-grams of demand; prefixes grow by one less.
@@ -24,16 +27,28 @@ MOST_MATCHES = 8
 CHANCE, VERIFY_COST = 0.25, 32
 #: An n-gram estimated in at least 2 ** HEAVY_LOG documents is never gathered in one place.
 HEAVY_LOG = 10
-#: Buckets of at most this many sets make all their pairs at once; larger ones pair with leaders.
+#: Buckets of at most this many sets make all their pairs at once; larger ones go by a leader.
 SMALL_BUCKET = 8
-#: Rounds of pairing with one leader a bucket before a large bucket's remaining pairs are made.
-LEADER_ROUNDS = 2
+#: The same for buckets of differences, whose pairs also have to be in place before they are made.
+SMALL_DIFFERENCE = 64
+#: Levels of leaders; what is still large then makes its pairs, as far as their places allow a link.
+LEVELS = 5
 
-_K = U64(0xD6E8FEB86659FD93)
+_K, _CHECK = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(row, sorted distinct n-gram hashes, fingerprint of that set) of the rows that have words."""
+def _mark(own: np.ndarray, key: np.uint64) -> int:
+    """A 64-bit fingerprint of a set of hashes."""
+    size = np.full(1, len(own), np.uint64) * key
+    return int(mix(np.add.reduce(mix(own ^ key), keepdims=True) + size).view(np.int64)[0])
+
+
+def _sets(batch: pa.RecordBatch, k: int, twins: frozenset[int] = frozenset()) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(row, sorted distinct n-gram hashes, class of that set) of the rows that have words.
+
+    A class is a 64-bit fingerprint; where different sets have the same one (``twins``), a second
+    fingerprint is mixed in.
+    """
     data, at = text_buffers(batch.column("text"))
     data = LOWER[data]
     starts, ends, doc = spans(data, at, NOT_SPACE)
@@ -42,13 +57,13 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, int]
     for row in np.flatnonzero(np.diff(edge)).tolist():
         own = np.sort(value[edge[row] : edge[row + 1]])
         own = own[np.r_[True, own[1:] != own[:-1]]]
-        mark = mix(np.add.reduce(mix(own ^ _K), keepdims=True) + np.full(1, len(own), np.uint64) * _K)
-        yield row, own, int(mark.view(np.int64)[0])
+        mark = _mark(own, _K)
+        yield row, own, mark ^ _mark(own, _CHECK) if mark in twins else mark
 
 
 def _statistics(k: int):
-    """Rows of documents (doc_id, n, c) and of n-grams that repeat within a run (h, seen)."""
-    names = ["doc_id", "n", "c", "h", "seen"]
+    """Rows of documents (doc_id, n, c, check) and of n-grams that repeat within a run (h, seen)."""
+    names = ["doc_id", "n", "c", "check", "h", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -58,12 +73,12 @@ def _statistics(k: int):
             h, seen = np.unique(np.concatenate(held), return_counts=True)
             h, seen = h[seen > 1].view(np.int64), seen[seen > 1]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(h), pa.array(seen.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(h), pa.array(seen.astype(np.int64))], names)
 
         for batch in chunks(batches, "text"):
-            n, c = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, c, check = np.zeros((3, batch.num_rows), np.int64)
             for row, own, mark in _sets(batch, k):
-                n[row], c[row] = len(own), mark
+                n[row], c[row], check[row] = len(own), mark, _mark(own, _CHECK)
                 if mark not in met:
                     met.add(mark)
                     held.append(own)
@@ -72,7 +87,7 @@ def _statistics(k: int):
                 yield counted()
                 held, total = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(c, mask=n == 0), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(c, mask=n == 0), pa.array(check), none, none], names)
         if held:
             yield counted()
 
@@ -95,7 +110,7 @@ def prefix_of(own: np.ndarray, log_count: np.ndarray, parts: int, of: int) -> tu
     return order[: shortest + m - 1], m
 
 
-def _postings(k: int, parts: int, of: int, frequency):
+def _postings(k: int, parts: int, of: int, frequency, twins: frozenset[int]):
     """Rows (h, c, nm, spread) of each set's prefix, once a task for equal sets.
 
     nm packs the set's size, the n-gram's place in the prefix (from 1) and the set's demand; spread
@@ -108,7 +123,7 @@ def _postings(k: int, parts: int, of: int, frequency):
         met: set[int] = set()
         for batch in chunks(batches, "text"):
             h, c, nm, spread = [], [], [], []
-            for _, own, mark in _sets(batch, k):
+            for _, own, mark in _sets(batch, k, twins):
                 if mark not in met:
                     met.add(mark)
                     log_count = table[(own >> U64(64 - FREQUENCY_BITS)).astype(np.int64)]
@@ -123,7 +138,7 @@ def _postings(k: int, parts: int, of: int, frequency):
     return run
 
 
-def _members(k: int, wanted):
+def _members(k: int, wanted, twins: frozenset[int]):
     """Rows (c, own) of the sets whose fingerprint passes the filter, once a task for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +146,8 @@ def _members(k: int, wanted):
         met: set[int] = set()
         for batch in chunks(batches, "text"):
             c, own = [], []
-            for _, values, mark in _sets(batch, k):
-                slot = mark & (1 << FILTER_BITS) - 1
+            for _, values, mark in _sets(batch, k, twins):
+                slot = mark & 8 * len(bits) - 1
                 if mark not in met and bits[slot >> 3] >> (slot & 7) & 1:
                     met.add(mark)
                     c.append(mark)
@@ -155,35 +170,131 @@ def _frequency_table(counts: DataFrame, least: int = 4) -> np.ndarray:
 
 
 def _filter_bits(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (2 ** FILTER_BITS) with a bit for the low end of each fingerprint c."""
-    slot = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1) + 1  # Spark numbers the bits of its bitmaps from 1
+    """A bitmap with a bit for the low end of each fingerprint c; its size is bounded by FILTER_BITS."""
+    log = min(max((16 * wanted.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    slot = F.col("c").bitwiseAND((1 << log) - 1) + 1  # Spark numbers the bits of its bitmaps from 1
     maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    bits = np.zeros(1 << log - 3, np.uint8)
     for row in maps.toArrow().to_pylist():
         bits[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
 
-def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int, twins: frozenset[int]) -> DataFrame:
     """(c, own): the sets of the candidates (c), staged; made anew from the texts in one pass, for
-    documents that a filter of fixed size lets through."""
+    documents that a filter of bounded size lets through."""
+    candidates = stage(candidates.distinct(), "ngram-candidates")
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(candidates))
-    made = docs.select("text").mapInArrow(_members(k, wanted), "c long, own array<long>")
+    made = docs.select("text").mapInArrow(_members(k, wanted, twins), "c long, own array<long>")
     sets = stage(made.groupBy("c").agg(F.any_value("own").alias("own")), "ngram-sets")
     wanted.destroy()
+    unstage(candidates)
     return sets
 
 
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sets, own_a and own_b."""
+    left = pairs.join(sets.select(F.col("c").alias("a"), F.col("own").alias("own_a")), "a")
+    return left.join(sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")), "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, parts: int, of: int) -> DataFrame | None:
     """Those of the staged pairs (a, b) whose sets reach the similarity; None if there are none."""
-    left = pairs.select("a", "b").join(sets.select(F.col("c").alias("a"), F.col("own").alias("own_a")), "a")
-    both = left.join(sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")), "b")
     shared = F.size(F.array_intersect("own_a", "own_b"))
-    both = both.select("a", "b", shared.cast("long").alias("i"), (F.size("own_a") + F.size("own_b")).cast("long").alias("s"))
+    both = _beside(pairs.select("a", "b"), sets).select("a", "b", shared.cast("long").alias("i"), (F.size("own_a") + F.size("own_b")).cast("long").alias("s"))
     found = stage(both.filter(of * F.col("i") >= parts * (F.col("s") - F.col("i"))).select("a", "b"), "ngram-links")
     return None if found.isEmpty() else found
 
 
+class _Links:
+    """Links (a, b) found so far, and a label for each class that has one: classes of one label are connected."""
+
+    def __init__(self):
+        self.all: DataFrame | None = None
+        self.label: DataFrame | None = None
+        self._trees: DataFrame | None = None
+
+    def add(self, found: DataFrame | None, label: bool = True) -> None:
+        if found is None:
+            return
+        self.all = found if self.all is None else self.all.unionByName(found)
+        if label:  # one step of contraction is enough to tell which pairs a link would be needless for
+            grown = found if self._trees is None else found.unionByName(self._trees.select(F.col("u").alias("a"), F.col("v").alias("b")))
+            self._trees = contract(forest(grown))
+            self.label = labels(self._trees, "c", "comp")
+
+    def labelled(self, df: DataFrame, c: str = "c", comp: str = "comp") -> DataFrame:
+        if self.label is None:
+            return df.withColumn(comp, F.col(c))
+        named = self.label.select(F.col("c").alias(c), F.col("comp").alias(comp))
+        return df.join(named, c, "left").withColumn(comp, F.coalesce(comp, c))
+
+
+def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of: int, last: bool) -> DataFrame | None:
+    """Add the links within large buckets (g, h, band) of members (c, n, first); what is left for a next level.
+
+    The member of a bucket with the smallest ``first`` leads it. With D the difference between a set
+    and its leader's, two members A and B differ in |D_A| + |D_B| - 2 |D_A and D_B shared|, so they
+    link if 2 (of + parts) shared >= s_A + s_B, where s = (of + parts) |D| - (of - parts) size. Of two
+    that a link to the leader doesn't connect already, one has s > (of - parts) leader's size, so they
+    share some of their differences. Those are indexed like sets: rarest first, as many as the
+    least demand of a partner asks for. Members whose shared differences can't meet any partner's
+    demand go first, most of a group of near copies that don't link; so no pairs of the whole
+    bucket are made.
+    """
+    key = ["g", "h", "band"]
+    live = links.labelled(live)
+    order = F.struct("first", F.xxhash64("c"), "c")
+    mixed = live.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order)["c"].alias("a")).filter("low < high")
+    pairs = stage(live.join(mixed.select(*key, "a"), key).filter("c != a").select("a", F.col("c").alias("b")).distinct(), "ngram-leaders")
+    apart = F.concat(F.array_except("own_a", "own_b"), F.array_except("own_b", "own_a"))
+    diffs = _beside(pairs, sets).select("a", "b", F.size("own_b").cast("long").alias("n"), F.size("own_a").cast("long").alias("n_a"), apart.alias("diff"))
+    diffs = diffs.withColumn("d", F.size("diff").cast("long")).withColumn("s", (of + parts) * F.col("d") - (of - parts) * F.col("n"))
+    diffs = stage(diffs.withColumn("linked", F.col("s") <= (of - parts) * F.col("n_a")), "ngram-differences")
+    unstage(pairs)
+    found = stage(diffs.filter("linked").select("a", "b"), "ngram-links")
+    links.add(None if found.isEmpty() else found)
+
+    # Members inside are connected with the leader: of a pair at least one is outside.
+    live = links.labelled(links.labelled(diffs, "b", "comp"), "a", "comp_a")
+    live = live.select("a", "b", "n", "d", "s", "diff", "comp", (F.col("linked") | (F.col("comp") == F.col("comp_a"))).alias("inside"))
+    live = live.join(live.filter("not inside").select("a").distinct(), "a", "left_semi")
+    out = lambda x: F.when(~F.col("inside"), F.col(x))
+    held = None
+    for turn in range(2):
+        # What a member shares with any other is at most r, the differences that several hold.
+        own = live.select("a", "b", F.explode("diff").alias("e"))
+        held = own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1")
+        held = own.join(held, ["a", "e"])
+        live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"]).withColumn("q", 2 * (of + parts) * F.col("r") - F.col("s"))
+        bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"), F.max("q").alias("q_all"), F.max(out("q")).alias("q_out"))
+        meets = F.when(F.col("inside"), (F.col("q") >= F.col("s_out")) & (F.col("s") <= F.col("q_out"))).otherwise((F.col("s") <= F.col("q_all")) & (F.col("q") >= F.col("s_all")))
+        live = stage(live.join(bounds, "a").filter(meets).drop("r", "q", "s_all", "s_out", "q_all", "q_out"), "ngram-differences")
+        if live.isEmpty():
+            return None
+    unstage(diffs)
+    own = live.select("a", "b", F.explode("diff").alias("e"))
+    held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+    mine = Window.partitionBy("a", "b")
+    placed = held.withColumns({"turn": F.row_number().over(mine.orderBy("held", "e")), "r": F.count("*").over(mine)})
+    bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"))
+    placed = placed.join(live.drop("diff"), ["a", "b"]).join(bounds, "a").withColumn("at", F.col("d") - F.col("r") + F.col("turn"))
+    reaches = lambda at, d, need: 2 * (of + parts) * (F.col(d) - F.col(at) + 1) >= need  # noqa: E731  what is left from a place on meets a demand
+    least = F.col("s") + F.when(F.col("inside"), F.col("s_out")).otherwise(F.col("s_all"))
+    posted = stage(placed.filter(reaches("at", "d", F.greatest(least, F.lit(1)))).select("a", "e", F.col("b").alias("c"), "n", "d", "s", "at", "comp", "inside"), "ngram-difference-postings")
+    size = posted.groupBy("a", "e").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    posted = posted.join(size.select("a", "e", (F.lit(not last) & (F.col("held") > SMALL_DIFFERENCE)).alias("large")), ["a", "e"])
+    one = posted.filter("not large")
+    two = one.select("a", "e", *(F.col(x).alias(f"{x}2") for x in ("c", "d", "s", "at", "comp", "inside")))
+    need = F.col("s") + F.col("s2")
+    fits = (F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2")) & reaches("at", "d", need) & reaches("at2", "d2", need)
+    pairs = stage(one.join(two, ["a", "e"]).filter(fits).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "ngram-pairs")
+    if not pairs.isEmpty():
+        links.add(_verified(pairs, sets, parts, of), label=not last)
+    rest = stage(posted.filter("large").select(F.col("a").alias("g"), F.col("e").alias("h"), F.lit(0).alias("band"), "c", "n", (F.col("d") / F.col("n")).alias("first")), "ngram-live")
+    return None if rest.isEmpty() else rest
+
+
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, parts: int = 80, of: int = 100, exact: bool = False) -> DataFrame:
     """Groups of documents that links of Jaccard similarity >= parts / of connect.
 
@@ -192,7 +303,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lower-cased); with fewer words, the whole text as one; a null text or one without words has an
     empty set, links with nothing and is its own component. component_id is the smallest id that
     links reach. Rows that repeat an id are rows of their own; a null id is in its group but never
-    names it. class_id tells equal sets (a 64-bit fingerprint). Links that a group's connectedness
+    names it. class_id tells equal sets (a 64-bit fingerprint, widened where two sets share one). Links that a group's connectedness
     makes needless are not verified, but with ``exact`` all are: n_links is then the number of other
     classes that a row's class links with.
     Extra columns are not read. Sets are compared by 64-bit hashes of their n-grams.
@@ -202,21 +313,27 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        frequency table of fixed size, which orders every set rarest first.
     2. Each class posts its adaptive prefix. N-grams with one holder go at once; the others form
        buckets. Postings of heavy n-grams are spread, so no task gathers them.
-    3. Small buckets make all their pairs. In large ones the members are paired with one leader of
-       another component, the pairs verified and the components merged, for some rounds: linear in
-       the postings, however large a group of near copies is. Only large buckets that still hold
-       several components then make all pairs across components, so no link is lost.
+    3. Small buckets make all their pairs; those that share as many prefix n-grams as their prefixes
+       demand are verified. A large bucket has a leader: its members' sets are compared with the
+       leader's alone, and members of different components are then found by an index of their
+       differences from it (``_by_leader``), in turn with leaders where that has large buckets. So a
+       group of copies costs rows in proportion to its size, and no link is lost.
        With ``exact`` all buckets make all their pairs, whose number, like that of the links, grows with
        the square of a group of near copies.
-    Only pairs that share as many prefix n-grams as their prefixes demand are verified.
+    4. Components of the links, by contraction.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    read = stage(docs.mapInArrow(_statistics(k), "doc_id long, n long, c long, h long, seen long"), "ngram-statistics")
-    counts, known = read.filter("h is not null").select("h", "seen"), read.filter("h is null").select("doc_id", "n", "c")
+    read = stage(docs.mapInArrow(_statistics(k), "doc_id long, n long, c long, check long, h long, seen long"), "ngram-statistics")
+    counts, known = read.filter("h is not null").select("h", "seen"), read.filter("h is null").select("doc_id", "n", "c", "check")
+    # Different sets of one fingerprint: about documents ** 2 / 2 ** 65 of them.
+    shared = known.filter("c is not null").groupBy("c").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low < high")
+    twins = frozenset(r.c for r in shared.select("c").collect())
+    if twins:
+        known = known.withColumn("c", F.when(F.col("c").isin(*twins), F.col("c").bitwiseXOR(F.col("check"))).otherwise(F.col("c")))
     frequency = spark.sparkContext.broadcast(_frequency_table(counts))
 
-    posted = docs.select("text").mapInArrow(_postings(k, parts, of, frequency), "h long, c long, nm long, spread short")
+    posted = docs.select("text").mapInArrow(_postings(k, parts, of, frequency, twins), "h long, c long, nm long, spread short")
     bucket = Window.partitionBy("h", "spread")
     posted = posted.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket)}).filter("spread > 0 or low < high")
     # Equal sets were posted once a task: one of each stays.
@@ -235,73 +352,38 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parted = stage(sized.select("h", "c", "n", "at", "m", "reach", "large"), "ngram-buckets")
     unstage(held)
     unstage(raw)
-    small, large = parted.filter("not large").drop("large"), parted.filter("large").drop("large")
-    # Each side counts its own buckets alone, so its demand falls by what the other side could add.
-    n_small, n_large = (df.groupBy("c").agg(F.count("*").alias("g")) for df in (small, large))
-    lowered = lambda df, g: df.join(g, "c", "left").withColumn("g", F.coalesce("g", F.lit(0))).withColumn("m", F.col("m") - F.col("g"))
-    small, large = stage(lowered(small, n_large), "ngram-small"), stage(lowered(large, n_small), "ngram-large")
+    small, large = parted.filter("not large"), parted.filter("large")
+
+    # A pair that shares no large bucket shares all its prefix n-grams in small ones.
+    two = small.select("h", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "at", "m", "reach")))
+    near = (of * F.least("n", "n2") >= parts * F.greatest("n", "n2")) & (F.col("n2") <= F.col("reach")) & (F.col("n") <= F.col("reach2"))
+    # What lies behind the last shared n-gram may all be shared.
+    rest = F.least(F.min(F.col("n") - F.col("at")), F.min(F.col("n2") - F.col("at2")))
+    counted = small.join(two, "h").filter((F.col("c") < F.col("c2")) & near).groupBy(F.col("c").alias("a"), F.col("c2").alias("b")).agg(
+        F.count("*").alias("shared"), F.least(F.min("m"), F.min("m2")).alias("need"), rest.alias("rest"), F.min(F.col("n") + F.col("n2")).alias("size")
+    )
+    enough = (F.col("shared") >= F.col("need")) & ((of + parts) * (F.col("shared") + F.col("rest")) >= parts * F.col("size"))
+    pairs = stage(counted.filter(enough).select("a", "b"), "ngram-pairs")
+    sets = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(large.select("c")), k, twins)
+    links = _Links()
+    links.add(_verified(pairs, sets, parts, of))
+    unstage(pairs)
+
+    # Two sets that can link are in a common band of sizes, so a leader is about its members' size.
+    band = F.sequence(F.floor(F.log2("n")).cast("int"), F.floor(F.log2(F.col("n") * of / parts)).cast("int"))
+    live = large.select(F.lit(0).cast("long").alias("g"), "h", F.explode(band).alias("band"), "c", "n", (-F.col("reach") / F.col("n")).alias("first"))
+    live = None if live.isEmpty() else stage(live, "ngram-live")
     unstage(parted)
-
-    def paired(one: DataFrame, two: DataFrame, which, slack: int = 1) -> DataFrame:
-        """Pairs (a, b) that share enough n-grams; ``two`` has the names of ``one`` with a 2."""
-        met = one.join(two, "h").filter((of * F.least("n", "n2") >= parts * F.greatest("n", "n2")) & (F.col("n2") <= F.col("reach")) & (F.col("n") <= F.col("reach2")) & which)
-        # What lies behind the last shared n-gram may all be shared, and so may the other side's buckets.
-        rest = F.least(F.min(F.col("n") - F.col("at")), F.min(F.col("n2") - F.col("at2"))) + F.least(F.min("g"), F.min("g2"))
-        counted = met.groupBy(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).agg(
-            F.count("*").alias("shared"), F.least(F.min("m"), F.min("m2")).alias("need"), rest.alias("rest"), F.min(F.col("n") + F.col("n2")).alias("size")
-        )
-        enough = F.col("shared") * slack >= F.col("need")
-        if slack == 1:
-            enough &= (of + parts) * (F.col("shared") + F.col("rest")) >= parts * F.col("size")
-        return counted.filter(enough).select("a", "b")
-
-    other = lambda df: df.select("h", *(F.col(x).alias(f"{x}2") for x in df.columns if x != "h"))
-    before, apart = F.col("c") < F.col("c2"), F.col("comp") != F.col("comp2")
-    fields = ("c", "n", "at", "m", "reach", "g", "comp")
-    links = component = tried = sets = trees = None
-    round_no, last = 0, False
-    while True:
-        live = large.withColumn("comp", F.col("c"))
-        if component is not None:
-            live = large.join(component, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        # First the member that reaches furthest leads: the one with the fewest n-grams of its own.
-        first = -F.col("reach") if round_no == 0 else F.xxhash64("comp", F.lit(round_no))
-        order = F.struct(first.alias("x"), F.xxhash64("c", F.lit(round_no)).alias("y"), *fields)
-        mixed = live.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order).alias("l")).filter("low < high")
-        leaders = stage(mixed.select("h", *(F.col(f"l.{x}").alias(f"{x}2") for x in fields)), "ngram-leaders")
-        if round_no and leaders.isEmpty():
-            break
-        if last:
-            live = stage(live.join(leaders.select("h"), "h", "left_semi"), "ngram-live")
-            pairs = paired(live, other(live), before & apart)
-        else:
-            # A leader shares with a member in the buckets that it leads, which need not be all.
-            pairs = paired(live, leaders, apart, slack=2)
-        if round_no == 0:
-            pairs = pairs.unionByName(paired(small, other(small), before)).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "ngram-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if sets is None:  # later rounds pair members of large buckets only
-            met = pairs.select(F.explode(F.array("a", "b")).alias("c"))
-            sets = _candidate_sets(docs, met.unionByName(large.select("c")), k)
-        found = _verified(pairs, sets, parts, of)
-        if found is not None:
-            links = found if links is None else links.unionByName(found)
-            if not last:
-                # One step of contraction is enough to tell which pairs a link would be needless for.
-                grown = found if trees is None else found.unionByName(trees.select(F.col("u").alias("a"), F.col("v").alias("b")))
-                trees = contract(forest(grown))
-                component = labels(trees, "c", "comp")
-        unstage(leaders)
-        if last:
-            break
-        round_no += 1
-        last = found is None or round_no == LEADER_ROUNDS
+    level = 0
+    while live is not None:
+        level += 1
+        rest = _by_leader(live, sets, links, parts, of, last=level == LEVELS)
+        unstage(live)
+        live = rest
 
     unstage(sets)
-    component = None if links is None else connected_components(links, "c", "comp")
+    component = None if links.all is None else connected_components(links.all, "c", "comp")
+    links = links.all
     classes = known.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     if component is None:
         named = classes.filter("rows > 1").select("c", F.col("first").alias("component_id"), F.lit(0).cast("long").alias("n_links"))

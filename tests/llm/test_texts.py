@@ -147,6 +147,44 @@ def test_ngram_groups(spark, monkeypatch, k, parts, small, heavy):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(docs, k, parts, 100)
 
 
+@pytest.mark.parametrize(("difference", "levels"), [(64, 5), (4, 3)])
+def test_a_large_group_of_copies_that_hardly_link(spark, monkeypatch, difference, levels):
+    """Most copies have one edit too many to link with each other; some share their edits, so that
+    groups beside the leader's link among themselves."""
+    monkeypatch.setattr(ngramjoin, "SMALL_DIFFERENCE", difference)
+    monkeypatch.setattr(ngramjoin, "LEVELS", levels)
+    made, stage = [], ngramjoin.stage
+    monkeypatch.setattr(ngramjoin, "stage", lambda df, name: made.append((name, out := stage(df, name))) or out)
+    monkeypatch.setattr(ngramjoin, "unstage", lambda df: None)
+    rng = random.Random(difference + levels)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(300):
+        own, edits = list(base), 2 + i % 4
+        if i % 5 == 0:  # a second edition, and copies of it
+            for at in range(10, 60, 10):
+                own[at] = f"second{at}"
+            edits = i % 3
+        for at in rng.sample(range(8, 140), edits):
+            own[at] = f"own{i}-{at}" if i % 7 else "shared"
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:120] + [f"tail{i}-{j}" for j in range(20)]) for i in range(60)]
+    docs = list(enumerate(texts))
+    got = ngramjoin.ngram_groups(documents(spark, texts), k=4, parts=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(docs, 4, 85, 100)
+    pairs = sum(df.count() for name, df in made if name in ("ngram-pairs", "ngram-leaders"))
+    assert pairs <= 20 * len(docs) and sum(name == "ngram-leaders" for name, _ in made) <= levels
+
+
+def test_sets_of_one_fingerprint_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "_mark", lambda own, key: int(own[0] % np.uint64(7)) if key == ngramjoin._K else int(own[-1].view(np.int64)))
+    rng = random.Random(3)
+    texts = [prose(rng, 20 + i % 9) for i in range(40)]
+    docs = list(enumerate(texts + texts[:5]))
+    got = ngramjoin.ngram_groups(documents(spark, [t for _, t in docs]), k=4, parts=85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups_by_hand(docs, 4, 85, 100)
+
+
 def test_exact_mode_counts_every_link(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "SMALL_BUCKET", 2)
     monkeypatch.setattr(ngramjoin, "HEAVY_LOG", 2)
