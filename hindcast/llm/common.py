@@ -19,12 +19,16 @@ _local_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a single-machine session) a local temporary folder is used.
+    Where that is unset, a session of one machine uses a temporary folder; on a cluster, where
+    executors can't see each other's folders, this raises.
     """
     global _local_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master.partition("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
     if _local_dir is None:
         _local_dir = f"file://{tempfile.mkdtemp(prefix='hindcast-')}"
     return _local_dir
@@ -34,15 +38,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def stage(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet to the shared folder, in folders ``by`` some columns, and read it back.
 
     This cuts the lineage and survives the loss of executors; the reread table has known
     statistics, so joins against it are planned by its real size.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +58,8 @@ def unstage(df: DataFrame) -> None:
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        while "=" in folder.getName():  # a table in folders by columns
+            folder = folder.getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     spark._jvm.System.gc()
 

@@ -180,16 +180,19 @@ def _filter_bits(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def _candidate_sets(docs: DataFrame, candidates: DataFrame, k: int, twins: frozenset[int]) -> DataFrame:
-    """(c, own): the sets of the candidates (c), staged; made anew from the texts in one pass, for
-    documents that a filter of bounded size lets through."""
-    candidates = stage(candidates.distinct(), "ngram-candidates")
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(candidates))
+def _candidate_sets(docs: DataFrame, small: DataFrame, large: DataFrame, k: int, twins: frozenset[int]) -> tuple[DataFrame, DataFrame]:
+    """(c, own): the sets of the classes (c) in small and in large buckets, staged apart; made anew
+    from the texts in one pass, for documents that a filter of bounded size lets through."""
+    kinds = small.select("c", F.lit(True).alias("small")).unionByName(large.select("c", F.lit(False).alias("small")))
+    kinds = kinds.groupBy("c").agg(F.max("small").alias("small"), F.max(~F.col("small")).alias("large"))
+    kinds = stage(kinds, "ngram-candidates")
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(kinds))
     made = docs.select("text").mapInArrow(_members(k, wanted, twins), "c long, own array<long>")
-    sets = stage(made.groupBy("c").agg(F.any_value("own").alias("own")), "ngram-sets")
+    sets = made.groupBy("c").agg(F.any_value("own").alias("own")).join(kinds, "c")
+    sets = stage(sets, "ngram-sets", by=("small", "large"))
     wanted.destroy()
-    unstage(candidates)
-    return sets
+    unstage(kinds)
+    return sets.filter("small").select("c", "own"), sets.filter("large").select("c", "own")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -364,7 +367,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     enough = (F.col("shared") >= F.col("need")) & ((of + parts) * (F.col("shared") + F.col("rest")) >= parts * F.col("size"))
     pairs = stage(counted.filter(enough).select("a", "b"), "ngram-pairs")
-    sets = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(large.select("c")), k, twins)
+    sets, sets_large = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), large, k, twins)
     links = _Links()
     links.add(_verified(pairs, sets, parts, of))
     unstage(pairs)
@@ -377,7 +380,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     level = 0
     while live is not None:
         level += 1
-        rest = _by_leader(live, sets, links, parts, of, last=level == LEVELS)
+        rest = _by_leader(live, sets_large, links, parts, of, last=level == LEVELS)
         unstage(live)
         live = rest
 
