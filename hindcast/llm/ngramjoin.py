@@ -138,11 +138,11 @@ def _postings(k: int, parts: int, of: int, frequency, twins: frozenset[int]):
     return run
 
 
-def _members(k: int, wanted, twins: frozenset[int]):
-    """Rows (c, own) of the sets whose fingerprint passes the filter, once a task for equal sets."""
+def _members(k: int, wanted, frequency, twins: frozenset[int]):
+    """Rows (c, own) of the sets whose fingerprint passes the filter, rarest n-gram first, once a task for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, table = wanted.value, frequency.value
         met: set[int] = set()
         for batch in chunks(batches, "text"):
             c, own = [], []
@@ -151,7 +151,8 @@ def _members(k: int, wanted, twins: frozenset[int]):
                 if mark not in met and bits[slot >> 3] >> (slot & 7) & 1:
                     met.add(mark)
                     c.append(mark)
-                    own.append(values.view(np.int64))
+                    log_count = table[(values >> U64(64 - FREQUENCY_BITS)).astype(np.int64)]
+                    own.append(values[np.argsort(log_count, kind="stable")].view(np.int64))
             if c:
                 ends = np.cumsum([0] + [len(x) for x in own]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["c", "own"])
@@ -180,14 +181,14 @@ def _filter_bits(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def _candidate_sets(docs: DataFrame, small: DataFrame, large: DataFrame, k: int, twins: frozenset[int]) -> tuple[DataFrame, DataFrame]:
+def _candidate_sets(docs: DataFrame, small: DataFrame, large: DataFrame, k: int, frequency, twins: frozenset[int]) -> tuple[DataFrame, DataFrame]:
     """(c, own): the sets of the classes (c) in small and in large buckets, staged apart; made anew
     from the texts in one pass, for documents that a filter of bounded size lets through."""
     kinds = small.select("c", F.lit(True).alias("small")).unionByName(large.select("c", F.lit(False).alias("small")))
     kinds = kinds.groupBy("c").agg(F.max("small").alias("small"), F.max(~F.col("small")).alias("large"))
     kinds = stage(kinds, "ngram-candidates")
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(kinds))
-    made = docs.select("text").mapInArrow(_members(k, wanted, twins), "c long, own array<long>")
+    made = docs.select("text").mapInArrow(_members(k, wanted, frequency, twins), "c long, own array<long>")
     sets = made.groupBy("c").agg(F.any_value("own").alias("own")).join(kinds, "c")
     sets = stage(sets, "ngram-sets", by=("small", "large"))
     wanted.destroy()
@@ -234,7 +235,7 @@ class _Links:
 
 
 def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of: int, last: bool) -> DataFrame | None:
-    """Add the links within large buckets (g, h, band) of members (c, n, first); what is left for a next level.
+    """Add the links within large buckets (g, h, band) of members (c, n, first, tight) of which one is tight; what is left for a next level.
 
     The member of a bucket with the smallest ``first`` leads it. With D the difference between a set
     and its leader's, two members A and B differ in |D_A| + |D_B| - 2 |D_A and D_B shared|, so they
@@ -244,24 +245,39 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     least demand of a partner asks for. Members whose shared differences can't meet any partner's
     demand go first, most of a group of near copies that don't link; so no pairs of the whole
     bucket are made.
+    That serves members near the leader. Of those far from it only what the leader lacks is indexed,
+    by the prefix that a link asks for. As |D_A| and |D_B| of a link are close, no link is between
+    one that is near only (|D| <= n / 2) and one that is far only (|D| > n), if parts / of >= 3 / 4.
     """
     key = ["g", "h", "band"]
     live = links.labelled(live)
     order = F.struct("first", F.xxhash64("c"), "c")
-    mixed = live.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order)["c"].alias("a")).filter("low < high")
+    mixed = live.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order)["c"].alias("a"), F.max("tight").alias("tight")).filter("low < high and tight")
     pairs = stage(live.join(mixed.select(*key, "a"), key).filter("c != a").select("a", F.col("c").alias("b")).distinct(), "ngram-leaders")
     apart = F.concat(F.array_except("own_a", "own_b"), F.array_except("own_b", "own_a"))
-    diffs = _beside(pairs, sets).select("a", "b", F.size("own_b").cast("long").alias("n"), F.size("own_a").cast("long").alias("n_a"), apart.alias("diff"))
+    diffs = _beside(pairs, sets).select("a", "b", F.size("own_b").cast("long").alias("n"), F.size("own_a").cast("long").alias("n_a"), F.array_except("own_b", "own_a").alias("own"), apart.alias("diff"))
     diffs = diffs.withColumn("d", F.size("diff").cast("long")).withColumn("s", (of + parts) * F.col("d") - (of - parts) * F.col("n"))
-    diffs = stage(diffs.withColumn("linked", F.col("s") <= (of - parts) * F.col("n_a")), "ngram-differences")
+    rings = 4 * parts >= 3 * of
+    # A link shares ceil(t n) n-grams at least, and all but what the leader has of them are in ``own``.
+    length = F.col("n") - F.greatest(F.ceil(F.col("n") * parts / of), F.col("n") - F.size("own") + 1) + 1
+    diffs = diffs.withColumns({
+        "linked": F.col("s") <= (of - parts) * F.col("n_a"), "common": (F.col("n") - F.size("own")).cast("long"),
+        "own": F.when((2 * F.col("d") > F.col("n")) & F.lit(rings), F.slice("own", 1, length.cast("int"))), "diff": F.when((F.col("d") <= F.col("n")) | F.lit(not rings), F.col("diff")),
+    })
+    diffs = stage(diffs, "ngram-differences")
     unstage(pairs)
     found = stage(diffs.filter("linked").select("a", "b"), "ngram-links")
     links.add(None if found.isEmpty() else found)
 
     # Members inside are connected with the leader: of a pair at least one is outside.
     live = links.labelled(links.labelled(diffs, "b", "comp"), "a", "comp_a")
-    live = live.select("a", "b", "n", "d", "s", "diff", "comp", (F.col("linked") | (F.col("comp") == F.col("comp_a"))).alias("inside"))
+    live = live.select("a", "b", "n", "d", "s", "diff", "own", "common", "comp", (F.col("linked") | (F.col("comp") == F.col("comp_a"))).alias("inside"))
     live = live.join(live.filter("not inside").select("a").distinct(), "a", "left_semi")
+    fields = ("n", "d", "s", "common", "comp", "inside")
+    far = live.filter("own is not null").select("a", F.lit(1).alias("band"), F.col("b").alias("c"), *fields, F.posexplode("own").alias("at", "e"))
+    far = far.withColumn("left", F.col("n") - F.col("common") - F.col("at"))
+    far = far.join(far.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+    live = live.filter("diff is not null").drop("own")
     out = lambda x: F.when(~F.col("inside"), F.col(x))
     held = None
     for turn in range(2):
@@ -273,28 +289,30 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
         bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"), F.max("q").alias("q_all"), F.max(out("q")).alias("q_out"))
         meets = F.when(F.col("inside"), (F.col("q") >= F.col("s_out")) & (F.col("s") <= F.col("q_out"))).otherwise((F.col("s") <= F.col("q_all")) & (F.col("q") >= F.col("s_all")))
         live = stage(live.join(bounds, "a").filter(meets).drop("r", "q", "s_all", "s_out", "q_all", "q_out"), "ngram-differences")
-        if live.isEmpty():
-            return None
-    unstage(diffs)
     own = live.select("a", "b", F.explode("diff").alias("e"))
     held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
     mine = Window.partitionBy("a", "b")
     placed = held.withColumns({"turn": F.row_number().over(mine.orderBy("held", "e")), "r": F.count("*").over(mine)})
     bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"))
     placed = placed.join(live.drop("diff"), ["a", "b"]).join(bounds, "a").withColumn("at", F.col("d") - F.col("r") + F.col("turn"))
-    reaches = lambda at, d, need: 2 * (of + parts) * (F.col(d) - F.col(at) + 1) >= need  # noqa: E731  what is left from a place on meets a demand
+    placed = placed.withColumns({"left": F.col("d") - F.col("at") + 1, "band": F.lit(0), "c": F.col("b")})
     least = F.col("s") + F.when(F.col("inside"), F.col("s_out")).otherwise(F.col("s_all"))
-    posted = stage(placed.filter(reaches("at", "d", F.greatest(least, F.lit(1)))).select("a", "e", F.col("b").alias("c"), "n", "d", "s", "at", "comp", "inside"), "ngram-difference-postings")
-    size = posted.groupBy("a", "e").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    posted = posted.join(size.select("a", "e", (F.lit(not last) & (F.col("held") > SMALL_DIFFERENCE)).alias("large")), ["a", "e"])
+    near = placed.filter(2 * (of + parts) * F.col("left") >= F.greatest(least, F.lit(1)))
+    names = ("a", "e", "band", "c", *fields, "left")
+    posted = stage(near.select(*names).unionByName(far.select(*names)), "ngram-difference-postings")
+    unstage(diffs)
+    size = posted.groupBy("a", "e", "band").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    posted = posted.join(size.select("a", "e", "band", (F.lit(not last) & (F.col("held") > SMALL_DIFFERENCE)).alias("large")), ["a", "e", "band"])
     one = posted.filter("not large")
-    two = one.select("a", "e", *(F.col(x).alias(f"{x}2") for x in ("c", "d", "s", "at", "comp", "inside")))
-    need = F.col("s") + F.col("s2")
-    fits = (F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2")) & reaches("at", "d", need) & reaches("at2", "d2", need)
-    pairs = stage(one.join(two, ["a", "e"]).filter(fits).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "ngram-pairs")
+    two = one.select("a", "e", "band", *(F.col(x).alias(f"{x}2") for x in ("c", *fields, "left")))
+    # What is left from the shared place on (and, of far ones, what the leader may have of both) meets the demand.
+    left = F.least("left", "left2")
+    meets = F.when(F.col("band") == 0, 2 * (of + parts) * left >= F.col("s") + F.col("s2")).otherwise((of + parts) * (left + F.least("common", "common2")) >= parts * (F.col("n") + F.col("n2")))
+    fits = (F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2")) & meets
+    pairs = stage(one.join(two, ["a", "e", "band"]).filter(fits).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "ngram-pairs")
     if not pairs.isEmpty():
         links.add(_verified(pairs, sets, parts, of), label=not last)
-    rest = stage(posted.filter("large").select(F.col("a").alias("g"), F.col("e").alias("h"), F.lit(0).alias("band"), "c", "n", (F.col("d") / F.col("n")).alias("first")), "ngram-live")
+    rest = stage(posted.filter("large").select(F.col("a").alias("g"), F.col("e").alias("h"), "band", "c", "n", (F.col("d") / F.col("n")).alias("first"), F.lit(True).alias("tight")), "ngram-live")
     return None if rest.isEmpty() else rest
 
 
@@ -352,29 +370,36 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reach = F.floor(most * (of + parts) / parts).cast("long") - F.col("n")
     sized = turned.withColumn("reach", reach).filter(of * F.col("reach") >= parts * F.col("n"))
     sized = sized.withColumn("large", F.lit(not exact) & ((F.col("spread") > 0) | (F.col("held") > SMALL_BUCKET)))
-    parted = stage(sized.select("h", "c", "n", "at", "m", "reach", "large"), "ngram-buckets")
+    sized = sized.withColumn("g", F.sum(F.col("large").cast("long")).over(own))
+    parted = stage(sized.select("h", "c", "n", "at", "m", "reach", "large", "g"), "ngram-buckets")
     unstage(held)
     unstage(raw)
     small, large = parted.filter("not large"), parted.filter("large")
 
-    # A pair that shares no large bucket shares all its prefix n-grams in small ones.
-    two = small.select("h", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "at", "m", "reach")))
+    # The first n-gram that a pair shares is in a small bucket or in a large one. Of what it shares in
+    # small ones the pair's large buckets (g) may be missing.
+    two = small.select("h", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "at", "m", "reach", "g")))
     near = (of * F.least("n", "n2") >= parts * F.greatest("n", "n2")) & (F.col("n2") <= F.col("reach")) & (F.col("n") <= F.col("reach2"))
+    more = F.least(F.min("g"), F.min("g2"))
     # What lies behind the last shared n-gram may all be shared.
-    rest = F.least(F.min(F.col("n") - F.col("at")), F.min(F.col("n2") - F.col("at2")))
+    rest = F.least(F.min(F.col("n") - F.col("at")), F.min(F.col("n2") - F.col("at2"))) + more
     counted = small.join(two, "h").filter((F.col("c") < F.col("c2")) & near).groupBy(F.col("c").alias("a"), F.col("c2").alias("b")).agg(
-        F.count("*").alias("shared"), F.least(F.min("m"), F.min("m2")).alias("need"), rest.alias("rest"), F.min(F.col("n") + F.col("n2")).alias("size")
+        F.count("*").alias("shared"), (F.least(F.min("m"), F.min("m2")) - more).alias("need"), rest.alias("rest"), F.min(F.col("n") + F.col("n2")).alias("size")
     )
     enough = (F.col("shared") >= F.col("need")) & ((of + parts) * (F.col("shared") + F.col("rest")) >= parts * F.col("size"))
     pairs = stage(counted.filter(enough).select("a", "b"), "ngram-pairs")
-    sets, sets_large = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), large, k, twins)
+    sets, sets_large = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), large, k, frequency, twins)
     links = _Links()
     links.add(_verified(pairs, sets, parts, of))
     unstage(pairs)
 
+    # That first n-gram stands in the shortest prefix of either set, and in the smaller set (``tight``)
+    # in a still shorter one; buckets without such a member hold no link.
+    large = large.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * parts / of) + 1)
+    tight = F.col("at") <= F.col("n") - F.ceil(2 * parts * F.col("n") / (of + parts)) + 1
     # Two sets that can link are in a common band of sizes, so a leader is about its members' size.
     band = F.sequence(F.floor(F.log2("n")).cast("int"), F.floor(F.log2(F.col("n") * of / parts)).cast("int"))
-    live = large.select(F.lit(0).cast("long").alias("g"), "h", F.explode(band).alias("band"), "c", "n", (-F.col("reach") / F.col("n")).alias("first"))
+    live = large.select(F.lit(0).cast("long").alias("g"), "h", F.explode(band).alias("band"), "c", "n", (-F.col("reach") / F.col("n")).alias("first"), tight.alias("tight"))
     live = None if live.isEmpty() else stage(live, "ngram-live")
     unstage(parted)
     level = 0

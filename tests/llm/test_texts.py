@@ -154,7 +154,7 @@ def test_a_large_group_of_copies_that_hardly_link(spark, monkeypatch, difference
     monkeypatch.setattr(ngramjoin, "SMALL_DIFFERENCE", difference)
     monkeypatch.setattr(ngramjoin, "LEVELS", levels)
     made, stage = [], ngramjoin.stage
-    monkeypatch.setattr(ngramjoin, "stage", lambda df, name: made.append((name, out := stage(df, name))) or out)
+    monkeypatch.setattr(ngramjoin, "stage", lambda df, name, **by: made.append((name, out := stage(df, name, **by))) or out)
     monkeypatch.setattr(ngramjoin, "unstage", lambda df: None)
     rng = random.Random(difference + levels)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
