@@ -235,7 +235,10 @@ class _Links:
 
 
 def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of: int, last: bool) -> DataFrame | None:
-    """Add the links within large buckets (g, h, band) of members (c, n, first, tight) of which one is tight; what is left for a next level.
+    """Add the links within large buckets (g, h, band) of members (c, n, first, ratio); what is left for a next level.
+
+    ratio: how many times its size a partner of the member can have, by this bucket. Two members link
+    only if the product of their ratios is 1 or more.
 
     The member of a bucket with the smallest ``first`` leads it. With D the difference between a set
     and its leader's, two members A and B differ in |D_A| + |D_B| - 2 |D_A and D_B shared|, so they
@@ -252,8 +255,8 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     key = ["g", "h", "band"]
     live = links.labelled(live)
     order = F.struct("first", F.xxhash64("c"), "c")
-    mixed = live.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order)["c"].alias("a"), F.max("tight").alias("tight")).filter("low < high and tight")
-    pairs = stage(live.join(mixed.select(*key, "a"), key).filter("c != a").select("a", F.col("c").alias("b")).distinct(), "ngram-leaders")
+    mixed = live.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order)["c"].alias("a"), F.max("ratio").alias("top")).filter("low < high")
+    pairs = stage(live.join(mixed.select(*key, "a", "top"), key).filter("c != a and ratio * top >= 0.999999").select("a", F.col("c").alias("b")).distinct(), "ngram-leaders")
     apart = F.concat(F.array_except("own_a", "own_b"), F.array_except("own_b", "own_a"))
     diffs = _beside(pairs, sets).select("a", "b", F.size("own_b").cast("long").alias("n"), F.size("own_a").cast("long").alias("n_a"), F.array_except("own_b", "own_a").alias("own"), apart.alias("diff"))
     diffs = diffs.withColumn("d", F.size("diff").cast("long")).withColumn("s", (of + parts) * F.col("d") - (of - parts) * F.col("n"))
@@ -279,16 +282,13 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     far = far.join(far.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
     live = live.filter("diff is not null").drop("own")
     out = lambda x: F.when(~F.col("inside"), F.col(x))
-    held = None
-    for turn in range(2):
-        # What a member shares with any other is at most r, the differences that several hold.
-        own = live.select("a", "b", F.explode("diff").alias("e"))
-        held = own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1")
-        held = own.join(held, ["a", "e"])
-        live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"]).withColumn("q", 2 * (of + parts) * F.col("r") - F.col("s"))
-        bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"), F.max("q").alias("q_all"), F.max(out("q")).alias("q_out"))
-        meets = F.when(F.col("inside"), (F.col("q") >= F.col("s_out")) & (F.col("s") <= F.col("q_out"))).otherwise((F.col("s") <= F.col("q_all")) & (F.col("q") >= F.col("s_all")))
-        live = stage(live.join(bounds, "a").filter(meets).drop("r", "q", "s_all", "s_out", "q_all", "q_out"), "ngram-differences")
+    # What a member shares with any other is at most r, the differences that several hold.
+    own = live.select("a", "b", F.explode("diff").alias("e"))
+    held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+    live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"]).withColumn("q", 2 * (of + parts) * F.col("r") - F.col("s"))
+    bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"), F.max("q").alias("q_all"), F.max(out("q")).alias("q_out"))
+    meets = F.when(F.col("inside"), (F.col("q") >= F.col("s_out")) & (F.col("s") <= F.col("q_out"))).otherwise((F.col("s") <= F.col("q_all")) & (F.col("q") >= F.col("s_all")))
+    live = stage(live.join(bounds, "a").filter(meets).drop("r", "q", "s_all", "s_out", "q_all", "q_out"), "ngram-differences")
     own = live.select("a", "b", F.explode("diff").alias("e"))
     held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
     mine = Window.partitionBy("a", "b")
@@ -312,7 +312,7 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     pairs = stage(one.join(two, ["a", "e", "band"]).filter(fits).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "ngram-pairs")
     if not pairs.isEmpty():
         links.add(_verified(pairs, sets, parts, of), label=not last)
-    rest = stage(posted.filter("large").select(F.col("a").alias("g"), F.col("e").alias("h"), "band", "c", "n", (F.col("d") / F.col("n")).alias("first"), F.lit(True).alias("tight")), "ngram-live")
+    rest = stage(posted.filter("large").select(F.col("a").alias("g"), F.col("e").alias("h"), "band", "c", "n", (F.col("d") / F.col("n")).alias("first"), F.lit(1.0).alias("ratio")), "ngram-live")
     return None if rest.isEmpty() else rest
 
 
@@ -370,8 +370,10 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reach = F.floor(most * (of + parts) / parts).cast("long") - F.col("n")
     sized = turned.withColumn("reach", reach).filter(of * F.col("reach") >= parts * F.col("n"))
     sized = sized.withColumn("large", F.lit(not exact) & ((F.col("spread") > 0) | (F.col("held") > SMALL_BUCKET)))
+    # N-grams that no other set holds come first: a set with few of them stands in the middle of its copies.
+    sized = sized.withColumn("lone", F.max(F.col("at") - F.col("turn")).over(own) / F.col("n"))
     sized = sized.withColumn("g", F.sum(F.col("large").cast("long")).over(own))
-    parted = stage(sized.select("h", "c", "n", "at", "m", "reach", "large", "g"), "ngram-buckets")
+    parted = stage(sized.select("h", "c", "n", "at", "m", "reach", "large", "g", "lone"), "ngram-buckets")
     unstage(held)
     unstage(raw)
     small, large = parted.filter("not large"), parted.filter("large")
@@ -393,13 +395,12 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links.add(_verified(pairs, sets, parts, of))
     unstage(pairs)
 
-    # That first n-gram stands in the shortest prefix of either set, and in the smaller set (``tight``)
-    # in a still shorter one; buckets without such a member hold no link.
-    large = large.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * parts / of) + 1)
-    tight = F.col("at") <= F.col("n") - F.ceil(2 * parts * F.col("n") / (of + parts)) + 1
+    # A first shared n-gram at a late place leaves little to share, which bounds the partner's size.
+    ratio = (F.floor((F.col("n") - F.col("at") + 1) * (of + parts) / parts) - F.col("n")) / F.col("n")
+    large = large.withColumn("ratio", F.least(ratio, F.col("reach") / F.col("n"))).filter(of * F.col("ratio") >= parts * 0.999999)
     # Two sets that can link are in a common band of sizes, so a leader is about its members' size.
     band = F.sequence(F.floor(F.log2("n")).cast("int"), F.floor(F.log2(F.col("n") * of / parts)).cast("int"))
-    live = large.select(F.lit(0).cast("long").alias("g"), "h", F.explode(band).alias("band"), "c", "n", (-F.col("reach") / F.col("n")).alias("first"), tight.alias("tight"))
+    live = large.select(F.lit(0).cast("long").alias("g"), "h", F.explode(band).alias("band"), "c", "n", F.col("lone").alias("first"), "ratio")
     live = None if live.isEmpty() else stage(live, "ngram-live")
     unstage(parted)
     level = 0
