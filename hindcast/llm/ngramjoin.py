@@ -62,8 +62,8 @@ def _sets(batch: pa.RecordBatch, k: int, twins: frozenset[int] = frozenset()) ->
 
 
 def _statistics(k: int):
-    """Rows of documents (doc_id, n, c, check) and of n-grams that repeat within a run (h, seen)."""
-    names = ["doc_id", "n", "c", "check", "h", "seen"]
+    """Rows of documents (doc_id, row, n, c, check) and of n-grams that repeat within a run (h, seen)."""
+    names = ["doc_id", "row", "n", "c", "check", "h", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -73,7 +73,7 @@ def _statistics(k: int):
             h, seen = np.unique(np.concatenate(held), return_counts=True)
             h, seen = h[seen > 1].view(np.int64), seen[seen > 1]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(h), pa.array(seen.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(h), pa.array(seen.astype(np.int64))], names)
 
         for batch in chunks(batches, "text"):
             n, c, check = np.zeros((3, batch.num_rows), np.int64)
@@ -87,7 +87,7 @@ def _statistics(k: int):
                 yield counted()
                 held, total = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(c, mask=n == 0), pa.array(check), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(c, mask=n == 0), pa.array(check), none, none], names)
         if held:
             yield counted()
 
@@ -316,10 +316,12 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     return None if rest.isEmpty() else rest
 
 
-def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, parts: int = 80, of: int = 100, exact: bool = False) -> DataFrame:
+def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, parts: int = 80, of: int = 100, exact: bool = False, row_col: str | None = None) -> DataFrame:
     """Groups of documents that links of Jaccard similarity >= parts / of connect.
 
-    Returns a row for each row of ``docs``: (doc_id, n_shingles, component_id, class_id), and n_links with ``exact``.
+    Returns a row for each row of ``docs``: (doc_id, n_shingles, component_id, class_id, group_id), n_links
+    with ``exact`` and with ``row_col`` the whole number that tells rows of one id apart. group_id names
+    the group by its smallest class: null without words.
     A set holds the distinct k-word sequences (words: runs outside of [\\x20\\x09-\\x0D], A-Z
     lower-cased); with fewer words, the whole text as one; a null text or one without words has an
     empty set, links with nothing and is its own component. component_id is the smallest id that
@@ -344,9 +346,9 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     4. Components of the links, by contraction.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    read = stage(docs.mapInArrow(_statistics(k), "doc_id long, n long, c long, check long, h long, seen long"), "ngram-statistics")
-    counts, known = read.filter("h is not null").select("h", "seen"), read.filter("h is null").select("doc_id", "n", "c", "check")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
+    read = stage(docs.mapInArrow(_statistics(k), "doc_id long, row long, n long, c long, check long, h long, seen long"), "ngram-statistics")
+    counts, known = read.filter("h is not null").select("h", "seen"), read.filter("h is null").select("doc_id", "row", "n", "c", "check")
     # Different sets of one fingerprint: about documents ** 2 / 2 ** 65 of them.
     shared = known.filter("c is not null").groupBy("c").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low < high")
     twins = frozenset(r.c for r in shared.select("c").collect())
@@ -415,12 +417,12 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = links.all
     classes = known.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     if component is None:
-        named = classes.filter("rows > 1").select("c", F.col("first").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        named = classes.filter("rows > 1").select("c", F.col("first").alias("component_id"), F.col("c").alias("comp"), F.lit(0).cast("long").alias("n_links"))
     else:
         degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
         linked = classes.join(component, "c", "left").filter("rows > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "c"))
         smallest = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
-        named = linked.join(smallest, "comp").join(degree, "c", "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        named = linked.join(smallest, "comp").join(degree, "c", "left").select("c", "component_id", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     named = stage(named, "ngram-named")
     # A key that can't match spreads the rows without words.
     own = known.withColumn("key", F.coalesce("c", F.xxhash64("doc_id")))
@@ -428,6 +430,6 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.col("c").isNull()
     out = out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.col("c").alias("class_id"), F.when(none, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+        F.col("c").alias("class_id"), F.coalesce("comp", "c").alias("group_id"), *(["row"] if row_col else []), F.when(none, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
     return out if exact else out.drop("n_links")

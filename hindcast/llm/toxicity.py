@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from .common import chunks, text_buffers
 from .words import ALNUM, LOWER, U64, hashes, mix, spans
 
-#: Words in a window, and words from one window's start to the next one's.
-WINDOW, STRIDE = 32, 24
-#: Windows scored at a time.
-BATCH = 4096
+#: Words in a window, and words from one window's start to the next one's: a passage of up to 17 words
+#: lies whole in some window, a longer one fills half of one at least.
+WINDOW, STRIDE = 32, 16
+#: Times that the windows of a toxic text that take its label are halved.
+HALVINGS = 3
+#: Windows scored at a time, and bytes of text that are cut into words at a time (one text at least).
+BATCH, SLICE = 4096, 1 << 20
 
 
 @dataclass
@@ -43,6 +46,10 @@ def words_of(data: np.ndarray, at: np.ndarray, sizes: Sizes) -> tuple[Vocabulary
 
     Word 0 is the padding; it has no n-grams.
     """
+    return _hashed_words(data, at, sizes)[:3]
+
+
+def _hashed_words(data: np.ndarray, at: np.ndarray, sizes: Sizes) -> tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, doc = spans(data, at, ALNUM)
     value, index, number = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
     begin, length = starts[index], ends[index] - starts[index]
@@ -67,7 +74,30 @@ def words_of(data: np.ndarray, at: np.ndarray, sizes: Sizes) -> tuple[Vocabulary
     order = np.argsort(owners, kind="stable")
     first = np.r_[0, np.searchsorted(owners[order], np.arange(len(value) + 1))]
     slot = np.r_[0, 1 + (value % U64(sizes.word_slots - 1)).astype(np.int64)]
-    return Vocabulary(slot, grams[order], first), number + 1, np.searchsorted(doc, np.arange(len(at)))
+    return Vocabulary(slot, grams[order], first), number + 1, np.searchsorted(doc, np.arange(len(at))), value
+
+
+def words_in_slices(texts: pa.Array, sizes: Sizes) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """As ``words_of``, from texts in slices, so that what is held beside the result is bounded by a slice."""
+    slots, grams, counts, numbers, ends, values = [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], []
+    for part in chunks([pa.RecordBatch.from_arrays([texts], ["text"])], "text", SLICE):
+        data, at = text_buffers(part.column(0))
+        own, number, at, value = _hashed_words(LOWER[data], at, sizes)
+        numbers.append(number + sum(map(len, values)))
+        ends.append(at[1:] + ends[-1][-1])
+        slots.append(own.slot[1:])
+        grams.append(own.grams)
+        counts.append(np.diff(own.first)[1:])
+        values.append(value)
+    if not values:
+        return Vocabulary(slots[0], np.zeros(0, np.int32), np.zeros(2, np.int64)), np.zeros(0, np.int64), ends[0]
+    every = Vocabulary(np.concatenate(slots), np.concatenate(grams), np.r_[0, np.cumsum(np.concatenate(counts))])
+    if len(values) == 1:
+        return every, numbers[0], np.concatenate(ends)
+    _, index, inverse = np.unique(np.concatenate(values), return_index=True, return_inverse=True)
+    once, _ = _part(every, index[None] + 1)
+    place = np.r_[0, np.searchsorted(np.sort(index), index)[inverse] + 1]  # words of ``once`` stand as they came
+    return once, place[np.concatenate(numbers)], np.concatenate(ends)
 
 
 def windows(number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +236,7 @@ class Scorer:
 
     def raw(self, texts: pa.Array) -> np.ndarray:
         """The highest logit of each text over all of its windows."""
-        data, at = text_buffers(texts)
-        vocabulary, number, at = words_of(LOWER[data], at, self.network.sizes)
+        vocabulary, number, at = words_in_slices(texts, self.network.sizes)
         rows, text = windows(number, at)
         embedded = self.network.embed(vocabulary)
         best = np.full(len(texts), -np.inf)
@@ -219,14 +248,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.shift, -40, 40)))
 
 
-def fit(texts: list[str], toxic: list[int], share_toxic: float, least_epochs: int = 4, least_steps: int = 250, windows_a_text: int = 12, batch: int = 256, seed: int = 11) -> Scorer:
+def fit(texts: list[str], toxic: list[int], share_toxic: float, least_epochs: int = 4, least_steps: int = 250, windows_a_text: int = 16, batch: int = 256, seed: int = 11) -> Scorer:
     """Train on labelled texts; a fifth is held back to set the scale.
 
     Labels belong to texts, not windows: at first each of up to ``windows_a_text`` windows of a text
     takes its label; after each epoch only the higher half of what a toxic text has left does, down
-    to a quarter. Losses are
-    weighted to balance the classes, and the scale to the share of toxic texts among all labels.
+    to an eighth (one window at least). Losses are weighted to
+    balance the classes, and the scale to the share of toxic texts among all labels.
     Few windows are gone through more often, up to ``least_steps`` steps.
+    ``windows_a_text`` bounds the training windows as ``train`` bounds the rows; scores take all windows.
     """
     rng, network = np.random.default_rng(seed), Network(Sizes(), seed)
     toxic = np.asarray(toxic, np.int64)
@@ -239,8 +269,7 @@ def fit(texts: list[str], toxic: list[int], share_toxic: float, least_epochs: in
     for kind in (0, 1):  # a fifth of either class, if it has enough
         own = rng.permutation(np.flatnonzero(toxic == kind))
         back[own[: len(own) // 5]] = True
-    data, at = text_buffers(column)
-    vocabulary, number, at = words_of(LOWER[data], at, network.sizes)
+    vocabulary, number, at = words_in_slices(column, network.sizes)
     rows, text = windows(number, at)
     order = rng.permutation(len(rows))
     order = order[np.argsort(text[order], kind="stable")]
@@ -258,7 +287,7 @@ def fit(texts: list[str], toxic: list[int], share_toxic: float, least_epochs: in
             by = np.lexsort((-logit, text))
             place = np.empty(len(rows), np.int64)
             place[by] = np.arange(len(by)) - np.searchsorted(text[by], text[by])
-            on = (label == 0) | (place < -(-np.bincount(text)[text] // 2 ** min(epoch, 2)))
+            on = (label == 0) | (place < -(-np.bincount(text)[text] // 2 ** min(epoch, HALVINGS)))
         use = rng.permutation(np.flatnonzero(on))
         balance = np.where(label == 1, (label[use] == 0).sum() / max(1, (label[use] == 1).sum()), 1.0).astype(np.float32)
         for i in range(0, len(use), batch):
