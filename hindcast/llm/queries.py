@@ -136,8 +136,8 @@ WITH base AS ({_spans_sql("assign", 0, _ASSIGN, 2, 8)} UNION ALL {_spans_sql("ac
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.s + o.n AND o.s < b.s + b.n)
 ), each AS (
   SELECT *, kind || ':' || s || ':' || (s + n) AS label FROM (FROM base UNION ALL FROM opaque)
-), held AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM each GROUP BY value
-), judged AS (SELECT each.*, owners <= 2 AS live FROM each JOIN held USING (value) WHERE no < 3 OR owners <= 2
+), held AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT concat_ws('/', source, lang)) AS repositories FROM each GROUP BY value
+), judged AS (SELECT each.*, owners <= 2 AND repositories <= 4 AS live FROM each JOIN held USING (value) WHERE no < 3 OR (owners <= 2 AND repositories <= 4)
 ), per AS (
   SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
          string_agg(label, ',' ORDER BY s, no) FILTER (WHERE no < 3) AS base, string_agg(label, ',' ORDER BY s, no) AS spans,

@@ -288,6 +288,19 @@ def test_secrets(spark):
     assert {r.doc_id: r.spans for r in got}[7] == "opaque:4:25"
 
 
+def test_secrets_of_very_long_texts(spark):
+    """Time and memory are linear in a run's length and in the number of matches."""
+    import time
+
+    texts = ["=" * 1_000_000, "z" * 500_000 + "=" * 500_000, "".join(f"token=key{i:07d} " for i in range(100_000))]
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan_secrets(documents(spark, texts)).drop("found").collect()}
+    assert time.time() - began < 120
+    assert [got[i].n_assign for i in range(3)] == [0, 0, 100_000] and got[0].spans == got[1].spans == ""
+    spans = ",".join(f"assign:{17 * i}:{17 * i + 16}" for i in range(100_000))
+    assert got[2].spans == spans and got[2].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
 def test_secrets_of_many_owners_are_shared(spark):
     rows = [(i, "password=example-password", f"owner{i}") for i in range(9)] + [(9, "password=only-this-one", "owner1"), (10, "x Zk81hfQ0aTTy6cQm4hG1xx y", "o1"), (11, None, None)]
     rows += [(20 + i, "Aa1" * 8, f"o{i}") for i in range(5)]
