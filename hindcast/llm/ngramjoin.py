@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, stage, text_buffers, unstage
@@ -234,13 +234,23 @@ class _Links:
         return df.join(named, c, "left").withColumn(comp, F.coalesce(comp, c))
 
 
-def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of: int, last: bool) -> DataFrame | None:
-    """Add the links within large buckets (g, h, band) of members (c, n, first, ratio); what is left for a next level.
+def _leaders(live: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the leader and each other member of buckets (g, h, band) of members (c, n, first, ratio, comp).
+
+    The member with the smallest ``first`` leads. ratio: how many times its size a partner of the
+    member can have, by this bucket; two members link only if the product of their ratios is 1 or more.
+    """
+    key = ["g", "h", "band"]
+    order = F.struct("first", F.xxhash64("c"), "c")
+    mixed = live.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order)["c"].alias("a"), F.max("ratio").alias("top")).filter("low < high")
+    pairs = live.join(mixed.select(*key, "a", "top"), key).filter("c != a and ratio * top >= 0.999999").select("a", F.col("c").alias("b"))
+    return stage(pairs.distinct(), "ngram-leaders")
 
-    ratio: how many times its size a partner of the member can have, by this bucket. Two members link
-    only if the product of their ratios is 1 or more.
 
-    The member of a bucket with the smallest ``first`` leads it. With D the difference between a set
+def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of: int, last: bool) -> DataFrame | None:
+    """Add the links within large buckets, by pairs of a leader and a member; the buckets for a next level.
+
+    With D the difference between a set
     and its leader's, two members A and B differ in |D_A| + |D_B| - 2 |D_A and D_B shared|, so they
     link if 2 (of + parts) shared >= s_A + s_B, where s = (of + parts) |D| - (of - parts) size. Of two
     that a link to the leader doesn't connect already, one has s > (of - parts) leader's size, so they
@@ -252,11 +262,6 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     by the prefix that a link asks for. As |D_A| and |D_B| of a link are close, no link is between
     one that is near only (|D| <= n / 2) and one that is far only (|D| > n), if parts / of >= 3 / 4.
     """
-    key = ["g", "h", "band"]
-    live = links.labelled(live)
-    order = F.struct("first", F.xxhash64("c"), "c")
-    mixed = live.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order)["c"].alias("a"), F.max("ratio").alias("top")).filter("low < high")
-    pairs = stage(live.join(mixed.select(*key, "a", "top"), key).filter("c != a and ratio * top >= 0.999999").select("a", F.col("c").alias("b")).distinct(), "ngram-leaders")
     apart = F.concat(F.array_except("own_a", "own_b"), F.array_except("own_b", "own_a"))
     diffs = _beside(pairs, sets).select("a", "b", F.size("own_b").cast("long").alias("n"), F.size("own_a").cast("long").alias("n_a"), F.array_except("own_b", "own_a").alias("own"), apart.alias("diff"))
     diffs = diffs.withColumn("d", F.size("diff").cast("long")).withColumn("s", (of + parts) * F.col("d") - (of - parts) * F.col("n"))
@@ -268,7 +273,6 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
         "own": F.when((2 * F.col("d") > F.col("n")) & F.lit(rings), F.slice("own", 1, length.cast("int"))), "diff": F.when((F.col("d") <= F.col("n")) | F.lit(not rings), F.col("diff")),
     })
     diffs = stage(diffs, "ngram-differences")
-    unstage(pairs)
     found = stage(diffs.filter("linked").select("a", "b"), "ngram-links")
     links.add(None if found.isEmpty() else found)
 
@@ -282,13 +286,19 @@ def _by_leader(live: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     far = far.join(far.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
     live = live.filter("diff is not null").drop("own")
     out = lambda x: F.when(~F.col("inside"), F.col(x))
-    # What a member shares with any other is at most r, the differences that several hold.
+
+    def able(live: DataFrame, r: Column) -> DataFrame:
+        """Members that can meet some partner's demand, if they share at most r of their differences with any."""
+        live = live.withColumn("q", 2 * (of + parts) * r - F.col("s"))
+        bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"), F.max("q").alias("q_all"), F.max(out("q")).alias("q_out"))
+        meets = F.when(F.col("inside"), (F.col("q") >= F.col("s_out")) & (F.col("s") <= F.col("q_out"))).otherwise((F.col("s") <= F.col("q_all")) & (F.col("q") >= F.col("s_all")))
+        return live.join(bounds, "a").filter(meets).drop("q", "s_all", "s_out", "q_all", "q_out")
+
+    live = stage(able(live, F.col("d")), "ngram-differences")
     own = live.select("a", "b", F.explode("diff").alias("e"))
     held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
-    live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"]).withColumn("q", 2 * (of + parts) * F.col("r") - F.col("s"))
-    bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"), F.max("q").alias("q_all"), F.max(out("q")).alias("q_out"))
-    meets = F.when(F.col("inside"), (F.col("q") >= F.col("s_out")) & (F.col("s") <= F.col("q_out"))).otherwise((F.col("s") <= F.col("q_all")) & (F.col("q") >= F.col("s_all")))
-    live = stage(live.join(bounds, "a").filter(meets).drop("r", "q", "s_all", "s_out", "q_all", "q_out"), "ngram-differences")
+    live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"])  # r: the differences that several hold
+    live = stage(able(live, F.col("r")).drop("r"), "ngram-differences")
     own = live.select("a", "b", F.explode("diff").alias("e"))
     held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
     mine = Window.partitionBy("a", "b")
@@ -392,25 +402,28 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     enough = (F.col("shared") >= F.col("need")) & ((of + parts) * (F.col("shared") + F.col("rest")) >= parts * F.col("size"))
     pairs = stage(counted.filter(enough).select("a", "b"), "ngram-pairs")
-    sets, sets_large = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), large, k, frequency, twins)
-    links = _Links()
-    links.add(_verified(pairs, sets, parts, of))
-    unstage(pairs)
-
     # A first shared n-gram at a late place leaves little to share, which bounds the partner's size.
     ratio = (F.floor((F.col("n") - F.col("at") + 1) * (of + parts) / parts) - F.col("n")) / F.col("n")
     large = large.withColumn("ratio", F.least(ratio, F.col("reach") / F.col("n"))).filter(of * F.col("ratio") >= parts * 0.999999)
     # Two sets that can link are in a common band of sizes, so a leader is about its members' size.
     band = F.sequence(F.floor(F.log2("n")).cast("int"), F.floor(F.log2(F.col("n") * of / parts)).cast("int"))
     live = large.select(F.lit(0).cast("long").alias("g"), "h", F.explode(band).alias("band"), "c", "n", F.col("lone").alias("first"), "ratio")
-    live = None if live.isEmpty() else stage(live, "ngram-live")
+    led = _leaders(live.withColumn("comp", F.col("c")))
     unstage(parted)
+    sets, sets_large = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), led.select(F.explode(F.array("a", "b")).alias("c")), k, frequency, twins)
+    links = _Links()
+    links.add(_verified(pairs, sets, parts, of))
+    unstage(pairs)
+
     level = 0
-    while live is not None:
+    while not led.isEmpty():
         level += 1
-        rest = _by_leader(live, sets_large, links, parts, of, last=level == LEVELS)
+        live = _by_leader(led, sets_large, links, parts, of, last=level == LEVELS)
+        unstage(led)
+        if live is None:
+            break
+        led = _leaders(links.labelled(live))
         unstage(live)
-        live = rest
 
     unstage(sets)
     component = None if links.all is None else connected_components(links.all, "c", "comp")
