@@ -336,3 +336,38 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[2] - seen[3] == {608} & seen[2] and seen[4] == seen[3]
     kept = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/line_dedup").collect()}
     assert all(kept[i].startswith(line) == (i == 604) for i in range(600, 605) if i in kept)
+
+
+def test_longer_hashes_score_a_smaller_share():
+    shares = []
+    for n in (600, 3000, 12000):
+        v = np.random.default_rng(n).standard_normal((n, 64))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        asked, norms = np.arange(0, n, n // 60), (1.0, 1.0)
+        axes = ann.levels(64, n)
+        met, pairs = np.zeros((len(asked), n), bool), 0
+        for table in range(16):
+            own = ann.place_candidates(ann.prepare(v, norms, False), axes, table, 7)
+            for i, probed in enumerate(ann.place_queries(ann.prepare(v[asked], norms, True), axes, table, ann.probe_count(axes, 0.85), 7)):
+                found = np.isin(own, probed)
+                assert len(set(probed.tolist())) == len(probed)
+                pairs += found.sum()
+                met[i] |= found
+        near = v[asked] @ v.T
+        near[np.arange(len(asked)), asked] = -9
+        top = np.argpartition(-near, 19, axis=1)[:, :20]
+        assert met[np.arange(len(asked))[:, None], top].mean() >= 0.9
+        shares.append(pairs / met.size)
+    assert shares[0] > 1.5 * shares[1] and shares[1] > 1.3 * shares[2] and shares[2] < 0.4, shares
+
+
+@pytest.mark.parametrize("cut", [40, 16384])
+def test_nearest_blocks_cut_hot_parts(spark, cut, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", cut)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    v = np.random.default_rng(5).integers(-2, 3, (300, 4)) + 0.5  # many equal vectors and ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, is_query=F.col("vec_id") % 20 == 0, probes=1000.0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == nearest_by_hand([(i, x.tolist()) for i, x in enumerate(v)], 20, lambda q: q % 20 == 0)
