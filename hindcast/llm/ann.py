@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: At most about this many candidates and queries meet in one task's block.
-CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Components (vectors times their length) of candidates and of queries that meet in one task's block.
+CANDIDATE_BLOCK, QUERY_BLOCK = 1 << 22, 1 << 18
 #: Classes that a bucket holds on average: more vectors make longer hashes, not fuller buckets.
 BUCKET = 3
 #: Cross-polytopes that a hash has at most.
@@ -130,7 +130,7 @@ def _place(df: DataFrame, query: bool, norms: dict, tables: int, probes: float,
                     least, most, classes = norms[v.shape[1]]
                     x = prepare(v, (least, most), query)
                     axes = levels(x.shape[1], classes)
-                    parts = -(-classes // CANDIDATE_BLOCK)
+                    parts = -(-classes // max(1, CANDIDATE_BLOCK // v.shape[1]))
                     for table in range(tables):
                         found = place_queries(x, axes, table, probe_count(axes, probes), seed) if query else place_candidates(x, axes, table, seed)[:, None]
                         row, bucket = np.repeat(rows, found.shape[1]), found.ravel()
@@ -192,7 +192,11 @@ def _cut(candidates: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
 
     The list of such parts stays a table; the size it has decides how it is joined.
     """
-    counts = [df.groupBy("dim", "part").count().filter(F.col("count") > most).select("dim", "part", F.ceil(F.col("count") / most).cast("int").alias(n)) for df, most, n in ((candidates, CANDIDATE_BLOCK, "n_c"), (queries, QUERY_BLOCK, "n_q"))]
+    def blocks(df: DataFrame, most: int, name: str) -> DataFrame:
+        n = F.ceil(F.col("count") / F.greatest(F.lit(1), F.floor(most / F.col("dim")))).cast("int")
+        return df.groupBy("dim", "part").count().select("dim", "part", n.alias(name)).filter(F.col(name) > 1)
+
+    counts = [blocks(candidates, CANDIDATE_BLOCK, "n_c"), blocks(queries, QUERY_BLOCK, "n_q")]
     large = stage(counts[0].join(counts[1], ["dim", "part"], "full"), "ann-large")
 
     def side(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:

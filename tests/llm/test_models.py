@@ -361,10 +361,10 @@ def test_longer_hashes_score_a_smaller_share():
     assert shares[0] > 1.5 * shares[1] and shares[1] > 1.3 * shares[2] and shares[2] < 0.4, shares
 
 
-@pytest.mark.parametrize("cut", [40, 16384])
+@pytest.mark.parametrize("cut", [160, 1 << 22])
 def test_nearest_blocks_cut_hot_parts(spark, cut, monkeypatch):
     monkeypatch.setattr(ann, "CANDIDATE_BLOCK", cut)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 12)
     v = np.random.default_rng(5).integers(-2, 3, (300, 4)) + 0.5  # many equal vectors and ties
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     got = {}
