@@ -149,3 +149,13 @@ def bounds(calendar: DataFrame, q: Column, horizon: int, date_from=None, date_to
     if row and row.b is not None:
         high = F.least(high, F.lit(row.b))
     return low, high
+
+
+def group_counts(picks: DataFrame, dates: DataFrame) -> DataFrame:
+    """(kind, value, n, n_sessions, n_entities) of chosen states by entity, by year and over all.
+
+    dates: (session_idx, session_date).
+    """
+    rows = picks.join(dates, "session_idx").select("entity", "session_idx", F.year("session_date").cast("string").alias("year"))
+    each = rows.select("entity", "session_idx", F.explode(F.create_map(F.lit("entity"), F.col("entity"), F.lit("year"), F.col("year"), F.lit("all"), F.lit("all"))).alias("kind", "value"))
+    return each.groupBy("kind", "value").agg(F.count("*").alias("n"), F.countDistinct("session_idx").alias("n_sessions"), F.countDistinct("entity").alias("n_entities"))

@@ -55,6 +55,19 @@ def by_slice(rows: DataFrame, slices: list[str], predictor: str, hit: str, width
     return out.select(predictor, name.alias("slice"), F.coalesce(*(F.col(s).cast("string") for s in slices)).alias("value"), "n", "coverage", "width").filter("slice is not null")
 
 
+def by_symbol(rows: DataFrame, least: int = 10) -> DataFrame:
+    """Coverage and mean width of bands (lo, hi) by entity, of those with at least ``least`` outcomes."""
+    held = rows.filter("y is not null and lo is not null")
+    out = held.groupBy("entity").agg(F.count("*").alias("n"), F.avg(F.col("y").between(F.col("lo"), F.col("hi")).cast("int")).alias("coverage"), F.avg(F.col("hi") - F.col("lo")).alias("width"))
+    return out.filter(F.col("n") >= least)
+
+
+def directional(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of outcomes y whose sign is that of the predicted median; zero is a sign of its own."""
+    held = rows.filter("y is not null and median is not null")
+    return held.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.signum("y") == F.signum("median")).cast("int")).alias("hit_rate"))
+
+
 def dispersion(rows: DataFrame, keys: list[str], coverage: str, width: str, vol: str, target: float) -> DataFrame:
     """Spread of coverage over entities, how many are within 10 points, and corr(width, vol); null if undefined."""
     c = F.col(coverage)

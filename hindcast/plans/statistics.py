@@ -94,6 +94,35 @@ def unconditional_band_all(p: Panel) -> DataFrame:
     return distribution.unconditional_band(p.grid, HORIZON, p.grid.filter("a is not null").select("entity", F.col("session_idx").alias("q")))
 
 
+_HELD = """held AS (SELECT g.entity, g.q, quantile_cont(o.y, 0.1) AS lo, quantile_cont(o.y, 0.9) AS hi, quantile_cont(o.y, 0.5) AS median, any_value(f.y) AS y
+FROM (SELECT DISTINCT entity, session_idx AS q FROM grid WHERE a IS NOT NULL) g JOIN outcomes5 o ON o.entity = g.entity AND o.session_idx + 5 <= g.q AND o.y IS NOT NULL
+JOIN outcomes5 f ON f.entity = g.entity AND f.session_idx = g.q AND f.y IS NOT NULL GROUP BY g.entity, g.q HAVING count(*) >= 30)"""
+
+
+def held(p: Panel) -> DataFrame:
+    """Predictions that are scored: the unconditional band and median of every session, and what followed."""
+    followed = outcomes5(p).filter("y is not null").select("entity", F.col("session_idx").alias("q"), "y")
+    return unconditional_band_all(p).join(followed, ["entity", "q"])
+
+
+@query(f"WITH {_HELD} SELECT entity, count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS coverage, round(avg(hi - lo), 6) AS width FROM held GROUP BY entity HAVING count(*) >= 10")
+def unconditional_by_symbol(p: Panel) -> DataFrame:
+    return validation.by_symbol(held(p))
+
+
+@query(f"WITH {_HELD} SELECT entity, count(*) AS n, round(avg(CASE WHEN sign(y) = sign(median) THEN 1 ELSE 0 END), 6) AS hit_rate FROM held GROUP BY entity")
+def unconditional_direction(p: Panel) -> DataFrame:
+    return validation.directional(held(p), ["entity"])
+
+
+@query(f"""WITH RECURSIVE {_ASKED}, {_FOUND}, {_POOL}, {_GREEDY},
+k AS (SELECT entity, session_idx, CAST(year(session_date) AS VARCHAR) AS y FROM chosen JOIN calendar USING (session_idx)),
+e AS (SELECT 'entity' AS kind, entity AS value, * FROM k UNION ALL SELECT 'year', y, * FROM k UNION ALL SELECT 'all', 'all', * FROM k)
+SELECT kind, value, count(*) AS n, count(DISTINCT session_idx) AS n_sessions, count(DISTINCT entity) AS n_entities FROM e GROUP BY kind, value""")
+def chosen_groups(p: Panel) -> DataFrame:
+    return retrieval.group_counts(chosen(p).select("entity", "session_idx"), p.calendar.select("session_idx", "session_date"))
+
+
 # --- stress -------------------------------------------------------------------------------------
 
 

@@ -63,3 +63,16 @@ def test_statistics_have_all_features(spark):
 def test_every_feature_is_in_a_query(spark):
     rows = both(spark, "macro_levels")
     assert all(any(r[f] is not None for r in rows) for f in ("vix", "slope", "d_rate90", "bei_chg20", "hy_chg20", "fng"))
+
+
+def test_scores_of_real_bands(spark):
+    rows = {r.entity: r for r in both(spark, "unconditional_by_symbol")}
+    assert rows and all(0 <= r.coverage <= 1 and r.n >= 10 for r in rows.values())
+    assert {r.entity for r in both(spark, "unconditional_direction")} >= set(rows)
+
+
+def test_groups_of_the_chosen_add_up(spark):
+    sums = {}
+    for r in both(spark, "chosen_groups"):
+        sums[r.kind] = sums.get(r.kind, 0) + r.n
+    assert len(set(sums.values())) <= 1
