@@ -71,11 +71,3 @@ def upper_median(values: Column) -> Column:
 def floor_index_quantile(values: Column, p: float) -> Column:
     """Element floor(p (n - 1)) of the sorted array."""
     return F.get(F.sort_array(values), F.floor((F.size(values) - 1) * p).cast("int"))
-
-
-def quantile_at(values: Column, level: Column) -> Column:
-    """Linearly interpolated quantile of an array at a level that may depend on the data."""
-    s, at = F.sort_array(values), (F.size(values) - 1) * level
-    low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.ceil(at).cast("int"))
-    return a + (b - a) * (at - low)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import quantile_at
 
 THRESHOLDS = (-0.20, -0.10, -0.05, 0.0, 0.05, 0.10)
 LEVELS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
@@ -73,12 +72,14 @@ def histogram(rows: DataFrame, keys: list[str], x: str, bins: int) -> DataFrame:
 def conformal_scale(scores: DataFrame, keys: list[str], score: str, target: float = 0.8) -> DataFrame:
     """(keys, n, level, scale): the quantile of the scores at ceil((n + 1) target) / n, at most 1.
 
-    The level depends on n, so each group's scores are gathered and sorted: a calibration era's queries.
+    Scores are counted first; the two around the level are found by rank in a sort that can spill.
     """
-    held = scores.filter(F.col(score).isNotNull()).groupBy(*keys).agg(F.collect_list(score).alias("s"))
-    n = F.size("s")
-    level = F.least(F.lit(1.0), F.ceil((n + 1) * F.lit(target)) / n)
-    return held.select(*keys, n.cast("long").alias("n"), level.alias("level"), quantile_at(F.col("s"), level).alias("scale"))
+    kept = scores.filter(F.col(score).isNotNull())
+    level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * F.lit(target)) / F.col("n"))
+    sizes = kept.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("level", level).withColumn("at", (F.col("n") - 1) * F.col("level"))
+    ranked = kept.select(*keys, F.col(score).alias("s")).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("s")) - 1)
+    near = ranked.join(sizes, keys).filter(F.col("rank").between(F.floor("at"), F.ceil("at"))).groupBy(*keys, "n", "level", "at").agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    return near.select(*keys, "n", "level", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("scale"))
 
 
 def band_scores(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import HORIZONS, LEAST_POOL, MAX_PER_DATE, METRIC, MIN_COVERAGE, MIN_GAP, MIN_HISTORY, POOL_MULTIPLE, Z_CLIP, distance_weights
+from ..schema import HORIZONS, LEAST_POOL, MAX_PER_DATE, METRIC, MIN_COVERAGE, MIN_GAP, MIN_HISTORY, POOL_MULTIPLE, distance_weights
 
 #: Queries are sent to the library in blocks of at most this many (25 floats each).
 QUERY_BLOCK = 4_000
@@ -19,19 +19,6 @@ def weights_table(spark, weights: dict[str, float] | None = None) -> DataFrame:
     return spark.createDataFrame(sorted((weights or distance_weights()).items()), "feature string, w double")
 
 
-def shock(query_z: DataFrame, stats_at_query: DataFrame, z: dict[str, float], raw: dict[str, float]) -> DataFrame:
-    """A query's (feature, z) under a counterfactual: raw values standardised, shifts added, both clipped.
-
-    A shift of a missing feature starts from 0.
-    """
-    moved = {"raw": raw, "z": z}
-    pick = lambda kind: F.coalesce(*(F.when(F.col("feature") == f, F.lit(float(v))) for f, v in moved[kind].items()), F.lit(None).cast("double"))
-    held = lambda c: F.greatest(F.lit(-Z_CLIP), F.least(F.lit(Z_CLIP), c))
-    base = stats_at_query.join(query_z, "feature", "left").withColumn("z", F.coalesce(held((pick("raw") - F.col("mu")) / F.col("sd")), F.col("z").cast("double")))
-    shifted = base.withColumn("z", F.when(pick("z").isNotNull(), held(F.coalesce("z", F.lit(0.0)) + pick("z"))).otherwise(F.col("z")))
-    return shifted.filter("z is not null").select("feature", "z")
-
-
 def distances(library_z: DataFrame, query_z: DataFrame, weights: DataFrame) -> DataFrame:
     """(query_id, entity, session_idx, dist) of the library rows that one or a few queries may see.
 

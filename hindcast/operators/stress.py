@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import MIN_HISTORY
+from .standardise import clip
+
 
 @dataclass(frozen=True)
 class Scenario:
@@ -37,6 +40,56 @@ SCENARIOS = [
 ]
 
 
+def scenario_spans(calendar: DataFrame, q: int, horizon: int, scenarios: list[Scenario], years_back: int = 0) -> DataFrame:
+    """(query_id, scenario, skipped, j_low, j_high): the sessions that each scenario may see, from one pass over the calendar.
+
+    A window's limit that no session meets is ignored. A window is skipped if its end, the first session
+    on or after its last date, is later than ``horizon`` sessions before q. years_back moves the windows.
+    """
+    day = lambda d: F.add_months(F.lit(d).cast("date"), -12 * years_back)
+    idx, date, none = F.col("session_idx"), F.col("session_date"), F.lit(None).cast("int")
+    each = []
+    for i, s in enumerate(scenarios):
+        dated = s.date_from is not None
+        first, last = (F.min(F.when(date >= day(s.date_from), idx)), F.max(F.when(date <= day(s.date_to), idx))) if dated else (none, none)
+        end = F.min(F.when(date >= day(s.date_to), idx)) if dated else none
+        each.append(F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(s.id).alias("scenario"), first.alias("first"), last.alias("last"), end.alias("end")))
+    spans = calendar.agg(F.array(*each).alias("s")).select(F.inline("s"))
+    low, high = F.greatest(F.lit(MIN_HISTORY), F.col("first")), F.least(F.lit(q - horizon), F.col("last"))  # both skip nulls
+    return spans.select("query_id", "scenario", F.coalesce(F.col("end") > q - horizon, F.lit(False)).alias("skipped"), low.alias("j_low"), high.alias("j_high"))
+
+
+def scenario_queries(query_z: DataFrame, stats: DataFrame, spans: DataFrame, scenarios: list[Scenario]) -> DataFrame:
+    """(query_id, feature, z, j_low, j_high): one state under every scenario that isn't skipped, as rows of one retrieval.
+
+    query_z: (feature, z); stats: (feature, mu, sd) at its session. A raw value is standardised and
+    replaces the feature; a shift is added to it, to 0 where it is missing; both are clipped.
+    """
+    moved = [(i, f, s.z.get(f), s.raw.get(f)) for i, s in enumerate(scenarios) for f in sorted({**s.z, **s.raw})]
+    moves = query_z.sparkSession.createDataFrame(moved, "query_id long, feature string, dz double, raw double")
+    base = stats.join(query_z, "feature", "left").withColumn("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(scenarios) - 1).cast("long"))))
+    met = base.join(F.broadcast(moves), ["query_id", "feature"], "left")  # the registry: a few rows a scenario
+    replaced = F.when(F.col("raw").isNotNull(), clip((F.col("raw") - F.col("mu")) / F.col("sd"))).otherwise(F.col("z").cast("double"))
+    shifted = F.when(F.col("dz").isNotNull(), clip(F.coalesce("replaced", F.lit(0.0)) + F.col("dz"))).otherwise(F.col("replaced"))
+    out = met.withColumn("replaced", replaced).withColumn("z", shifted).filter("z is not null")
+    return out.join(F.broadcast(spans.filter("not skipped")), "query_id").select("query_id", "feature", "z", "j_low", "j_high")
+
+
+def scenario_report(spans: DataFrame, states: DataFrame, fwd: str, digits: int = 4) -> DataFrame:
+    """A row for each scenario: what followed its chosen states, and how its rounded figures differ from the first's.
+
+    states: (query_id, fwd, mae) of chosen states. A scenario without states has n 0 and nulls.
+    """
+    held = lambda c: F.round(c, digits)
+    q, m = F.percentile(fwd, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))), F.percentile("mae", 0.5)
+    found = states.groupBy("query_id").agg(F.count(fwd).alias("n"), q.alias("q"), m.alias("mae"), F.avg((F.col(fwd) > 0).cast("int")).alias("up"))
+    figures = {"p10": held(F.col("q")[0]), "median": held(F.col("q")[1]), "p90": held(F.col("q")[2]), "p_up": held("up"), "mae_median": held("mae")}
+    rows = spans.join(found, "query_id", "left").select("query_id", "scenario", "skipped", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *(c.alias(name) for name, c in figures.items()))
+    first = F.first(F.struct(*figures)).over(Window.orderBy("query_id"))  # a row for each scenario of the registry
+    rows = rows.withColumn("base", first)
+    return rows.select("scenario", "skipped", "n", *figures, *(held(F.col(name) - F.col("base")[name]).alias(f"d_{name}") for name in ("p10", "median", "mae_median")))
+
+
 def path_fan(chosen: DataFrame, grid: DataFrame, horizon: int, levels=(0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
     """(query_id, t, n, p<level>...): percentiles of the chosen states' paths at each step ahead."""
     steps = chosen.select("query_id", "entity", "session_idx", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("t"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_cdf
+from .distribution import conformal_scale
 
 
 def query_grid(panel: DataFrame, calendar: DataFrame, date_from: str, date_to: str | None, stride: int, horizon: int, least: int = 60) -> DataFrame:
@@ -169,3 +170,18 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, x: str, resamples: int = 40
         return pd.DataFrame({"mean": [s.sum() / k.sum()], "low": [low], "high": [high], "share_negative": [float(np.mean(np.array(means) < 0))]})
 
     return sums.groupBy(F.lit(1).alias("one")).applyInPandas(draw, "mean double, low double, high double, share_negative double")
+
+
+def frozen_scores(rows: DataFrame, target: float = 0.8, unscaled: tuple[str, ...] = ("analog_raw", "own_past")) -> DataFrame:
+    """(predictor, scale, n, coverage, width): bands of scored queries, with multipliers frozen on the calibration rows.
+
+    rows: (era, predictor, centre, half, y). A predictor's multiplier is the conformal scale of
+    |y - centre| / half over era 'calibration'; ``unscaled`` predictors keep 1. Test rows are scored
+    with it; rows without a positive half-width or an outcome count nowhere.
+    """
+    usable = rows.filter("half > 0 and centre is not null and y is not null").withColumn("off", F.abs(F.col("y") - F.col("centre")) / F.col("half"))
+    scales = conformal_scale(usable.filter("era = 'calibration'"), ["predictor"], "off", target).select("predictor", "scale")
+    scaled = usable.filter("era = 'test'").join(F.broadcast(scales), "predictor", "left")  # a row for each predictor
+    scaled = scaled.withColumn("scale", F.when(F.col("predictor").isin(*unscaled), 1.0).otherwise(F.col("scale"))).filter("scale is not null")
+    hit = (F.col("off") <= F.col("scale")).cast("int")
+    return scaled.groupBy("predictor").agg(F.first("scale").alias("scale"), F.count("*").alias("n"), F.avg(hit).alias("coverage"), F.avg(2 * F.col("half") * F.col("scale")).alias("width"))

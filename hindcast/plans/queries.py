@@ -17,6 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def also_named(name: str, whole: str) -> None:
+    """Register a query that answers for all rows under a further name."""
+    QUERIES[name], ORACLES[name] = QUERIES[whole], ORACLES[whole]
+
+
 def query(sql: str | None = None, digits: int = 6):
     """Register a function of a Panel as a query; doubles are rounded, and dates written, alike in it and in its oracle."""
 
@@ -84,15 +89,6 @@ def coverage_report(p: Panel) -> DataFrame:
     return panel.coverage_report(p.bars, p.entity_events)
 
 
-@query("""WITH x AS (SELECT DISTINCT entity, event_date AS d FROM entity_events), y AS (SELECT DISTINCT event_type, CAST(o_orderdate AS DATE) AS d FROM (SELECT 'Brand#' || CAST(11 + o_custkey % 3 AS VARCHAR) AS event_type, o_orderdate, o_orderpriority FROM orders) WHERE day(d) = 3),
-m AS (SELECT x.entity, x.d, y.d AS nearest, abs(date_diff('day', x.d, y.d)) AS days FROM x LEFT JOIN y ON y.event_type = x.entity WHERE x.entity IN ('Brand#11', 'Brand#12', 'Brand#13'))
-SELECT entity, CAST(d AS VARCHAR) AS d, CAST(arg_min(nearest, (days, nearest)) AS VARCHAR) AS nearest, min(days) AS days FROM m GROUP BY entity, d""")
-def nearest_date_join(p: Panel) -> DataFrame:
-    left = p.entity_events.select("entity", F.col("event_date").alias("d")).filter(F.col("entity").isin("Brand#11", "Brand#12", "Brand#13"))
-    right = p.table("orders").select(F.concat(F.lit("Brand#"), (11 + F.col("o_custkey") % 3).cast("string")).alias("entity"), F.col("o_orderdate").cast("date").alias("d")).filter(F.dayofmonth("d") == 3)
-    return panel.nearest_date(left, right)
-
-
 @query("""WITH x AS (SELECT DISTINCT entity, event_date AS d FROM entity_events), y AS (SELECT DISTINCT 'Brand#' || CAST(11 + o_custkey % 25 // 5 * 10 + o_custkey % 5 AS VARCHAR) AS entity, CAST(o_orderdate AS DATE) AS d FROM orders),
 m AS (SELECT x.entity, x.d, y.d AS nearest, abs(date_diff('day', x.d, y.d)) AS days FROM x LEFT JOIN y ON y.entity = x.entity)
 SELECT entity, CAST(d AS VARCHAR) AS d, CAST(arg_min(nearest, (days, nearest)) AS VARCHAR) AS nearest, min(days) AS days FROM m GROUP BY entity, d""")
@@ -104,6 +100,9 @@ def nearest_date_all(p: Panel) -> DataFrame:
     return panel.nearest_date(p.entity_events.select("entity", F.col("event_date").alias("d")), right)
 
 
+also_named("nearest_date_join", "nearest_date_all")
+
+
 @query("""WITH RECURSIVE d AS (SELECT entity, session_date AS d, row_number() OVER (PARTITION BY entity ORDER BY session_date) AS rn FROM bars),
 k AS (SELECT entity, d, rn, d AS kept FROM d WHERE rn = 1 UNION ALL SELECT d.entity, d.d, d.rn, CASE WHEN date_diff('day', k.kept, d.d) > 20 THEN d.d ELSE k.kept END FROM k JOIN d ON d.entity = k.entity AND d.rn = k.rn + 1)
 SELECT entity, CAST(d AS VARCHAR) AS d FROM k WHERE d = kept""")
@@ -174,19 +173,14 @@ def valid_mask(p: Panel) -> DataFrame:
 
 # --- statistics, z, distance --------------------------------------------------------------------
 
-SCALE_FREE = [f for f in FEATURES if f not in ("vix", "slope", "d_rate90", "bei_chg20", "hy_chg20", "fng")]
-
-
-@query(f"SELECT feature, session_idx, n, {r('mu', 'sd', digits=4)} FROM stats WHERE feature IN ({', '.join(map(repr, SCALE_FREE))})", 4)
-def expanding_stats(p: Panel) -> DataFrame:
-    return p.stats.filter(F.col("feature").isin(SCALE_FREE))
-
-
 @query(f"SELECT feature, session_idx, n, {r('mu', 'sd', digits=4)} FROM stats", 4)
 def expanding_stats_all(p: Panel) -> DataFrame:
     return p.stats
 
 
+also_named("expanding_stats", "expanding_stats_all")
+
+
 @query("SELECT entity, session_idx, feature, round(CAST(z AS DOUBLE), 3) + 0 AS z FROM z", 3)
 def zscore_clip(p: Panel) -> DataFrame:
     return p.z
