@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import distribution, retrieval, validation
 from .queries import HORIZON, K, query
 from .scenarios import pools
+from .staging import staged
 from .tables import Panel
 
 #: Eras of queries and the stride of their systematic samples, which is the design of the sweep.
@@ -40,7 +41,7 @@ scaled AS (SELECT u.*, CASE WHEN predictor IN ('analog_raw', 'own_past') THEN 1
 def sweep(p: Panel) -> DataFrame:
     """(era, entity, q, query_id): the queries of both eras."""
     each = [validation.query_grid(p.features, p.calendar, first, last, STRIDE, HORIZON).select(F.lit(era).alias("era"), "entity", F.col("session_idx").alias("q")) for era, (first, last) in ERAS.items()]
-    return reduce(DataFrame.unionByName, each).withColumn("query_id", F.xxhash64("entity", "q"))
+    return staged(reduce(DataFrame.unionByName, each).withColumn("query_id", F.xxhash64("entity", "q")), "sweep")
 
 
 def predicted(p: Panel) -> DataFrame:
@@ -51,8 +52,9 @@ def predicted(p: Panel) -> DataFrame:
     """
     asked = sweep(p)
     followed = retrieval.outcomes(p.grid, HORIZON).select("entity", "session_idx", F.col("fwd_5").alias("y"))
-    at = asked.join(p.vectors.withColumnRenamed("session_idx", "q"), ["entity", "q"])
-    pool = retrieval.batched_pool(p.vectors, at.select("query_id", "z", F.lit(60).alias("j_low"), (F.col("q") - HORIZON).alias("j_high")), K)
+    vectors = staged(p.vectors, "vectors")
+    at = asked.join(vectors.withColumnRenamed("session_idx", "q"), ["entity", "q"])
+    pool = retrieval.batched_pool(vectors, at.select("query_id", "z", F.lit(60).alias("j_low"), (F.col("q") - HORIZON).alias("j_high")), K)
     quantiles = F.percentile("y", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     near = retrieval.greedy(pool, K).join(followed, ["entity", "session_idx"]).groupBy("query_id").agg(quantiles.alias("p"), F.stddev_samp("y").alias("sd"))
     low, middle, high = (F.col("p")[i] for i in range(3))

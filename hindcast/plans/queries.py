@@ -11,6 +11,7 @@ from ..functions import scalar
 from ..operators import closed, distribution, panel, retrieval, sentiment, standardise, stress, validation
 from ..schema import FEATURES, METRIC
 from .layers import with_layers
+from .staging import staged
 from .tables import Panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,8 +260,9 @@ def analog_outlook(p: Panel) -> DataFrame:
 def batched_retrieval(p: Panel) -> DataFrame:
     """The validation sweep's retrieval: every 25th session of the test era on all entities, in one job."""
     grid = validation.query_grid(p.features, p.calendar, "1999-01-01", None, 25, HORIZON)
-    queries = grid.join(p.vectors, ["entity", "session_idx"]).select(F.xxhash64("entity", "session_idx").alias("query_id"), "z", F.lit(60).alias("j_low"), (F.col("session_idx") - HORIZON).alias("j_high"))
-    picked = retrieval.greedy(retrieval.batched_pool(p.vectors, queries, K), K)
+    vectors = staged(p.vectors, "vectors")
+    queries = grid.join(vectors, ["entity", "session_idx"]).select(F.xxhash64("entity", "session_idx").alias("query_id"), "z", F.lit(60).alias("j_low"), (F.col("session_idx") - HORIZON).alias("j_high"))
+    picked = retrieval.greedy(retrieval.batched_pool(vectors, queries, K), K)
     return picked.groupBy("query_id").agg(F.count("*").alias("n"), F.min("dist").alias("nearest"), F.max("session_idx").alias("last_idx"))
 
 

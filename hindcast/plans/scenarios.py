@@ -25,7 +25,7 @@ spans AS MATERIALIZED (SELECT query_id, scenario, coalesce(j3 > q - 5, false) AS
 )
 _SHOCKED = """state AS (SELECT s.feature, mu, sd, CAST(qz AS DOUBLE) AS z0 FROM stats s JOIN asked ON s.session_idx = q LEFT JOIN qz USING (feature)),
 replaced AS (SELECT l.query_id, s.feature, dz, CASE WHEN raw IS NOT NULL THEN greatest(-3, least(3, (raw - mu) / sd)) ELSE z0 END AS z1 FROM listed l CROSS JOIN state s LEFT JOIN moved m ON m.query_id = l.query_id AND m.feature = s.feature),
-shocked AS MATERIALIZED (SELECT query_id, feature, CASE WHEN dz IS NOT NULL THEN greatest(-3, least(3, coalesce(z1, 0) + dz)) ELSE z1 END AS qz FROM replaced)"""
+shocked AS MATERIALIZED (SELECT query_id, feature, CASE WHEN dz IS NOT NULL THEN greatest(-3, least(3, coalesce(z1, 0) + dz)) ELSE z1 END AS qz FROM replaced WHERE dz IS NOT NULL OR z1 IS NOT NULL)"""
 
 
 def pools(queries: str, bounds: str, digits: str = "dist") -> str:

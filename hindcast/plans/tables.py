@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from ..operators import features, panel, standardise
 from ..schema import METRIC
+from .staging import staged
 
 #: Levels by the series that stands for each.
 SERIES = {"vix": "p:1-URGENT", "slope": "p:2-HIGH", "fed": "p:3-MEDIUM", "bei": "p:4-NOT SPECIFIED", "usd": "p:5-LOW", "oil": "s:F", "hy": "s:O", "btc": "s:P", "fng": "all"}
 
 
 class Panel:
-    """Tables derived from ``sf_dir``; a ``grain`` of week or day sets the session."""
+    """Tables derived from ``sf_dir``; a ``grain`` of week or day sets the session.
+
+    Bars, features and z-scores, which many steps read, are staged when first asked for.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, grain: str = "week"):
         self.spark, self.sf_dir, self.grain = spark, sf_dir, grain
@@ -29,9 +33,10 @@ class Panel:
         lines = self.table("lineitem").select("l_partkey", "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("u"), "l_discount")
         own = lines.join(self.table("part").select("p_partkey", F.col("p_brand").alias("entity")), F.col("l_partkey") == F.col("p_partkey"))
         own = own.withColumns({"session_date": F.date_trunc(self.grain, "l_shipdate").cast("date"), "k": F.struct("l_shipdate", "l_orderkey", "l_linenumber"), "net": F.col("u") * (1 - F.col("l_discount"))})
-        return own.groupBy("entity", "session_date").agg(
+        made = own.groupBy("entity", "session_date").agg(
             F.min_by("u", "k").alias("o"), F.max("u").alias("h"), F.min("u").alias("l"), F.max_by("u", "k").alias("c"), F.max_by("net", "k").alias("a"), F.sum("l_quantity").alias("v")
         )
+        return staged(made, "bars")
 
     @cached_property
     def names(self) -> tuple[str, str]:
@@ -79,7 +84,7 @@ class Panel:
     def features(self) -> DataFrame:
         snapped = panel.next_session(self.calendar, self.entity_events)
         market = self.market_events.join(self.calendar, F.col("event_date") == F.col("session_date")).select("session_idx")
-        return features.feature_panel(self.grid, self.levels, snapped, market, self.benchmark, F.lit(self.names[1]))
+        return staged(features.feature_panel(self.grid, self.levels, snapped, market, self.benchmark, F.lit(self.names[1])), "features")
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -87,7 +92,7 @@ class Panel:
 
     @cached_property
     def z(self) -> DataFrame:
-        return standardise.z_scores(self.features, self.stats)
+        return staged(standardise.z_scores(self.features, self.stats), "z")
 
     @cached_property
     def vectors(self) -> DataFrame:
