@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .audit import audit_filters
 from .decontam import decontaminate
 from .linededup import line_dedup
 from .ngramjoin import ngram_groups
@@ -16,6 +17,8 @@ from .pii import replace_pii
 from .secrets import scan_secrets
 from .token_edits import count_after_edits
 from .toxicity import score_toxicity
+from .trie import numbered, prefix_trie, shared_heads
+from .urlfilter import Rule, judge_urls
 from .warc import warc_round_trip
 
 
@@ -85,6 +88,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+#: The rules that decide a URL before the models do.
+RULES = (
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+)
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*shared_heads(numbered(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_decontamination": op10_decontamination,
+    "op11_url_filter": op11_url_filter,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -119,7 +147,85 @@ def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int) ->
 _ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = rf"""({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rule_sql(field: int) -> str:
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+    return "CASE " + " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{(r.name, r.verdict)[field]}'" for r in sorted(RULES, key=lambda r: -len(r.name))) + " END"
+
+
+def _order_sql(k: int) -> str:
+    """Likelihoods of the last of k + 1 characters: counts by gram and by context, mixed with the next shorter context's."""
+    mix = lambda x: f"CASE WHEN n_{x} >= 4 THEN (o.{x} + t_{x} * {'1.0::DOUBLE / 256' if k == 0 else f'b.p_{x}'}) / (n_{x} + t_{x}) ELSE {'1.0::DOUBLE / 256' if k == 0 else f'b.p_{x}'} END AS p_{x}"
+    return f"""o{k} AS (SELECT right(gram, {k + 1}) AS g, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1),
+h{k} AS (SELECT left(g, {k}) AS head, sum(a) AS n_a, sum(r) AS n_r, count(*) FILTER (WHERE a > 0) AS t_a, count(*) FILTER (WHERE r > 0) AS t_r FROM o{k} GROUP BY 1),
+p{k} AS (SELECT o.g, {mix("a")}, {mix("r")} FROM o{k} o JOIN h{k} h ON h.head = left(o.g, {k}){f" JOIN p{k - 1} b ON b.g = right(o.g, {k})" if k else ""})"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_url_filter": f"""
+WITH parted AS (
+  SELECT page_id, coalesce(url, '') AS url, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), ruled AS (SELECT *, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS ruled FROM parted
+), urls AS (SELECT DISTINCT url, ruled, left(md5(url), 1) IN ('0', '1', '2') AS held FROM ruled
+), chars AS (SELECT *, [chr(2), chr(2), chr(2), chr(2)] || list_filter(string_split({_LOWER.format("url")}, ''), lambda c: c <> '') || [chr(3)] AS c FROM urls
+), grams AS (SELECT url, ruled, held, array_to_string(c[i : i + 4], '') AS gram FROM (SELECT *, unnest(range(1, len(c) - 3)) AS i FROM chars)
+), counts AS MATERIALIZED (SELECT gram, count(*) FILTER (WHERE NOT held AND ruled = 'allow') AS a, count(*) FILTER (WHERE NOT held AND ruled = 'block') AS r FROM grams GROUP BY gram
+), {", ".join(_order_sql(k) for k in range(5))},
+model AS (SELECT g AS gram, CAST(greatest(-16000, least(16000, round(1000 * (ln(p_a) - ln(p_r))))) AS BIGINT) AS ratio FROM p4
+), scores AS MATERIALIZED (SELECT url, any_value(ruled) AS ruled, CAST(floor(CAST(sum(ratio) AS DOUBLE) / count(*)) AS BIGINT) AS score FROM grams JOIN model USING (gram) WHERE ruled IS NULL OR held GROUP BY url
+), per AS (SELECT score, count(*) FILTER (WHERE ruled = 'allow') AS a, count(*) FILTER (WHERE ruled = 'block') AS r FROM scores WHERE ruled IS NOT NULL GROUP BY score
+), best AS (
+  SELECT score AS t FROM (SELECT score, (sum(a) OVER () - sum(a) OVER w + a) * sum(r) OVER () + (sum(r) OVER w - r) * sum(a) OVER () AS parted, sum(a) OVER () * sum(r) OVER () AS weight FROM per WINDOW w AS (ORDER BY score))
+  WHERE weight > 0 ORDER BY parted DESC, score LIMIT 1
+)
+SELECT page_id, host, path, rule, CASE WHEN r.ruled IS NOT NULL THEN r.ruled WHEN score >= coalesce((SELECT t FROM best), 0) THEN 'allow' ELSE 'block' END AS verdict, CASE WHEN r.ruled IS NULL THEN score END AS score
+FROM ruled r LEFT JOIN scores USING (url)
+""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents
+), firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text
+), marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS failed
+  FROM d JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)
+), cells AS MATERIALIZED (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM m GROUP BY part, failed
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter
+), orders AS (SELECT letter AS filter_order FROM letters UNION ALL SELECT filter_order || letter FROM orders, letters WHERE NOT contains(filter_order, letter)
+), steps AS MATERIALIZED (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS filter, left(filter_order, step - 1) AS before FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(filter_order) = 5)
+), each AS MATERIALIZED (
+  SELECT part, filter_order, step, filter, n, n_good, n_toxic, contains(failed, filter) AS fails, failed = filter AS alone, regexp_matches(failed, '[0' || before || ']') AS gone FROM cells, steps
+), sums AS (
+  SELECT part, filter_order, step, filter, CAST(coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n_good) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n_toxic) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM each GROUP BY part, filter_order, step, filter
+)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM sums
+""",
+    "op13_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS s FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (SELECT conv_id, list(s ORDER BY place) AS s FROM own GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, s, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END))) % 6 AS h FROM lists
+), built AS MATERIALIZED (
+  SELECT c.conv_id, coalesce(b.s, [])[1 : h] || c.s[h + 1 :] AS s FROM heads c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 100
+), steps AS MATERIALIZED (SELECT conv_id, s, d, md5(CAST(s[1 : d] AS VARCHAR)) AS node FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)
+), nodes AS MATERIALIZED (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(CASE WHEN d = 0 THEN 0 ELSE length(s[d].t) END) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = len(s)) AS ends, any_value(s) AS s FROM steps GROUP BY node, d
+), edges AS MATERIALIZED (SELECT node, md5(CAST(s[1 : d - 1] AS VARCHAR)) AS parent FROM nodes WHERE d > 0
+), kids AS (SELECT parent AS node, count(*) AS n_children FROM edges GROUP BY parent
+), above AS (SELECT n.node, n.n_convs, n.chars, k.node IS NULL AS leaf, md5(CAST(n.s[1 : a] AS VARCHAR)) AS top, a FROM nodes n LEFT JOIN kids k USING (node), range(0, 2000) t(a) WHERE a <= n.d
+), sums AS (SELECT top AS node, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM above GROUP BY top)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN edges e USING (node) LEFT JOIN nodes p ON p.node = e.parent
+""",
     "op3_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
