@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Thresholds of returns, levels of quantiles, drawdowns.
 THRESHOLDS = (-0.20, -0.10, -0.05, 0.0, 0.05, 0.10)
 LEVELS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 DRAWDOWNS = (0.05, 0.10, 0.15, 0.20)
@@ -101,13 +105,27 @@ def reliability(rows: DataFrame, levels=tuple(i / 10 for i in range(1, 10))) ->
 def unconditional_band(grid: DataFrame, horizon: int, queries: DataFrame, target: float = 0.8, least: int = 30) -> DataFrame:
     """(entity, q, n, lo, hi, median) of all returns over ``horizon`` sessions that an entity had realised by q.
 
-    queries: (entity, q). The returns of one entity meet its own queries only.
+    queries: (entity, q). An entity's returns enter a sorted run in the order in which they are realised,
+    and its queries read their three order statistics off it on the way: rows in proportion to returns and
+    queries. A task holds the returns of one entity, at most one for each session of the calendar.
     """
     by = Window.partitionBy("entity").orderBy("session_idx")
     ahead = F.lead("a", horizon).over(by)
-    returns = grid.select("entity", "session_idx", F.when((F.col("a") > 0) & (ahead > 0), ahead / F.col("a") - 1).alias("r")).filter("r is not null")
-    met = queries.join(returns, "entity").filter(F.col("session_idx") + horizon <= F.col("q"))
-    tail = (1 - target) / 2
-    q = F.percentile("r", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))
-    out = met.groupBy("entity", "q").agg(F.count("*").alias("n"), q.alias("p")).filter(F.col("n") >= least)
-    return out.select("entity", "q", "n", F.col("p")[0].alias("lo"), F.col("p")[2].alias("hi"), F.col("p")[1].alias("median"))
+    returns = grid.select("entity", (F.col("session_idx") + horizon).cast("int").alias("q"), F.when((F.col("a") > 0) & (ahead > 0), ahead / F.col("a") - 1).alias("r")).filter("r is not null")
+    places = ((1 - target) / 2, 1 - (1 - target) / 2, 0.5)
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["q", "r"], na_position="last")  # what is realised by q comes before the query
+        run, out = [], []
+        for q, r in zip(rows["q"].tolist(), rows["r"].tolist()):
+            if r == r:
+                insort(run, r)
+            elif len(run) >= least:
+                at = [(len(run) - 1) * p for p in places]
+                out.append((q, len(run), *(run[int(x)] + (run[min(int(x) + 1, len(run) - 1)] - run[int(x)]) * (x - int(x)) for x in at)))
+        made = pd.DataFrame(out, columns=["q", "n", "lo", "hi", "median"])
+        made.insert(0, "entity", rows["entity"].iloc[0])
+        return made
+
+    asked = queries.select("entity", F.col("q").cast("int").alias("q"), F.lit(None).cast("double").alias("r")).distinct()
+    return returns.unionByName(asked).groupBy("entity").applyInPandas(grow, "entity string, q int, n long, lo double, hi double, median double")

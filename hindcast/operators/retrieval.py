@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,25 +14,38 @@ from ..schema import HORIZONS, LEAST_POOL, MAX_PER_DATE, METRIC, MIN_COVERAGE, M
 
 #: Queries are sent to the library in blocks of at most this many (25 floats each).
 QUERY_BLOCK = 4_000
+#: A task scores this many of them at a time.
+QUERY_SLICE = 64
 
 
 def weights_table(spark, weights: dict[str, float] | None = None) -> DataFrame:
     return spark.createDataFrame(sorted((weights or distance_weights()).items()), "feature string, w double")
 
 
-def distances(library_z: DataFrame, query_z: DataFrame, weights: DataFrame) -> DataFrame:
+def distances(library: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, entity, session_idx, dist) of the library rows that one or a few queries may see.
 
-    library_z: (entity, session_idx, feature, z); query_z: (query_id, feature, z, j_low, j_high), with
-    the session bounds of embargo and restriction. Features count where both sides have them; a row
-    with less than MIN_COVERAGE of the weight is rejected. For many queries see ``batched_pool``.
+    library: (entity, session_idx, z array of METRIC); queries: (query_id, z array, j_low, j_high), with the
+    session bounds of embargo and restriction: a request's few rows, sent to the library's tasks. Features
+    count where both sides have them; a row with less than MIN_COVERAGE of the weight is rejected. Every
+    step is within a library row, so nothing is shuffled. For many queries see ``batched_pool``.
     """
-    asked = query_z.join(F.broadcast(weights), "feature").select("query_id", "feature", F.col("z").alias("qz"), "w", "j_low", "j_high")
-    # A query is 25 rows: the few queries of a request are small at any size of the library.
-    met = library_z.join(F.broadcast(asked), "feature").filter(F.col("session_idx").between(F.col("j_low"), F.col("j_high")))
-    gap = F.col("qz").cast("double") - F.col("z").cast("double")
-    summed = met.groupBy("query_id", "entity", "session_idx").agg(F.sum(F.col("w") * gap * gap).alias("s"), F.sum("w").alias("ws"))
-    return summed.filter(F.col("ws") >= MIN_COVERAGE).select("query_id", "entity", "session_idx", F.sqrt(F.col("s") / F.col("ws")).alias("dist"))
+    weights = distance_weights()
+    asked = queries.select("query_id", F.col("z").alias("qz"), "j_low", "j_high")
+    met = library.join(F.broadcast(asked), F.col("session_idx").between(F.col("j_low"), F.col("j_high")))
+    both = [F.col("z")[i].isNotNull() & F.col("qz")[i].isNotNull() for i in range(len(METRIC))]
+    gaps = [F.col("qz")[i].cast("double") - F.col("z")[i].cast("double") for i in range(len(METRIC))]
+    total = sum((F.when(b, F.lit(weights[f])).otherwise(0.0) for b, f in zip(both, METRIC)), F.lit(0.0))
+    square = sum((F.when(b, F.lit(weights[f]) * g * g).otherwise(0.0) for b, g, f in zip(both, gaps, METRIC)), F.lit(0.0))
+    summed = met.select("query_id", "entity", "session_idx", square.alias("s"), total.alias("ws"))
+    return summed.filter(F.col("ws") >= MIN_COVERAGE - 1e-12).select("query_id", "entity", "session_idx", F.sqrt(F.col("s") / F.col("ws")).alias("dist"))
+
+
+def query_vectors(long: DataFrame) -> DataFrame:
+    """(query_id, z array of METRIC, j_low, j_high) of a few queries with a row for each feature (query_id, feature, z, j_low, j_high)."""
+    as_map = F.map_from_entries(F.collect_list(F.struct("feature", F.col("z").cast("float"))))
+    wide = long.filter(F.col("feature").isin(METRIC)).groupBy("query_id", "j_low", "j_high").agg(as_map.alias("m"))  # 25 rows of a query at most
+    return wide.select("query_id", F.array(*(F.col("m")[f] for f in METRIC)).alias("z"), "j_low", "j_high")
 
 
 def pool_size(k: int) -> int:
@@ -39,50 +53,74 @@ def pool_size(k: int) -> int:
 
 
 def pool(found: DataFrame, k: int) -> DataFrame:
-    """The nearest rows of each query, with their rank; ties go by entity and session."""
+    """The nearest rows of each query, with their rank; ties go by entity and session.
+
+    With the session's window group limit at the pool's size or more, each task keeps its own nearest
+    before the shuffle.
+    """
+    limit = "spark.sql.optimizer.windowGroupLimitThreshold"
+    conf = found.sparkSession.conf
+    if int(conf.get(limit)) < pool_size(k):
+        conf.set(limit, str(pool_size(k)))
     w = Window.partitionBy("query_id").orderBy("dist", "entity", "session_idx")
     return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pool_size(k))
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a column of arrays of one length, NaN where an element is null."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), width)
+
+
 def batched_pool(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The pool of many queries at once: (query_id, entity, session_idx, dist, rn).
 
     library: (entity, session_idx, z array); queries: (query_id, z array, j_low, j_high). Queries, a
     stated set, go to the library's tasks in blocks of QUERY_BLOCK; each task keeps its own nearest,
-    so what is shuffled is bounded by tasks x pool, not by pairs.
+    so what is shuffled is bounded by tasks x pool, not by pairs. Squared distances of a slice of
+    queries to a batch of rows come from matrix products; those that may be among the nearest are
+    then computed as differences.
     """
     weights = np.array([distance_weights()[f] for f in METRIC])
     most, spark = pool_size(k), library.sparkSession
-    columns = ["query_id", "j_low", "j_high", "z"]
+    asked = queries.select("query_id", F.col("j_low").cast("int"), F.col("j_high").cast("int"), F.col("z").cast("array<double>").alias("z"))
     out = None
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     for block in range(n_blocks):
-        rows = queries.select(*columns).filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.j_low for r in rows]), np.array([r.j_high for r in rows]), np.array([[np.nan if x is None else x for x in r.z] for r in rows], np.float64).reshape(len(rows), len(METRIC))))
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow().combine_chunks()
+        column = lambda c, rows=rows: rows.column(c).combine_chunks()
+        shared = spark.sparkContext.broadcast((*(column(c).to_numpy() for c in ("query_id", "j_low", "j_high")), _matrix(column("z"), len(METRIC))))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, low, high, q = shared.value
-            has_q, q0 = np.isfinite(q), np.nan_to_num(q)
+            has_q, q0 = np.isfinite(q).astype(float), np.nan_to_num(q)
             for batch in batches:
-                c = np.array([[np.nan if x is None else x for x in z] for z in batch["z"]], np.float64).reshape(len(batch), len(METRIC))
-                j, entity = batch["session_idx"].to_numpy(), batch["entity"].to_numpy()
-                has_c, c0 = np.isfinite(c), np.nan_to_num(c)
-                covered = (has_q * weights) @ has_c.T
-                found = []
-                for i in range(len(ids)):
-                    near = np.flatnonzero((covered[i] >= MIN_COVERAGE) & (j >= low[i]) & (j <= high[i]))
-                    both = has_c[near] & has_q[i]
-                    gap = (c0[near] - q0[i]) * both
-                    dist = np.sqrt((gap * gap * weights).sum(axis=1) / covered[i, near])
-                    if len(near) > most:
-                        keep = np.lexsort((j[near], entity[near], dist))[:most]
-                        near, dist = near[keep], dist[keep]
-                    found.append(pd.DataFrame({"query_id": ids[i], "entity": entity[near], "session_idx": j[near], "dist": dist}))
-                if found:
-                    yield pd.concat(found)
-
-        part = library.select("entity", "session_idx", "z").mapInPandas(run, "query_id long, entity string, session_idx int, dist double")
-        out = part if out is None else out.unionByName(part)
+                c = _matrix(batch.column("z"), len(METRIC))
+                j, entity = batch.column("session_idx").to_numpy(), np.array(batch.column("entity").to_pylist(), object)
+                has_c, c0 = np.isfinite(c).astype(float), np.nan_to_num(c)
+                found = [[], [], []]
+                for first in range(0, len(ids), QUERY_SLICE):
+                    part = slice(first, first + QUERY_SLICE)
+                    covered = (has_q[part] * weights) @ has_c.T
+                    near = ((q0[part] ** 2 * weights) @ has_c.T + (has_q[part] * weights) @ (c0**2).T - 2 * (q0[part] * weights) @ c0.T) / np.maximum(covered, 1e-9)
+                    near[(covered < MIN_COVERAGE - 1e-12) | (j < low[part, None]) | (j > high[part, None])] = np.inf
+                    for i, row in enumerate(near):
+                        bound = np.partition(row, most - 1)[most - 1] if len(row) > most else np.inf
+                        at = np.flatnonzero(row <= min(bound + 1e-6, 1e300))
+                        both = has_c[at] * has_q[first + i]
+                        gap = (c0[at] - q0[first + i]) * both
+                        dist = np.sqrt((gap * gap * weights).sum(axis=1) / covered[i, at])
+                        if len(at) > most:
+                            keep = np.lexsort((j[at], entity[at].astype(str), dist))[:most]
+                            at, dist = at[keep], dist[keep]
+                        for held, x in zip(found, (np.full(len(at), ids[first + i]), at, dist)):
+                            held.append(x)
+                if found[1]:
+                    query, at, dist = map(np.concatenate, found)
+                    yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(entity[at], pa.string()), pa.array(j[at], pa.int32()), pa.array(dist, pa.float64())], ["query_id", "entity", "session_idx", "dist"])
+
+        made = library.select("entity", "session_idx", "z").mapInArrow(run, "query_id long, entity string, session_idx int, dist double")
+        out = made if out is None else out.unionByName(made)
     return pool(out, k)
 
 

@@ -14,35 +14,57 @@ def unpivot(panel: DataFrame) -> DataFrame:
     return long.filter(F.col("x").isNotNull())
 
 
-def expanding_stats(panel: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(feature, session_idx, n, mu, sd) of every valid row dated on or before each session.
+def session_stats(panel: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(session_idx, n, mu, sd), arrays in the order of FEATURES: every valid row dated on or before each session.
 
-    Rows are summed by (session, feature) before the shuffle; the running sums then see one row a
-    session, a task a feature. With at most two values mu is 0 and sd 1; a variance of 0 gives sd 1.
+    Rows are summed by session before the shuffle, all features at once; the running sums then see one
+    row a session of the calendar, in one task. With at most two values mu is 0 and sd 1; a variance
+    of 0 gives sd 1.
     """
-    x = F.col("x").cast("double")
-    daily = unpivot(panel).groupBy("session_idx", "feature").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count("*").alias("n"))
-    grid = calendar.select("session_idx", F.explode(F.array(*map(F.lit, FEATURES))).alias("feature"))
-    w = Window.partitionBy("feature").orderBy("session_idx")
-    run = grid.join(daily, ["session_idx", "feature"], "left").select("feature", "session_idx", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("s", "q", "n")))
-    n, s = F.col("n"), F.col("s")
-    variance = (F.col("q") - s * s / n) / (n - 1)
-    return run.select("feature", "session_idx", n.cast("long").alias("n"), F.when(n > 2, s / n).otherwise(0.0).alias("mu"), F.when((n > 2) & (variance > 0), F.sqrt(F.abs(variance))).otherwise(1.0).alias("sd"))
+    x = {f: F.col(f).cast("double") for f in FEATURES}
+    each = {"n": lambda c: F.count(c), "s": lambda c: F.sum(c), "q": lambda c: F.sum(c * c)}
+    daily = panel.filter("valid").groupBy("session_idx").agg(*(agg(x[f]).alias(f"{k}_{f}") for f in FEATURES for k, agg in each.items()))
+    w = Window.orderBy("session_idx")
+    run = calendar.select("session_idx").join(daily, "session_idx", "left").select("session_idx", *(F.coalesce(F.sum(f"{k}_{f}").over(w), F.lit(0)).alias(f"{k}_{f}") for f in FEATURES for k in each))
+
+    def mean(f: str) -> Column:
+        return F.when(F.col(f"n_{f}") > 2, F.col(f"s_{f}") / F.col(f"n_{f}")).otherwise(0.0)
+
+    def deviation(f: str) -> Column:
+        n, s = F.col(f"n_{f}"), F.col(f"s_{f}")
+        variance = (F.col(f"q_{f}") - s * s / n) / (n - 1)
+        return F.when((n > 2) & (variance > 0), F.sqrt(F.abs(variance))).otherwise(1.0)
+
+    return run.select("session_idx", F.array(*(F.col(f"n_{f}").cast("long") for f in FEATURES)).alias("n"), F.array(*map(mean, FEATURES)).alias("mu"), F.array(*map(deviation, FEATURES)).alias("sd"))
+
+
+def expanding_stats(stats: DataFrame) -> DataFrame:
+    """(feature, session_idx, n, mu, sd): ``session_stats`` with a row for each feature."""
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col("n")[i].alias("n"), F.col("mu")[i].alias("mu"), F.col("sd")[i].alias("sd")) for i, f in enumerate(FEATURES)))
+    return stats.select("session_idx", F.inline(each)).select("feature", "session_idx", "n", "mu", "sd")
 
 
 def clip(z: Column, most: float = Z_CLIP) -> Column:
     return F.greatest(F.lit(-most), F.least(F.lit(most), z))
 
 
-def z_scores(panel: DataFrame, stats: DataFrame) -> DataFrame:
-    """(entity, session_idx, feature, z): each valid feature by its own session's statistics, clipped."""
-    # There are 28 statistics a session; they go to the rows by session and feature.
-    joined = unpivot(panel).join(stats, ["session_idx", "feature"])
-    return joined.select("entity", "session_idx", "feature", clip((F.col("x").cast("double") - F.col("mu")) / F.col("sd")).cast("float").alias("z"))
+def z_rows(panel: DataFrame, stats: DataFrame) -> DataFrame:
+    """(entity, session_idx, z): each valid row's features by its own session's statistics, clipped, in the order of FEATURES.
+
+    A session's statistics are one row of ``session_stats``; the panel meets it by session, and every
+    feature stays in its row.
+    """
+    joined = panel.filter("valid").select("entity", "session_idx", *FEATURES).join(stats.select("session_idx", "mu", "sd"), "session_idx")
+    z = F.array(*(F.when(F.col(f).isNotNull(), clip((F.col(f).cast("double") - F.col("mu")[i]) / F.col("sd")[i])).cast("float") for i, f in enumerate(FEATURES)))
+    return joined.select("entity", "session_idx", z.alias("z"))
+
+
+def z_scores(rows: DataFrame) -> DataFrame:
+    """(entity, session_idx, feature, z): the values of ``z_rows`` that are there, a row for each."""
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col("z")[i].alias("z")) for i, f in enumerate(FEATURES)))
+    return rows.select("entity", "session_idx", F.inline(each)).filter("z is not null")
 
 
-def z_vectors(z: DataFrame, names: list[str]) -> DataFrame:
-    """(entity, session_idx, z): one array a row, in the order of ``names``, null where missing."""
-    as_map = F.map_from_entries(F.collect_list(F.struct("feature", "z")))
-    wide = z.filter(F.col("feature").isin(names)).groupBy("entity", "session_idx").agg(as_map.alias("m"))
-    return wide.select("entity", "session_idx", F.array(*(F.col("m")[f] for f in names)).alias("z"))
+def z_vectors(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(entity, session_idx, z): the named features of ``z_rows``, null where missing."""
+    return rows.select("entity", "session_idx", F.array(*(F.col("z")[FEATURES.index(f)] for f in names)).alias("z"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +70,10 @@ def directional(rows: DataFrame, keys: list[str]) -> DataFrame:
 def dispersion(rows: DataFrame, keys: list[str], coverage: str, width: str, vol: str, target: float) -> DataFrame:
     """Spread of coverage over entities, how many are within 10 points, and corr(width, vol); null if undefined."""
     c = F.col(coverage)
+    spread = F.stddev_pop(width) * F.stddev_pop(vol)
+    related = F.when(spread > 1e-9, F.covar_pop(width, vol) / F.nullif(spread, F.lit(0.0)))  # widths of a constant predictor differ by rounding alone
     q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum((F.abs(c - target) <= 0.10).cast("int")).alias("within"), F.corr(width, vol).alias("corr"), q.alias("q"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum((F.abs(c - target) <= 0.10).cast("int")).alias("within"), related.alias("corr"), q.alias("q"))
     return out.withColumn("iqr", F.col("q")[1] - F.col("q")[0]).drop("q")
 
 
@@ -96,6 +96,7 @@ def auc(rows: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:
     return total.select(*keys, "n_pos", "n_neg", F.when((a > 0) & (b > 0), (F.col("r") - a * (a + 1) / 2) / (a * b)).alias("auc"))
 
 
+# Edges of the bins of predicted probabilities.
 PATH_BINS = (0.0, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0001)
 
 
@@ -117,71 +118,54 @@ def fallback_rate(rows: DataFrame, y: str, least: int = 10) -> DataFrame:
     return own.crossJoin(F.broadcast(whole)).select("entity", "n", F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("all")).alias("rate"))
 
 
-def matched_multiplier(rows: DataFrame, keys: list[str], off: str, half: str, target: float = 0.8, steps: int = 60) -> DataFrame:
-    """(keys, multiplier, coverage): the factor on the half-widths that covers ``target`` of the outcomes.
+def matched_multiplier(rows: DataFrame, keys: list[str], off: str, half: str, target: float = 0.8, least: float = 0.05, most: float = 20.0) -> DataFrame:
+    """(keys, n, multiplier, coverage, width): the smallest factor on the half-widths that covers ``target`` of the outcomes.
 
-    A bisection over [0.05, 20] on one group's ratios, which are gathered: an era's scored queries.
+    That is an order statistic of off / half, the ceil(target n)-th, held within [least, most]; it is found
+    by rank in a sort that can spill.
     """
+    kept = rows.filter(F.col(off).isNotNull() & (F.col(half) > 0)).withColumn("ratio", F.col(off) / F.col(half))
+    sizes = kept.groupBy(*keys).agg(F.count("*").alias("n"))
+    ranked = kept.select(*keys, "ratio").withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("ratio")))
+    at = ranked.join(sizes, keys).filter(F.col("rank") == F.ceil(F.lit(target) * F.col("n")))
+    factor = at.select(*keys, F.greatest(F.lit(least), F.least(F.lit(most), F.col("ratio"))).alias("multiplier"))
+    met = kept.join(F.broadcast(factor), keys)  # one row of each key
+    return met.groupBy(*keys).agg(F.count("*").alias("n"), F.first("multiplier").alias("multiplier"), F.avg((F.col("ratio") <= F.col("multiplier")).cast("int")).alias("coverage"), F.avg(2 * F.col(half) * F.col("multiplier")).alias("width"))
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        ratio = np.sort((group[off] / group[half]).to_numpy())
-        low, high = 0.05, 20.0
-        for _ in range(steps):
-            middle = (low + high) / 2
-            if np.searchsorted(ratio, middle, side="right") / len(ratio) < target:
-                low = middle
-            else:
-                high = middle
-        out = group.iloc[:1][keys].copy()
-        out["multiplier"], out["coverage"] = high, np.searchsorted(ratio, high, side="right") / len(ratio)
-        return out
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", multiplier double, coverage double"
-    return rows.filter(F.col(off).isNotNull() & (F.col(half) > 0)).groupBy(*keys).applyInPandas(solve, schema)
-
-
-def generator(seed: int):
-    """A small 32-bit generator, the same on every machine: numbers in [0, 1)."""
-    mask, state = 0xFFFFFFFF, seed & 0xFFFFFFFF
-    while True:
-        state = (state + 0x6D2B79F5) & mask
-        t = ((state ^ (state >> 15)) * (1 | state)) & mask
-        t = ((t + (((t ^ (t >> 7)) * (61 | t)) & mask)) & mask) ^ t
-        yield (t ^ (t >> 14)) / 4294967296
-
-
-def cluster_bootstrap(rows: DataFrame, cluster: str, x: str, resamples: int = 400, seed: int = 20260924) -> DataFrame:
-    """(mean, low, high, share_negative): percentile interval of the mean over resamples of whole clusters.
-
-    Rows are summed by cluster in Spark; the resamples draw from those sums, one row a query date.
-    """
-    sums = rows.filter(F.col(x).isNotNull()).groupBy(cluster).agg(F.sum(x).alias("s"), F.count("*").alias("k"))
 
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(cluster)
-        s, k, n = group["s"].to_numpy(), group["k"].to_numpy(), len(group)
-        numbers = generator(seed)
-        means = []
-        for _ in range(resamples):
-            pick = np.array([int(next(numbers) * n) for _ in range(n)])
-            means.append(s[pick].sum() / k[pick].sum())
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({"mean": [s.sum() / k.sum()], "low": [low], "high": [high], "share_negative": [float(np.mean(np.array(means) < 0))]})
+def floor_cuts(rows: DataFrame, x: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row with an array of the values at place floor(p (n - 1)) of the sorted x, for each share p; empty without any x."""
+    kept = rows.filter(F.col(x).isNotNull()).select(F.col(x).alias("x"))
+    counts = kept.groupBy("x").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("x"))  # a row for each distinct value
+    ends = counts.select("x", upto.alias("upto"))
+    size = kept.agg(F.count("*").alias("size")).filter("size > 0")
+    met = ends.join(F.broadcast(size))
+    return met.groupBy().agg(F.count("*").alias("values"), F.array(*(F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("size") - 1)), F.col("x"))) for p in shares)).alias("cuts")).filter("values > 0").select("cuts")
 
-    return sums.groupBy(F.lit(1).alias("one")).applyInPandas(draw, "mean double, low double, high double, share_negative double")
 
+def regime(x: Column, cuts: Column) -> Column:
+    """low, mid or high by two cuts, each of which belongs below; null without x."""
+    return F.when(x <= cuts[0], "low").when(x <= cuts[1], "mid").when(x.isNotNull(), "high")
 
-def frozen_scores(rows: DataFrame, target: float = 0.8, unscaled: tuple[str, ...] = ("analog_raw", "own_past")) -> DataFrame:
-    """(predictor, scale, n, coverage, width): bands of scored queries, with multipliers frozen on the calibration rows.
 
-    rows: (era, predictor, centre, half, y). A predictor's multiplier is the conformal scale of
-    |y - centre| / half over era 'calibration'; ``unscaled`` predictors keep 1. Test rows are scored
-    with it; rows without a positive half-width or an outcome count nowhere.
+def frozen_bands(rows: DataFrame, target: float = 0.8, unscaled: tuple[str, ...] = ("analog_raw", "own_past")) -> DataFrame:
+    """Test rows of (era, entity, q, predictor, centre, half, y) with their scale, off, lo and hi, multipliers frozen on the calibration rows.
+
+    A predictor's multiplier is the conformal scale of |y - centre| / half over era 'calibration';
+    ``unscaled`` predictors keep 1. Rows without a positive half-width or an outcome count nowhere; ``off``
+    is the outcome's distance from the centre in half-widths, inside the band up to ``scale``.
     """
     usable = rows.filter("half > 0 and centre is not null and y is not null").withColumn("off", F.abs(F.col("y") - F.col("centre")) / F.col("half"))
     scales = conformal_scale(usable.filter("era = 'calibration'"), ["predictor"], "off", target).select("predictor", "scale")
     scaled = usable.filter("era = 'test'").join(F.broadcast(scales), "predictor", "left")  # a row for each predictor
     scaled = scaled.withColumn("scale", F.when(F.col("predictor").isin(*unscaled), 1.0).otherwise(F.col("scale"))).filter("scale is not null")
+    reach = F.col("half") * F.col("scale")
+    return scaled.withColumns({"lo": F.col("centre") - reach, "hi": F.col("centre") + reach})
+
+
+def frozen_scores(rows: DataFrame, target: float = 0.8, unscaled: tuple[str, ...] = ("analog_raw", "own_past")) -> DataFrame:
+    """(predictor, scale, n, coverage, width) of ``frozen_bands``."""
+    scaled = frozen_bands(rows, target, unscaled)
     hit = (F.col("off") <= F.col("scale")).cast("int")
     return scaled.groupBy("predictor").agg(F.first("scale").alias("scale"), F.count("*").alias("n"), F.avg(hit).alias("coverage"), F.avg(2 * F.col("half") * F.col("scale")).alias("width"))

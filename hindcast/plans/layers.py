@@ -54,7 +54,6 @@ LAYERS: dict[str, str] = {
     "z": "SELECT entity, session_idx, feature, CAST(greatest(-3, least(3, (CAST(x AS DOUBLE) - mu) / sd)) AS FLOAT) AS z FROM long JOIN stats USING (feature, session_idx)",
     "weights": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {w!r}::DOUBLE)" for f, w in sorted(distance_weights().items())) + ") t(feature, w)",
     "outcomes5": "SELECT entity, session_idx, CASE WHEN a > 0 AND lead(a, 5) OVER (w) > 0 THEN lead(a, 5) OVER (w) / a - 1 END AS y, CASE WHEN a > 0 AND c > 0 THEN min(l) OVER f / c - 1 END AS mae, CASE WHEN a > 0 AND c > 0 THEN max(h) OVER f / c - 1 END AS mfe FROM grid WINDOW w AS (PARTITION BY entity ORDER BY session_idx), f AS (PARTITION BY entity ORDER BY session_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)",
-    "scored": "SELECT entity, session_idx, y, mae, mfe, -0.4 AS lo, 0.4 AS hi, CAST(session_idx % 97 AS DOUBLE) / 97 AS p, CASE WHEN mae < -0.5 THEN 1 ELSE 0 END AS event, session_idx // 50 AS cluster, CASE WHEN session_idx % 2 = 0 THEN 'even' ELSE 'odd' END AS half FROM outcomes5 WHERE y IS NOT NULL AND mae IS NOT NULL",
     "candles": "SELECT event_type AS instrument, date_trunc('hour', ts) AS ts, last(value ORDER BY ts, event_id) AS c, max(value) AS hi, min(value) AS lo, sum(value) AS qv FROM events WHERE value > 0 GROUP BY 1, 2",
     "moves": "SELECT instrument, ts, c / old - 1 AS ret, isodow(ts) < 6 AND hour(ts) BETWEEN 13 AND 20 AS open, qv > 0 AS traded FROM (SELECT *, lag(c) OVER (PARTITION BY instrument ORDER BY ts) AS old FROM candles) WHERE old > 0 AND c > 0",
     "blocks": """SELECT instrument, start_ts, end_ts, hours, CASE WHEN hours >= 48 THEN 'weekend' ELSE 'overnight' END AS kind, entry, exit, (exit / entry - 1) * 100 AS return_pct, (low / entry - 1) * 100 AS mae_pct, (high / entry - 1) * 100 AS mfe_pct FROM (

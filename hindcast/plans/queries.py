@@ -11,7 +11,6 @@ from ..functions import scalar
 from ..operators import closed, distribution, panel, retrieval, sentiment, standardise, stress, validation
 from ..schema import FEATURES, METRIC
 from .layers import with_layers
-from .staging import staged
 from .tables import Panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +27,7 @@ def query(sql: str | None = None, digits: int = 6):
 
     def register(function: Callable[[Panel], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = function(Panel(spark, sf_dir))
+            df = function(Panel.of(spark, sf_dir))
             plain = {"double": lambda c: F.round(c, digits), "float": lambda c: F.round(c.cast("double"), digits), "date": lambda c: c.cast("string"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")}
             return df.select(*(plain.get(kind, lambda c: c)(F.col(c)).alias(c) for c, kind in df.dtypes))
 
@@ -215,11 +214,11 @@ def asked(p: Panel) -> tuple[DataFrame, int]:
 
 def found(p: Panel) -> DataFrame:
     """Distances to the query, rounded where the ranks of near ties could depend on the order of sums."""
-    return retrieval.distances(p.z, asked(p)[0], retrieval.weights_table(p.spark)).withColumn("dist", F.round("dist", 7))
+    return p.once("found", lambda p: retrieval.distances(p.vectors, retrieval.query_vectors(asked(p)[0])).withColumn("dist", F.round("dist", 7)))
 
 
 def chosen(p: Panel) -> DataFrame:
-    return retrieval.greedy(retrieval.pool(found(p), K), K)
+    return p.once("chosen", lambda p: retrieval.greedy(retrieval.pool(found(p), K), K))
 
 
 @query(f"WITH {_ASKED}, {_FOUND} SELECT entity, session_idx, round(round(dist, 7), 4) AS dist FROM found", 4)
@@ -256,16 +255,6 @@ def analog_outlook(p: Panel) -> DataFrame:
     return out.select("n", F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"), "p_up")
 
 
-@query()
-def batched_retrieval(p: Panel) -> DataFrame:
-    """The validation sweep's retrieval: every 25th session of the test era on all entities, in one job."""
-    grid = validation.query_grid(p.features, p.calendar, "1999-01-01", None, 25, HORIZON)
-    vectors = staged(p.vectors, "vectors")
-    queries = grid.join(vectors, ["entity", "session_idx"]).select(F.xxhash64("entity", "session_idx").alias("query_id"), "z", F.lit(60).alias("j_low"), (F.col("session_idx") - HORIZON).alias("j_high"))
-    picked = retrieval.greedy(retrieval.batched_pool(vectors, queries, K), K)
-    return picked.groupBy("query_id").agg(F.count("*").alias("n"), F.min("dist").alias("nearest"), F.max("session_idx").alias("last_idx"))
-
-
 @query(f"WITH {_ASKED}, {_FOUND} SELECT (SELECT count(*) FROM features, asked WHERE valid AND session_idx BETWEEN 60 AND q - 5) AS scanned, (SELECT count(*) FROM found) AS eligible")
 def scan_stats(p: Panel) -> DataFrame:
     _, q = asked(p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import closed, retrieval, stress
+from ..operators import closed, retrieval, stress, validation
 from ..operators.stress import SCENARIOS, Scenario
 from .queries import _ASKED, _FOUND, _GREEDY, _OUT, _POOL, HORIZON, K, asked, chosen, query
 from .tables import Panel
@@ -44,10 +44,14 @@ report AS (SELECT f.scenario, f.skipped, coalesce(f.n, 0) AS n, f.p10, f.median,
 
 
 def report(p: Panel) -> DataFrame:
+    return p.once("scenario-report", _report)
+
+
+def _report(p: Panel) -> DataFrame:
     z, q = asked(p)
     spans = stress.scenario_spans(p.calendar, q, HORIZON, RUN, YEARS_BACK)
     queries = stress.scenario_queries(z.select("feature", "z"), p.stats.filter(F.col("session_idx") == q).select("feature", "mu", "sd"), spans, RUN)
-    found = retrieval.distances(p.z, queries, retrieval.weights_table(p.spark)).withColumn("dist", F.round("dist", 7))
+    found = retrieval.distances(p.vectors, retrieval.query_vectors(queries)).withColumn("dist", F.round("dist", 7))
     states = retrieval.greedy(retrieval.pool(found, K), K).join(retrieval.outcomes(p.grid, HORIZON), ["entity", "session_idx"])
     return stress.scenario_report(spans, states.select("query_id", "fwd_5", "mae"), "fwd_5")
 
@@ -94,3 +98,20 @@ def stated_tolerance(p: Panel) -> DataFrame:
     """Share of chosen states whose worst excursion breached each stated tolerance from 1 to 50 percent."""
     states = chosen(p).join(retrieval.outcomes(p.grid, HORIZON), ["entity", "session_idx"]).select("mae", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("tolerance"))
     return states.groupBy("tolerance").agg(F.count("mae").alias("n"), (100 * F.avg((F.col("mae") <= -F.col("tolerance") / 100).cast("int"))).alias("breached_pct"))
+
+
+_SWEEP = f"""WITH RECURSIVE times AS (SELECT session_idx FROM (SELECT session_idx, row_number() OVER (ORDER BY session_idx) - 1 AS n FROM calendar WHERE session_date >= DATE '1999-01-01') WHERE n % 25 = 0 AND session_idx >= 60 AND session_idx + 5 <= (SELECT max(session_idx) FROM calendar)),
+asking AS MATERIALIZED (SELECT row_number() OVER (ORDER BY f.entity, f.session_idx) AS query_id, f.entity, f.session_idx AS q, 60 AS j_low, f.session_idx - 5 AS j_high FROM times JOIN features f USING (session_idx) WHERE valid),
+askz AS MATERIALIZED (SELECT query_id, feature, CAST(x.z AS DOUBLE) AS qz FROM asking s JOIN z x ON x.entity = s.entity AND x.session_idx = s.q), {pools("askz", "asking")}"""
+
+
+@query(f"{_SWEEP} SELECT a.entity, CAST(a.q AS INT) AS q, count(*) AS n, round(min(m.dist), 5) AS nearest, max(s.session_idx) AS last_idx FROM states s JOIN asking a USING (query_id) JOIN met m ON m.query_id = s.query_id AND m.entity = s.entity AND m.session_idx = s.session_idx GROUP BY a.entity, a.q", 5)
+def batched_retrieval(p: Panel) -> DataFrame:
+    """The validation sweep's retrieval: every 25th session of the test era on all entities, in one job."""
+    grid = validation.query_grid(p.features, p.calendar, "1999-01-01", None, 25, HORIZON)
+    vectors = p.vectors
+    asking = grid.withColumn("query_id", F.xxhash64("entity", "session_idx"))
+    queries = asking.join(vectors, ["entity", "session_idx"]).select("query_id", "z", F.lit(60).alias("j_low"), (F.col("session_idx") - HORIZON).alias("j_high"))
+    picked = retrieval.greedy(retrieval.batched_pool(vectors, queries, K), K)
+    best = picked.groupBy("query_id").agg(F.count("*").alias("n"), F.min("dist").alias("nearest"), F.max("session_idx").alias("last_idx"))
+    return asking.join(best, "query_id").select("entity", F.col("session_idx").alias("q"), "n", "nearest", "last_idx")

@@ -1,8 +1,4 @@
-"""Queries over what followed each state: distributions, bands, scores, stress paths, closed hours, breadth.
-
-``scored`` stands for an era of scored predictions: every realised five-session outcome, a fixed band
-and a probability that the session's number gives.
-"""
+"""Queries over what followed each state: distributions, bands, stress paths, closed hours, breadth."""
 
 from __future__ import annotations
 
@@ -18,14 +14,6 @@ def outcomes5(p: Panel) -> DataFrame:
     return retrieval.outcomes(p.grid, HORIZON).select("entity", "session_idx", F.col("fwd_5").alias("y"), "mae", "mfe")
 
 
-def scored(p: Panel) -> DataFrame:
-    rows = outcomes5(p).filter("y is not null and mae is not null")
-    return rows.withColumns({
-        "lo": F.lit(-0.4), "hi": F.lit(0.4), "p": (F.col("session_idx") % 97).cast("double") / 97, "event": (F.col("mae") < -0.5).cast("int"),
-        "cluster": F.floor(F.col("session_idx") / 50), "half": F.when(F.col("session_idx") % 2 == 0, "even").otherwise("odd"),
-    })
-
-
 # --- distributions ------------------------------------------------------------------------------
 
 _SUMMARY = ["mean", "sd", "skew", "min", "max", "p05", "p10", "p25", "p50", "p75", "p90", "p95", "prob_m20", "prob_00", "prob_10", "iqr", "width80", "var90"]
@@ -70,16 +58,6 @@ def conformal_scale(p: Panel) -> DataFrame:
     return distribution.conformal_scale(outcomes5(p).withColumn("score", F.abs("y")), ["entity"], "score")
 
 
-@query("SELECT entity, count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS coverage, round(avg(hi - lo), 6) AS width, round(avg(y - (lo + hi) / 2), 6) AS bias, round(avg(CASE WHEN y > hi THEN 1 ELSE 0 END), 6) AS above, round(avg(CASE WHEN y < lo THEN 1 ELSE 0 END), 6) AS below FROM scored GROUP BY entity")
-def band_scores(p: Panel) -> DataFrame:
-    return distribution.band_scores(scored(p), ["entity"])
-
-
-@query("SELECT CAST(i AS DOUBLE) / 10 AS level, round(avg(CASE WHEN abs(y - (lo + hi) / 2) <= (hi - lo) / 2 * (CAST(i AS DOUBLE) / 10) THEN 1 ELSE 0 END), 6) AS empirical, count(*) AS n FROM scored, range(1, 10) t(i) GROUP BY i")
-def reliability(p: Panel) -> DataFrame:
-    return distribution.reliability(scored(p))
-
-
 @query("""WITH q AS (SELECT DISTINCT entity, session_idx AS q FROM grid WHERE a IS NOT NULL)
 SELECT entity, CAST(q AS INT) AS q, count(*) AS n, round(quantile_cont(y, 0.1), 6) AS lo, round(quantile_cont(y, 0.9), 6) AS hi, round(quantile_cont(y, 0.5), 6) AS median FROM q JOIN outcomes5 USING (entity) WHERE session_idx + 5 <= q AND y IS NOT NULL GROUP BY ALL HAVING count(*) >= 30""")
 def unconditional_band_all(p: Panel) -> DataFrame:
@@ -148,56 +126,6 @@ def trailing_vol(p: Panel) -> DataFrame:
     return validation.trailing_vol(p.grid)
 
 
-@query("WITH c AS (SELECT half, cluster, avg(y) AS m, sum(y) AS s, count(*) AS k FROM scored GROUP BY ALL) SELECT half, CAST(sum(k) AS BIGINT) AS n, round(sum(s) / sum(k), 6) AS mean, round(stddev_samp(m) / sqrt(count(*)), 6) AS se, count(*) AS clusters FROM c GROUP BY half")
-def clustered_error(p: Panel) -> DataFrame:
-    return validation.clustered(scored(p), ["half"], "cluster", "y")
-
-
-@query("WITH c AS (SELECT least(9, CAST(floor(p * 10) AS INT)) AS decile, count(*) AS n FROM scored GROUP BY 1), t AS (SELECT sum(n) / 10 AS e FROM c) SELECT CAST(i AS INT) AS decile, coalesce(n, 0) AS n, round(power(coalesce(n, 0) - e, 2) / e, 6) AS chi_part FROM range(10) r(i) LEFT JOIN c ON decile = i, t")
-def pit_deciles(p: Panel) -> DataFrame:
-    return validation.pit_deciles(scored(p).withColumn("pit", F.col("p")))
-
-
-_SLICE = "'fixed' AS predictor, '{0}' AS slice, CAST({0} AS VARCHAR) AS value, count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS coverage, round(avg(hi - lo), 6) AS width FROM scored GROUP BY {0}"
-
-
-@query(f"SELECT {_SLICE.format('entity')} UNION ALL SELECT {_SLICE.format('half')}")
-def coverage_slices(p: Panel) -> DataFrame:
-    rows = scored(p).withColumns({"predictor": F.lit("fixed"), "hit": F.col("y").between(F.col("lo"), F.col("hi")), "width": F.col("hi") - F.col("lo")})
-    return validation.by_slice(rows, ["entity", "half"], "predictor", "hit", "width")
-
-
-@query("SELECT half, count(*) AS n, round(avg(power(p - event, 2)), 6) AS brier, round(avg(CASE WHEN event = 1 THEN p END), 6) AS p_event, round(avg(CASE WHEN event = 0 THEN p END), 6) AS p_none FROM scored GROUP BY half")
-def brier_score(p: Panel) -> DataFrame:
-    return validation.brier(scored(p), ["half"], "p", "event")
-
-
-@query("WITH x AS (SELECT half, event, rank() OVER (PARTITION BY half ORDER BY p) + (count(*) OVER (PARTITION BY half, p) - 1) / 2 AS rk FROM scored) SELECT half, CAST(sum(event) AS BIGINT) AS n_pos, CAST(count(*) - sum(event) AS BIGINT) AS n_neg, round((sum(event * rk) - sum(event) * (sum(event) + 1) / 2) / (sum(event) * (count(*) - sum(event))), 6) AS auc FROM x GROUP BY half")
-def auc(p: Panel) -> DataFrame:
-    return validation.auc(scored(p), ["half"], "p", "event")
-
-
-@query("SELECT half, CASE WHEN p < 0.05 THEN 0 WHEN p < 0.1 THEN 1 WHEN p < 0.2 THEN 2 WHEN p < 0.35 THEN 3 WHEN p < 0.5 THEN 4 WHEN p < 0.7 THEN 5 ELSE 6 END AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(event), 6) AS rate FROM scored GROUP BY ALL")
-def path_reliability(p: Panel) -> DataFrame:
-    return validation.path_reliability(scored(p), ["half"], "p", "event")
-
-
-@query("WITH o AS (SELECT entity, count(*) AS n, avg(event) AS own, sum(event) AS s FROM scored GROUP BY entity) SELECT entity, n, round(CASE WHEN n >= 10 THEN own ELSE (SELECT sum(s) / sum(n) FROM o) END, 6) AS rate FROM o")
-def fallback_rate(p: Panel) -> DataFrame:
-    return validation.fallback_rate(scored(p), "event")
-
-
-@query()
-def matched_multiplier(p: Panel) -> DataFrame:
-    rows = scored(p).withColumns({"off": F.abs("y"), "halfwidth": (F.col("hi") - F.col("lo")) / 2})
-    return validation.matched_multiplier(rows, ["entity"], "off", "halfwidth")
-
-
-@query()
-def cluster_bootstrap(p: Panel) -> DataFrame:
-    return validation.cluster_bootstrap(scored(p), "cluster", "y")
-
-
 # --- closed hours -------------------------------------------------------------------------------
 
 

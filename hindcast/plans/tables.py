@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, panel, standardise
 from ..schema import METRIC
-from .staging import staged
+from .staging import print_of, staged
 
 #: Levels by the series that stands for each.
 SERIES = {"vix": "p:1-URGENT", "slope": "p:2-HIGH", "fed": "p:3-MEDIUM", "bei": "p:4-NOT SPECIFIED", "usd": "p:5-LOW", "oil": "s:F", "hy": "s:O", "btc": "s:P", "fng": "all"}
@@ -18,11 +19,29 @@ SERIES = {"vix": "p:1-URGENT", "slope": "p:2-HIGH", "fed": "p:3-MEDIUM", "bei":
 class Panel:
     """Tables derived from ``sf_dir``; a ``grain`` of week or day sets the session.
 
-    Bars, features and z-scores, which many steps read, are staged when first asked for.
+    Bars, features and z-scores, which many steps read, are staged when first asked for. ``Panel.of`` gives
+    all queries of a session over the same files one panel, so that they are built once for all.
     """
 
+    _known: dict[tuple, Panel] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str, grain: str = "week"):
         self.spark, self.sf_dir, self.grain = spark, sf_dir, grain
+        self._made: dict[str, DataFrame] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str, grain: str = "week") -> Panel:
+        """The session's panel over these files; a new one as soon as any of them has changed."""
+        key = (spark.sparkContext.applicationId, sf_dir, grain, print_of(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part", "orders", "events")]))
+        if key not in cls._known:
+            cls._known[key] = cls(spark, sf_dir, grain)
+        return cls._known[key]
+
+    def once(self, name: str, make: Callable[[Panel], DataFrame]) -> DataFrame:
+        """A further table of the panel, staged when first asked for."""
+        if name not in self._made:
+            self._made[name] = staged(make(self), name)
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -87,16 +106,24 @@ class Panel:
         return staged(features.feature_panel(self.grid, self.levels, snapped, market, self.benchmark, F.lit(self.names[1])), "features")
 
     @cached_property
+    def session_stats(self) -> DataFrame:
+        return staged(standardise.session_stats(self.features, self.calendar), "stats")
+
+    @property
     def stats(self) -> DataFrame:
-        return standardise.expanding_stats(self.features, self.calendar)
+        return standardise.expanding_stats(self.session_stats)
 
     @cached_property
+    def z_rows(self) -> DataFrame:
+        return staged(standardise.z_rows(self.features, self.session_stats), "z")
+
+    @property
     def z(self) -> DataFrame:
-        return staged(standardise.z_scores(self.features, self.stats), "z")
+        return standardise.z_scores(self.z_rows)
 
-    @cached_property
+    @property
     def vectors(self) -> DataFrame:
-        return standardise.z_vectors(self.z, METRIC)
+        return standardise.z_vectors(self.z_rows, METRIC)
 
     @cached_property
     def hourly(self) -> DataFrame:
