@@ -258,9 +258,14 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     least demand of a partner asks for. Members whose shared differences can't meet any partner's
     demand go first, most of a group of near copies that don't link; so no pairs of the whole
     bucket are made.
-    That serves members near the leader. Of those far from it only what the leader lacks is indexed,
-    by the prefix that a link asks for. As |D_A| and |D_B| of a link are close, no link is between
-    one that is near only (|D| <= n / 2) and one that is far only (|D| > n), if parts / of >= 3 / 4.
+    That serves members near the leader (|D| <= n), and those of which the leader holds so much that
+    all that a link asks for may lie in it (common >= t n, t = parts / of), such as members inside a
+    larger leader. Of members far from it (2 |D| > n) what the leader lacks is indexed, by the prefix that a link asks
+    for, which finds every link that shares something outside of the leader.
+    So no link is lost, if t >= 3 / 4 (else all differences are indexed): of two near ones the whole
+    differences meet. If one is far only (|D| > n, common < t n), a link shares at least t n, so some of
+    it outside of the leader; the other one is in that index too, for were it near only (2 |D| <= n), then
+    |D_A| and |D_B|, which differ by (1 - t) / (1 + t) of both sizes at most, couldn't lie so far apart.
     """
     apart = F.concat(F.array_except("own_a", "own_b"), F.array_except("own_b", "own_a"))
     diffs = _beside(pairs, sets).select("a", "b", F.size("own_b").cast("long").alias("n"), F.size("own_a").cast("long").alias("n_a"), F.array_except("own_b", "own_a").alias("own"), apart.alias("diff"))
@@ -270,7 +275,7 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     length = F.col("n") - F.greatest(F.ceil(F.col("n") * parts / of), F.col("n") - F.size("own") + 1) + 1
     diffs = diffs.withColumns({
         "linked": F.col("s") <= (of - parts) * F.col("n_a"), "common": (F.col("n") - F.size("own")).cast("long"),
-        "own": F.when((2 * F.col("d") > F.col("n")) & F.lit(rings), F.slice("own", 1, length.cast("int"))), "diff": F.when((F.col("d") <= F.col("n")) | F.lit(not rings), F.col("diff")),
+        "own": F.when((2 * F.col("d") > F.col("n")) & F.lit(rings), F.slice("own", 1, length.cast("int"))), "diff": F.when((F.col("d") <= F.col("n")) | (of * (F.col("n") - F.size("own")) >= parts * F.col("n")) | F.lit(not rings), F.col("diff")),
     })
     diffs = stage(diffs, "ngram-differences")
     found = stage(diffs.filter("linked").select("a", "b"), "ngram-links")

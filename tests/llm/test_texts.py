@@ -176,6 +176,38 @@ def test_a_large_group_of_copies_that_hardly_link(spark, monkeypatch, difference
     assert pairs <= 20 * len(docs) and sum(name == "ngram-leaders" for name, _ in made) <= levels
 
 
+def test_members_inside_a_larger_leader_keep_their_links(spark):
+    """Sets that lie within twice as large ones, and link only by what they share inside of them."""
+    passages = {kind: [[f"{kind}{i}-{j}" for j in range(n)] for i in range(16)] for kind, n in (("p", 69), ("q", 60))}
+    texts = [" ".join(a + b) for a in passages["p"] for b in passages["q"]]
+    for i, a in enumerate(passages["p"]):
+        texts += [" ".join(a[:63] + [f"new{i}x", f"new{i}y"]), " ".join(a + [f"new{i}u", f"new{i}v"])]
+    docs = list(enumerate(texts))
+    got = ngramjoin.ngram_groups(documents(spark, texts), k=4, parts=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(docs, 4, 85, 100)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nested_sets_of_any_ratio(spark, monkeypatch, seed):
+    """Families of windows over one text, of sizes from 1 to 2.4 times the smallest, in buckets that all hold the largest."""
+    monkeypatch.setattr(ngramjoin, "SMALL_BUCKET", 4)
+    rng = random.Random(seed)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}-{j}" for j in range(168)]
+        texts += [" ".join(base)] * 2
+        for i in range(45):
+            n = rng.randrange(70, 168)
+            start = rng.randrange(0, 168 - n + 1)
+            own = base[start : start + n] + [f"own{family}-{i}-{j}" for j in range(rng.choice([0, 0, 2, 5]))]
+            if i % 3 == 0:
+                own[rng.randrange(len(own))] = f"edit{family}-{i % 4}"
+            texts.append(" ".join(own))
+    docs = list(enumerate(texts))
+    got = ngramjoin.ngram_groups(documents(spark, texts), k=4, parts=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(docs, 4, 85, 100)
+
+
 def test_sets_of_one_fingerprint_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "_mark", lambda own, key: int(own[0] % np.uint64(7)) if key == ngramjoin._K else int(own[-1].view(np.int64)))
     rng = random.Random(3)
