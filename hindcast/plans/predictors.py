@@ -52,7 +52,7 @@ def sweep(p: Panel) -> DataFrame:
 def _states(p: Panel) -> DataFrame:
     at = sweep(p).join(p.vectors.withColumnRenamed("session_idx", "q"), ["entity", "q"])
     pool = retrieval.batched_pool(p.vectors, at.select("query_id", "z", F.lit(60).alias("j_low"), (F.col("q") - HORIZON).alias("j_high")), K)
-    return retrieval.greedy(pool, K).join(followed(p), ["entity", "session_idx"]).select("query_id", "entity", "session_idx", "y", "mae")
+    return retrieval.greedy(pool, K).join(followed(p), ["entity", "session_idx"]).select("query_id", "entity", "session_idx", "dist", "y", "mae")
 
 
 def followed(p: Panel) -> DataFrame:
@@ -61,7 +61,7 @@ def followed(p: Panel) -> DataFrame:
 
 
 def states(p: Panel) -> DataFrame:
-    """(query_id, entity, session_idx, y, mae): the states chosen for each query of the sweep, and what followed; one retrieval answers all."""
+    """(query_id, entity, session_idx, dist, y, mae): the states chosen for each query of the sweep, and what followed; one retrieval answers all."""
     return p.once("sweep-states", _states)
 
 
