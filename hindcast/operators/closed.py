@@ -69,29 +69,38 @@ def pool_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("start_ts").alias("n_starts"), F.percentile("return_pct", 0.5).alias("median_return"), F.percentile("mae_pct", 0.5).alias("median_mae"), (100 * F.avg((F.col("mae_pct") <= -5).cast("int"))).alias("breach5_pct"))
 
 
-def tracking(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Correlation and tracking error (bp) of two price series (d, p) on their common dates; null under 3 returns."""
-    met = left.select("d", F.col("p").alias("x")).join(right.select("d", F.col("p").alias("y")), "d").filter("x > 0 and y > 0")
-    w = Window.orderBy("d")  # one pair of instruments
-    r = met.select((F.col("x") / F.lag("x").over(w) - 1).alias("rx"), (F.col("y") / F.lag("y").over(w) - 1).alias("ry"), (F.col("x") / F.col("y") - 1).alias("premium"))
+def tracking(rows: DataFrame, key: str = "symbol", least: int = 3) -> DataFrame:
+    """(key, n, correlation, error_bp, p10, p50, p90) of pairs of prices (key, d, x, y) on the dates that both have, over their changes from date to date.
+
+    Correlation is null under ``least`` changes or where one side never moves; the tracking error is the
+    deviation of x's change less y's, in basis points; the percentiles are of the premium x / y - 1.
+    """
+    met = rows.filter("x > 0 and y > 0")
+    w = Window.partitionBy(key).orderBy("d")
+    r = met.select(key, (F.col("x") / F.lag("x").over(w) - 1).alias("rx"), (F.col("y") / F.lag("y").over(w) - 1).alias("ry"), (F.col("x") / F.col("y") - 1).alias("premium"))
     n = F.count("rx")
-    return r.agg(n.alias("n"), F.when(n >= 3, F.corr("rx", "ry")).alias("correlation"), (F.stddev_samp(F.col("rx") - F.col("ry")) * 1e4).alias("error_bp"), F.percentile("premium", 0.5).alias("premium_median"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
+    q = F.percentile("premium", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    out = r.groupBy(key).agg(n.alias("n"), F.when((n >= least) & (spread > 0), F.covar_pop("rx", "ry") / F.nullif(spread, F.lit(0.0))).alias("correlation"), (F.stddev_samp(F.col("rx") - F.col("ry")) * 1e4).alias("error_bp"), q.alias("q"))
+    return out.select(key, "n", "correlation", "error_bp", *(F.col("q")[i].alias(p) for i, p in enumerate(("p10", "p50", "p90"))))
 
 
-def order_book(books: DataFrame, by_price: bool, null_if_crossed: bool) -> DataFrame:
-    """(instrument, bid, ask, mid, spread_bp, depth50): books hold unordered levels (price, amount) in arrays.
+def order_book(books: DataFrame, keys: list[str], by_price: bool, null_if_crossed: bool, near: tuple[float, float] = (50, 200)) -> DataFrame:
+    """(keys, bid, ask, mid, spread_bp, top, depth_near, depth_far): books hold unordered levels (price, amount) in arrays bids and asks.
 
-    The two venues differ: depth is amount x price or amount x mid, and a crossed book is null in one.
+    Levels without a positive price are skipped; a book without either side has no figures. top: the
+    smaller side's value at the best price; depths: the value within each of two distances from the middle (bp).
+    The two venues differ: a level's value is amount x price or amount x mid, and a crossed book is null in one.
     """
-    bid, ask = F.array_max(F.transform("bids", lambda x: x["price"])), F.array_min(F.transform("asks", lambda x: x["price"]))
-    top = books.withColumns({"bid": bid, "ask": ask}).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+    good = lambda side: F.filter(side, lambda x: (x["price"] > 0) & x["amount"].isNotNull())
+    books = books.withColumns({"bids": good("bids"), "asks": good("asks")})
+    top = books.withColumns({"bid": F.array_max(F.transform("bids", lambda x: x["price"])), "ask": F.array_min(F.transform("asks", lambda x: x["price"]))}).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+    total = lambda levels, value: F.aggregate(levels, F.lit(0.0), lambda s, x: s + value(x))
 
     def depth(side: str, bp: float) -> Column:
-        near = F.filter(side, lambda x: F.abs(x["price"] / F.col("mid") - 1) * 1e4 <= bp)
-        return F.aggregate(near, F.lit(0.0), lambda s, x: s + x["amount"] * (x["price"] if by_price else F.col("mid")))
-
-    out = top.select("instrument", "bid", "ask", "mid", ((F.col("ask") - F.col("bid")) / F.col("mid") * 1e4).alias("spread_bp"), (depth("bids", 50) + depth("asks", 50)).alias("depth50"))
-    if null_if_crossed:
-        fine = F.col("bid") < F.col("ask")
-        out = out.select("instrument", "bid", "ask", *(F.when(fine, F.col(c)).alias(c) for c in ("mid", "spread_bp", "depth50")))
-    return out
+        return total(F.filter(side, lambda x: F.abs(x["price"] / F.col("mid") - 1) * 1e4 <= bp), lambda x: x["amount"] * (x["price"] if by_price else F.col("mid")))
+
+    at = lambda side, price: total(F.filter(side, lambda x: x["price"] == F.col(price)), lambda x: x["amount"] * x["price"])
+    figures = {"spread_bp": (F.col("ask") - F.col("bid")) / F.col("mid") * 1e4, "top": F.least(at("bids", "bid"), at("asks", "ask"))} | {name: depth("bids", bp) + depth("asks", bp) for name, bp in zip(("depth_near", "depth_far"), near)}
+    fine = F.col("bid") < F.col("ask") if null_if_crossed else F.col("mid").isNotNull()
+    return top.select(*keys, "bid", "ask", *(F.when(fine, c).alias(name) for name, c in ({"mid": F.col("mid")} | figures).items()))
