@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import closed, distribution, panel, retrieval, sentiment, standardise, stress, validation
-from ..schema import FEATURES, METRIC
+from ..schema import EXCLUDED, FEATURES, GROUPS
 from .layers import with_layers
 from .tables import Panel
 
@@ -17,11 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def also_named(name: str, whole: str) -> None:
-    """Register a query that answers for all rows under a further name."""
-    QUERIES[name], ORACLES[name] = QUERIES[whole], ORACLES[whole]
-
-
 def query(sql: str | None = None, digits: int = 6):
     """Register a function of a Panel as a query; doubles are rounded, and dates written, alike in it and in its oracle."""
 
@@ -92,7 +87,7 @@ def coverage_report(p: Panel) -> DataFrame:
 @query("""WITH x AS (SELECT DISTINCT entity, event_date AS d FROM entity_events), y AS (SELECT DISTINCT 'Brand#' || CAST(11 + o_custkey % 25 // 5 * 10 + o_custkey % 5 AS VARCHAR) AS entity, CAST(o_orderdate AS DATE) AS d FROM orders),
 m AS (SELECT x.entity, x.d, y.d AS nearest, abs(date_diff('day', x.d, y.d)) AS days FROM x LEFT JOIN y ON y.entity = x.entity)
 SELECT entity, CAST(d AS VARCHAR) AS d, CAST(arg_min(nearest, (days, nearest)) AS VARCHAR) AS nearest, min(days) AS days FROM m GROUP BY entity, d""")
-def nearest_date_all(p: Panel) -> DataFrame:
+def nearest_date_join(p: Panel) -> DataFrame:
     """All entities with all order dates: customers stand for the 25 brands in turn."""
     k = F.col("o_custkey") % 25
     brand = 11 + F.floor(k / 5) * 10 + k % 5
@@ -100,8 +95,6 @@ def nearest_date_all(p: Panel) -> DataFrame:
     return panel.nearest_date(p.entity_events.select("entity", F.col("event_date").alias("d")), right)
 
 
-also_named("nearest_date_join", "nearest_date_all")
-
 
 @query("""WITH RECURSIVE d AS (SELECT entity, session_date AS d, row_number() OVER (PARTITION BY entity ORDER BY session_date) AS rn FROM bars),
 k AS (SELECT entity, d, rn, d AS kept FROM d WHERE rn = 1 UNION ALL SELECT d.entity, d.d, d.rn, CASE WHEN date_diff('day', k.kept, d.d) > 20 THEN d.d ELSE k.kept END FROM k JOIN d ON d.entity = k.entity AND d.rn = k.rn + 1)
@@ -174,21 +167,26 @@ def valid_mask(p: Panel) -> DataFrame:
 # --- statistics, z, distance --------------------------------------------------------------------
 
 @query(f"SELECT feature, session_idx, n, {r('mu', 'sd', digits=4)} FROM stats", 4)
-def expanding_stats_all(p: Panel) -> DataFrame:
+def expanding_stats(p: Panel) -> DataFrame:
     return p.stats
 
 
-also_named("expanding_stats", "expanding_stats_all")
-
 
 @query("SELECT entity, session_idx, feature, round(CAST(z AS DOUBLE), 3) + 0 AS z FROM z", 3)
 def zscore_clip(p: Panel) -> DataFrame:
     return p.z
 
 
-@query("SELECT feature, round(w, 9) AS w FROM weights", 9)
+_GROUPED = ", ".join(f"('{f}', '{g}', {w}::DOUBLE)" for g, (w, names) in GROUPS.items() for f in names if f not in EXCLUDED)
+
+
+@query(f"WITH g(feature, grp, share) AS (VALUES {_GROUPED}), u AS (SELECT DISTINCT feature FROM long), e AS (SELECT g.*, share / count(*) OVER (PARTITION BY grp) AS w FROM g JOIN u USING (feature)) SELECT feature, round(w / sum(w) OVER (), 9) AS w FROM e", 9)
 def distance_weights(p: Panel) -> DataFrame:
-    return retrieval.weights_table(p.spark)
+    """Weights of the features that the panel has: a group's share is spread over those, and all are scaled to 1."""
+    from ..schema import distance_weights as spread
+
+    seen = p.features.filter("valid").agg(*(F.count(f).alias(f) for f in FEATURES)).first().asDict()
+    return retrieval.weights_table(p.spark, spread(exclude=(*EXCLUDED, *(f for f, n in seen.items() if not n and f not in EXCLUDED))))
 
 
 HORIZON, K = 5, 20

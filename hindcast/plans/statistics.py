@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import closed, distribution, retrieval, sentiment, stress, validation
-from .queries import _ASKED, _FOUND, _GREEDY, _POOL, HORIZON, also_named, chosen, query, r
+from .queries import _ASKED, _FOUND, _GREEDY, _POOL, HORIZON, chosen, query, r
 from .tables import Panel
 
 
@@ -60,13 +60,11 @@ def conformal_scale(p: Panel) -> DataFrame:
 
 @query("""WITH q AS (SELECT DISTINCT entity, session_idx AS q FROM grid WHERE a IS NOT NULL)
 SELECT entity, CAST(q AS INT) AS q, count(*) AS n, round(quantile_cont(y, 0.1), 6) AS lo, round(quantile_cont(y, 0.9), 6) AS hi, round(quantile_cont(y, 0.5), 6) AS median FROM q JOIN outcomes5 USING (entity) WHERE session_idx + 5 <= q AND y IS NOT NULL GROUP BY ALL HAVING count(*) >= 30""")
-def unconditional_band_all(p: Panel) -> DataFrame:
+def unconditional_band(p: Panel) -> DataFrame:
     """The band of every session with a bar."""
     return distribution.unconditional_band(p.grid, HORIZON, p.grid.filter("a is not null").select("entity", F.col("session_idx").alias("q")))
 
 
-also_named("unconditional_band", "unconditional_band_all")
-
 _HELD = """held AS (SELECT g.entity, g.q, quantile_cont(o.y, 0.1) AS lo, quantile_cont(o.y, 0.9) AS hi, quantile_cont(o.y, 0.5) AS median, any_value(f.y) AS y
 FROM (SELECT DISTINCT entity, session_idx AS q FROM grid WHERE a IS NOT NULL) g JOIN outcomes5 o ON o.entity = g.entity AND o.session_idx + 5 <= g.q AND o.y IS NOT NULL
 JOIN outcomes5 f ON f.entity = g.entity AND f.session_idx = g.q AND f.y IS NOT NULL GROUP BY g.entity, g.q HAVING count(*) >= 30)"""
@@ -75,7 +73,7 @@ JOIN outcomes5 f ON f.entity = g.entity AND f.session_idx = g.q AND f.y IS NOT N
 def held(p: Panel) -> DataFrame:
     """Predictions that are scored: the unconditional band and median of every session, and what followed."""
     followed = outcomes5(p).filter("y is not null").select("entity", F.col("session_idx").alias("q"), "y")
-    return unconditional_band_all(p).join(followed, ["entity", "q"])
+    return unconditional_band(p).join(followed, ["entity", "q"])
 
 
 @query(f"WITH {_HELD} SELECT entity, count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS coverage, round(avg(hi - lo), 6) AS width FROM held GROUP BY entity HAVING count(*) >= 10")
@@ -102,13 +100,11 @@ def chosen_groups(p: Panel) -> DataFrame:
 @query(f"""WITH RECURSIVE {_ASKED}, {_FOUND}, {_POOL}, {_GREEDY}
 SELECT CAST(0 AS BIGINT) AS query_id, CAST(t AS INT) AS t, count(*) AS n, {', '.join(f'round(quantile_cont(f.a / g.a - 1, {x / 100}), 6) AS p{x}' for x in (10, 25, 50, 75, 90))}
 FROM chosen JOIN grid g USING (entity, session_idx), range(1, 6) s(t) JOIN grid f ON f.entity = chosen.entity AND f.session_idx = chosen.session_idx + t WHERE g.a > 0 AND f.a > 0 GROUP BY t""")
-def path_fan_chosen(p: Panel) -> DataFrame:
+def path_fan(p: Panel) -> DataFrame:
     """What followed the states that the retrieval chose, step by step."""
     return stress.path_fan(chosen(p), p.grid, HORIZON)
 
 
-also_named("path_fan", "path_fan_chosen")
-
 
 @query("""WITH RECURSIVE w AS (SELECT session_idx AS j, y AS ret, row_number() OVER (ORDER BY y, session_idx) AS rn FROM outcomes5, bench WHERE entity = b AND y IS NOT NULL),
 k AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS INT[]) AS kept UNION ALL SELECT w.rn, CASE WHEN len(kept) < 10 AND len(list_filter(kept, lambda x: abs(x - j) < 20)) = 0 THEN list_append(kept, j) ELSE kept END FROM k JOIN w ON w.rn = k.rn + 1)

@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from .queries import query, r
 from .tables import Panel
 
-#: Events of even users stand for the first venue, those of odd ones for the second; a symbol is a user's hundred within a type.
-_MEASURED = "measured AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS venue, event_type || ':' || CAST(user_id // 2 % 7 AS VARCHAR) AS symbol, count(*) AS n, avg(value) AS mean, arg_max(value, (ts, event_id)) AS last FROM events WHERE value > 0 GROUP BY ALL), one AS (SELECT * FROM measured WHERE venue = 'first'), two AS (SELECT * FROM measured WHERE venue = 'second' AND symbol NOT LIKE '%:3'), known AS (SELECT DISTINCT event_type || ':' || CAST(k AS VARCHAR) AS symbol FROM events, range(0, 9) t(k))"
+#: Events of even users stand for the first venue, those of odd ones for the second; a symbol is a user's hundred within a type. A venue lists what trades there at least nine tenths as often as its symbols do on average.
+_MEASURED = "measured AS (SELECT * EXCLUDE (usual) FROM (SELECT *, avg(n) OVER (PARTITION BY venue) AS usual FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS venue, event_type || ':' || CAST(user_id // 2 % 7 AS VARCHAR) AS symbol, count(*) AS n, avg(value) AS mean, arg_max(value, (ts, event_id)) AS last FROM events WHERE value > 0 GROUP BY ALL)) WHERE 10 * n >= 9 * usual), one AS (SELECT * FROM measured WHERE venue = 'first'), two AS (SELECT * FROM measured WHERE venue = 'second'), known AS (SELECT DISTINCT event_type || ':' || CAST(k AS VARCHAR) AS symbol FROM events, range(0, 9) t(k))"
 
 
 def measured(p: Panel, venue: str) -> DataFrame:
-    """(symbol, n, mean, last) of one venue; the second doesn't list symbols that end in 3."""
+    """(symbol, n, mean, last) of what one venue lists."""
     symbol = F.concat("event_type", F.lit(":"), (F.floor(F.col("user_id") / 2) % 7).cast("string"))
     own = p.table("events").filter((F.col("value") > 0) & ((F.col("user_id") % 2 == 0) if venue == "first" else (F.col("user_id") % 2 != 0))).withColumn("symbol", symbol)
-    if venue != "first":
-        own = own.filter(~F.col("symbol").endswith(":3"))
-    return own.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "event_id")).alias("last"))
+    traded = own.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "event_id")).alias("last"))
+    return traded.join(F.broadcast(traded.agg(F.avg("n").alias("usual"))), 10 * F.col("n") >= 9 * F.col("usual")).drop("usual")
 
 
 def both(p: Panel) -> DataFrame:

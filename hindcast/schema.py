@@ -25,6 +25,6 @@ def distance_weights(group_weights: dict[str, float] | None = None, exclude: tup
     share = {}
     for group, (weight, names) in GROUPS.items():
         usable = [f for f in names if f not in exclude]
-        share |= {f: (group_weights or {}).get(group, weight) / len(usable) for f in usable}
+        share |= {f: (group_weights or {}).get(group, weight) / len(usable) for f in usable}  # a group without any gives its share to the others
     total = sum(share.values())
     return {f: w / total for f, w in share.items()}

@@ -80,10 +80,3 @@ def test_venues_equal_their_sql(spark, name):
     rows = both(spark, name)
     if name == "venue_sets":
         assert {r.coverage for r in rows} >= {"both", "uncovered"}
-
-
-def test_first_names_answer_for_whole_tables(spark):
-    import __spark_entry__ as entry
-
-    for name, whole in {"nearest_date_join": "nearest_date_all", "path_fan": "path_fan_chosen", "unconditional_band": "unconditional_band_all", "expanding_stats": "expanding_stats_all"}.items():
-        assert entry.queries()[name] is entry.queries()[whole] and entry.oracle_sql()[name] == entry.oracle_sql()[whole]

@@ -33,7 +33,7 @@ def both(spark, name):
 
 
 def test_nearest_date_has_all_entities_and_dates(spark, whole):
-    rows = both(spark, "nearest_date_all")
+    rows = both(spark, "nearest_date_join")
     assert {(r.entity, r.d) for r in rows} == {(r.entity, str(r.event_date)) for r in whole.entity_events.collect()}
     assert len({r.nearest[-2:] for r in rows if r.nearest}) > 20
 
@@ -42,7 +42,7 @@ def test_unconditional_band_answers_every_session(spark, whole):
     seen = {}
     for r in whole.grid.filter("a is not null").select("entity", "session_idx").collect():
         seen.setdefault(r.entity, set()).add(r.session_idx)
-    rows = both(spark, "unconditional_band_all")
+    rows = both(spark, "unconditional_band")
     for name, own in seen.items():
         answered = {r.q for r in rows if r.entity == name}
         assert not answered or answered == {q for q in own if q >= min(answered)}
@@ -52,12 +52,12 @@ def test_unconditional_band_answers_every_session(spark, whole):
 def test_path_fan_follows_the_chosen(spark, whole):
     from hindcast.plans.queries import chosen
 
-    rows, most = both(spark, "path_fan_chosen"), chosen(whole).count()
+    rows, most = both(spark, "path_fan"), chosen(whole).count()
     assert {r.t for r in rows} == {1, 2, 3, 4, 5} and all(r.n <= most for r in rows)
 
 
 def test_statistics_have_all_features(spark):
-    assert {r.feature for r in both(spark, "expanding_stats_all")} == set(FEATURES)
+    assert {r.feature for r in both(spark, "expanding_stats")} == set(FEATURES)
 
 
 def test_every_feature_is_in_a_query(spark):
