@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from hashlib import blake2b
@@ -296,7 +297,8 @@ def find_entities(text: str) -> list[Entity]:
 
 
 def _gender_at(stated: list[tuple[int, str]] | None, at: int) -> str:
-    return next((g for start, g in reversed(stated) if start <= at), stated[0][1]) if stated else ""
+    """The gender stated last before a place, or first after it; places come in order."""
+    return stated[max(bisect_right(stated, at, key=lambda s: s[0]) - 1, 0)][1] if stated else ""
 
 
 def find_mentions(text: str, entities: list[Entity]) -> list[Entity]:
@@ -334,11 +336,13 @@ def replace_entities(text: str, key: bytes) -> tuple[str, list[tuple[str, str, s
     Where a found name stands alone in the text it is replaced alike, but isn't an entity of its own.
     """
     out, made, end = [], [], 0
+    known: dict[tuple[str, str, str], str] = {}
     entities = find_entities(text)
     own = set(entities)
     for e in sorted(entities + find_mentions(text, entities), key=lambda e: e.start):
         value = text[e.start : e.end]
-        new = surrogate(key, e.kind, value, e.gender)
+        form = (e.kind, value, e.gender)
+        new = known[form] = known.get(form) or surrogate(key, *form)
         out += [text[end : e.start], new]
         if e in own:
             made.append((e.kind, value, new))
