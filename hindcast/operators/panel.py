@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,16 +78,19 @@ def coverage_report(bars: DataFrame, events: DataFrame) -> DataFrame:
 def date_clusters(dates: DataFrame, days: int) -> DataFrame:
     """(entity, d): greedy clustering, a date is kept if it is more than ``days`` after the last kept one.
 
-    The rule depends on what was kept before, so it is a fold over one entity's sorted distinct dates.
+    The rule depends on what was kept before, so it runs along one entity's sorted distinct dates, at most one for
+    each day of the calendar. Null dates are left out.
     """
-    kind = "array<date>"
 
-    def step(kept: Column, d: Column) -> Column:
-        far = (F.size(kept) == 0) | (F.datediff(d, F.element_at(kept, -1)) > days)
-        return F.when(far, F.array_append(kept, d)).otherwise(kept)
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], None
+        for d in sorted(rows["d"]):
+            if last is None or (d - last).days > days:
+                kept.append(d)
+                last = d
+        return pd.DataFrame({"entity": rows["entity"].iloc[0], "d": kept})
 
-    folded = dates.groupBy("entity").agg(F.sort_array(F.collect_set("d")).alias("all")).select("entity", F.aggregate("all", F.array().cast(kind), step).alias("kept"))
-    return folded.select("entity", F.explode("kept").alias("d"))
+    return dates.filter("d is not null").select("entity", "d").distinct().groupBy("entity").applyInPandas(keep, "entity string, d date")
 
 
 def prefix_candidates(symbols: DataFrame, pairs: DataFrame, quote: str, most_extra: int = 3) -> DataFrame:

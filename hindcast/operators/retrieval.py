@@ -124,6 +124,43 @@ def batched_pool(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return pool(out, k)
 
 
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, rank) of the k nearest (vec_id, v) to each of (query_id, v) by Euclidean distance, itself left out.
+
+    Queries, a stated set, go to the vectors' tasks in blocks of QUERY_BLOCK; a task keeps its own k nearest
+    of each query, so what is shuffled is bounded by tasks x queries x k. Matrix products find what may
+    be among them, and differences decide; ties go to the smaller vec_id.
+    """
+    spark, n_blocks, out = vectors.sparkSession, max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for block in range(n_blocks):
+        rows = queries.select("query_id", F.col("v").cast("array<double>").alias("v")).filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).toArrow().combine_chunks()
+        ids = rows.column("query_id").to_numpy()
+        shared = spark.sparkContext.broadcast((ids, _matrix(rows.column("v").combine_chunks(), len(rows.column("v")[0]) if len(ids) else 1)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches if len(ids) else ():
+                own, c = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), q.shape[1])
+                found = [[], [], []]
+                for first in range(0, len(ids), QUERY_SLICE):
+                    part = q[first : first + QUERY_SLICE]
+                    near = (part**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * part @ c.T
+                    near[own == ids[first : first + QUERY_SLICE, None]] = np.inf
+                    for i, row in enumerate(near):
+                        bound = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+                        at = np.flatnonzero(row <= min(bound * (1 + 1e-9) + 1e-9, 1e300))
+                        d = ((c[at] - q[first + i]) ** 2).sum(axis=1)
+                        keep = np.lexsort((own[at], d))[:k]
+                        for held, x in zip(found, (np.full(len(keep), ids[first + i]), own[at[keep]], d[keep])):
+                            held.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["query_id", "vec_id", "d"])
+
+        made = vectors.select("vec_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, vec_id long, d double")
+        out = made if out is None else out.unionByName(made)
+    w = Window.partitionBy("query_id").orderBy("d", "vec_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")
+
+
 def greedy(pooled: DataFrame, k: int, most_a_session: int = MAX_PER_DATE, gap: int = MIN_GAP) -> DataFrame:
     """The k chosen of each query's pool: in order of rank, at most ``most_a_session`` of one session and
     none within ``gap`` sessions of a chosen one of its entity.

@@ -15,11 +15,12 @@ def breadth(grid: DataFrame, rows: int) -> DataFrame:
 
 
 def latest_percentile(series: DataFrame, rows: int = 1250) -> DataFrame:
-    """(latest, percentile): the place of the last observation among the last ``rows``: values under it / (n - 1)."""
-    recent = series.filter("value is not null").orderBy(F.desc("obs_date")).limit(rows)
-    latest = recent.agg(F.max_by("value", "obs_date").alias("latest"))
+    """(series_id, latest, percentile): the place of each series' last observation among its last ``rows``: values under it / (n - 1)."""
+    newest = Window.partitionBy("series_id").orderBy(F.desc("obs_date"), "value")
+    recent = series.filter("value is not null").withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= rows)
+    latest = recent.filter("place = 1").select("series_id", F.col("value").alias("latest"))
     under = F.sum((F.col("value") < F.col("latest")).cast("int"))
-    return recent.crossJoin(F.broadcast(latest)).agg(F.first("latest").alias("latest"), (100 * under / F.greatest(F.lit(1), F.count("*") - 1)).alias("percentile"))
+    return recent.join(latest, "series_id").groupBy("series_id").agg(F.first("latest").alias("latest"), (100 * under / F.greatest(F.lit(1), F.count("*") - 1)).alias("percentile"))
 
 
 def clamp(x: Column, low: float = 0, high: float = 100) -> Column:

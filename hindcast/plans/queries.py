@@ -262,10 +262,6 @@ def scan_stats(p: Panel) -> DataFrame:
 
 @query("SELECT q.vec_id AS query_id, c.vec_id, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS cid, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(range(1, 65), lambda i: power(q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE, 2))), c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 5) x JOIN embeddings q ON q.vec_id = qid JOIN embeddings c ON c.vec_id = cid")
 def embedding_knn(p: Panel) -> DataFrame:
-    """Exact nearest vectors of a stated query set, which is collected in full and sent to the rows' tasks."""
-    e = p.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked_for = F.broadcast(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))) if e.filter("vec_id % 100 = 0").count() <= 10_000 else e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    gap = F.aggregate(F.zip_with("v", "qv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    w = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    met = e.crossJoin(asked_for).filter("vec_id != query_id").select("query_id", "vec_id", gap.alias("d"))
-    return met.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "vec_id", "rank")
+    """Exact nearest vectors of a stated query set."""
+    e = p.table("embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return retrieval.nearest_vectors(e, e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 5)
