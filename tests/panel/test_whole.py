@@ -76,3 +76,16 @@ def test_groups_of_the_chosen_add_up(spark):
     for r in both(spark, "chosen_groups"):
         sums[r.kind] = sums.get(r.kind, 0) + r.n
     assert len(set(sums.values())) <= 1
+
+
+def test_queries_share_a_panel_until_a_file_changes(spark, tmp_path):
+    import shutil
+
+    for name in ("lineitem", "part", "orders", "events"):
+        shutil.copy(f"{TABLES}/{name}.parquet", tmp_path)
+    one = Panel.of(spark, str(tmp_path))
+    assert Panel.of(spark, str(tmp_path)) is one and Panel.of(spark, str(tmp_path), "day") is not one
+    made = one.once("sessions", lambda p: p.calendar)
+    assert one.once("sessions", lambda p: None) is made
+    shutil.copy(f"{TABLES}/part.parquet", tmp_path / "orders.parquet")
+    assert Panel.of(spark, str(tmp_path)) is not one
