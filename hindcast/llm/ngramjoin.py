@@ -286,9 +286,9 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     live = live.select("a", "b", "n", "d", "s", "diff", "own", "common", "comp", (F.col("linked") | (F.col("comp") == F.col("comp_a"))).alias("inside"))
     live = live.join(live.filter("not inside").select("a").distinct(), "a", "left_semi")
     fields = ("n", "d", "s", "common", "comp", "inside")
-    far = live.filter("own is not null").select("a", F.lit(1).alias("band"), F.col("b").alias("c"), *fields, F.posexplode("own").alias("at", "e"))
-    far = far.withColumn("left", F.col("n") - F.col("common") - F.col("at"))
+    far = live.filter("own is not null").select("a", F.col("b").alias("c"), F.posexplode("own").alias("at", "e"))
     far = far.join(far.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+    far = far.join(live.select("a", F.col("b").alias("c"), *fields), ["a", "c"]).withColumns({"band": F.lit(1), "left": F.col("n") - F.col("common") - F.col("at")})
     live = live.filter("diff is not null").drop("own")
     out = lambda x: F.when(~F.col("inside"), F.col(x))
 
@@ -299,7 +299,18 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
         meets = F.when(F.col("inside"), (F.col("q") >= F.col("s_out")) & (F.col("s") <= F.col("q_out"))).otherwise((F.col("s") <= F.col("q_all")) & (F.col("q") >= F.col("s_all")))
         return live.join(bounds, "a").filter(meets).drop("q", "s_all", "s_out", "q_all", "q_out")
 
+    def demand() -> Column:
+        """The differences that a member shares with any partner at least."""
+        least = F.col("s") + F.when(F.col("inside"), F.col("s_out")).otherwise(F.col("s_all"))
+        return F.ceil(F.greatest(least, F.lit(1)) / (2 * (of + parts)))
+
     live = stage(able(live, F.col("d")), "ngram-differences")
+    bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"))
+    # Of differences in one order for all, the first that a pair shares is among the first d - demand + 1 of
+    # each. Members that share none of those with another one go, before whole differences are listed.
+    first = live.join(bounds, "a").select("a", "b", F.explode(F.slice(F.array_sort("diff"), F.lit(1), F.greatest(F.col("d") - demand() + 1, F.lit(0)).cast("int"))).alias("e"))
+    met = first.join(first.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"]).select("a", "b").distinct()
+    live = stage(live.join(met, ["a", "b"], "left_semi"), "ngram-differences")
     own = live.select("a", "b", F.explode("diff").alias("e"))
     held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
     live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"])  # r: the differences that several hold
