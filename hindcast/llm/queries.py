@@ -33,6 +33,7 @@ def word_bpe_path() -> str:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by keyed surrogates, and the number of entities of each kind."""
     return replace_pii(table(spark, sf_dir, "documents"), key=b"a key for these synthetic tables")
 
 
@@ -53,37 +54,45 @@ def op2_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for each page, written and read back: payload size and digest, and response or revisit. Null html is an empty payload."""
     back = warc_round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, and how many are live-looking or shared by how widely owners and repositories hold them."""
     owner = F.col("source")  # a source's texts in one language stand for a repository
     found = scan_secrets(table(spark, sf_dir, "documents"), owner=owner, repository=F.concat_ws("/", "source", "lang"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_opaque", "n_live", "n_shared")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents' token ids in sequences of at most 4096."""
     return pack(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document from a network that learns from labels that aren't held out."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after dropping those that at least three documents share."""
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of every document's set of four-word shingles, and the smallest id that links of 0.85 or more reach."""
     return ngram_groups(table(spark, sf_dir, "documents"), k=4, parts=85, of=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a ten-word window of the benchmark, and the items found."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -99,18 +108,22 @@ RULES = (
 
 
 def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow or block for every page's URL, by rule or by the models of its characters."""
     return judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes within each source, in all 120 orders."""
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the conversations rebuilt with shared heads."""
     return prefix_trie(*shared_heads(numbered(table(spark, sf_dir, "conversations"))))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences that the whole pipeline makes of the documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
