@@ -102,3 +102,18 @@ def test_streamed_candles_equal_batch_ones(spark, tmp_path):
     columns = ["instrument", "ts", "c", "hi", "lo", "qv"]
     batch = closed.candles(ticks).select(*columns)
     assert sorted(map(tuple, spark.table("candles_test").select(*columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_nearest_vectors_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = [(i, [rng.choice([0.0, 1.0, rng.random()]) for _ in range(3)]) for i in range(60)]
+    rows += [(60 + i, rows[i][1]) for i in range(10)]  # equal vectors: ties go to the smaller id
+    df = spark.createDataFrame(rows, "vec_id long, v array<float>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in retrieval.nearest_vectors(df, df.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id"), 4).collect()}
+    vectors = {r.vec_id: r.v for r in df.collect()}
+    for q in range(0, 70, 7):
+        order = sorted((sum((a - b) ** 2 for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)
+        assert [got[q, rank] for rank in (1, 2, 3, 4)] == [i for _, i in order[:4]]
+    assert retrieval.nearest_vectors(df, df.filter("false").withColumnRenamed("vec_id", "query_id"), 4).count() == 0
