@@ -156,7 +156,7 @@ def breadth50(p: Panel) -> DataFrame:
 
 @query("WITH l AS (SELECT series_id, arg_max(value, obs_date) AS latest FROM series GROUP BY series_id) SELECT series_id, round(any_value(latest), 6) AS latest, round(100 * sum(CASE WHEN value < latest THEN 1 ELSE 0 END) / greatest(1, count(*) - 1), 6) AS percentile FROM series JOIN l USING (series_id) GROUP BY series_id")
 def latest_percentile(p: Panel) -> DataFrame:
-    return sentiment.latest_percentile(p.series)
+    return sentiment.latest_percentile(p.series, rows=None)
 
 
 @query("""WITH i AS (SELECT event_id AS pos, event_type || ' ' || user_id % 40 || '!' AS title, ts AS published_at FROM events),

@@ -169,7 +169,7 @@ def sentiment_score(p: Panel) -> DataFrame:
     own = last.join(p.features.filter(F.col("entity") == p.benchmark).select("session_idx", "ret20"), "session_idx", "left")
     own = own.select((100 * (F.col("c") / F.col("m50") - 1)).alias("dist50"), (100 * (F.col("c") / F.col("m200") - 1)).alias("dist200"), (100 * F.col("ret20").cast("double")).alias("ret20"))
     b50, b200 = (sentiment.breadth(p.grid, n).select(F.col("breadth").alias(f"breadth{n}")) for n in (50, 200))
-    vix = sentiment.latest_percentile(p.series.filter("series_id = 'p:1-URGENT'")).select("percentile")
+    vix = sentiment.latest_percentile(p.series.filter("series_id = 'p:1-URGENT'"), rows=None).select("percentile")
     met = own.crossJoin(b50).crossJoin(b200).crossJoin(vix)  # one row each
     score = sentiment.composite(*(F.col(c) for c in ("breadth50", "breadth200", "percentile", "ret20", "dist50", "dist200")))
     return met.select("breadth50", "breadth200", "percentile", score.alias("score"), scalar.sentiment_band(score).alias("band"))

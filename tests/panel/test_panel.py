@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,19 @@ def test_headlines_without_time_come_last(spark):
     assert [(r.pos, r["rank"]) for r in sentiment.rank_headlines(rows, 5).orderBy("rank").collect()] == [(3, 1), (1, 2)]
 
 
+def test_latest_percentile_evaluates_a_series_once(spark):
+    """Sums in another order differ in their last bits: a value that each evaluation makes anew stands for them."""
+    noise = F.udf(lambda x: x + random.random() * 1e-6 if x is not None else None, "double").asNondeterministic()
+    rows = [(f"s{i}", D(2020, 1, 1 + j), float(j)) for i in range(40) for j in range(3)] + [("gap", D(2020, 1, 1), 1.0), ("gap", D(2020, 1, 2), 2.0), ("gap", D(2020, 1, 3), None), ("none", D(2020, 1, 1), None)]
+    series = spark.createDataFrame(rows, "series_id string, obs_date date, value double").repartition(3).withColumn("value", noise("value"))
+    for rows in (1250, None):
+        found = {r.series_id: r.percentile for r in sentiment.latest_percentile(series, rows).collect()}
+        assert found == {f"s{i}": 100.0 for i in range(40)} | {"gap": 50.0, "none": 0.0}
+    long = spark.range(1300).selectExpr("'s' series_id", "date_add(date'2000-01-01', cast(id as int)) obs_date", "cast(1300 - id as double) + if(id = 1299, 1200, 0) value")
+    assert sentiment.latest_percentile(long, None).first().percentile == 100 * 1199 / 1299
+
+
+
 def test_readers(spark, tmp_path):
     good = {"entity": "e", "session_date": "2024-01-02", "o": 1, "h": 2, "l": 1, "c": 2, "a": 2, "v": None}
     (tmp_path / "p.json").write_text("\n".join(json.dumps(x) for x in (good, good | {"a": None})))
