@@ -2,87 +2,124 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
 
-#: Words whose ids a Python worker remembers between slices; beyond that it starts anew.
-CACHE_WORDS = 400_000
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
+#: Runs of letters that one call of the tokenizer encodes.
+RUNS = 500
+
+#: Letters below U+0250 but for U+0130: they stay single letters under NFC and lower-casing.
+_LETTERS = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+"
+#: ASCII punctuation without the apostrophe, which starts contractions.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SIMPLE = f"^{_LETTERS}[{''.join(chr(92) + c for c in _MARKS)}]*$"
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` that begin at ``start``, one behind the other."""
+    ends = np.cumsum(size)
+    return pool[np.arange(size.sum()) + np.repeat(start - (ends - size), size)]
 
 
 class WordEncoder:
-    """Ids of whole texts, from a cache of the ids of their white-space separated words.
+    """Ids of whole texts, by the distinct white-space separated words of a slice of them.
 
     The tokenizer's normaliser and its split pattern treat ASCII white space as a boundary that no
     token, composition or added token crosses, so the ids of a text are those of its words in turn.
-    Likewise a run of letters and a full stop or comma after it are tokens of their own.
+    Likewise a run of letters and the punctuation after it are tokens of their own. Runs of letters
+    that are lower-cased already need neither normaliser nor split pattern, ASCII ones no byte
+    mapping either, so the tokenizer's model gets them, many to a call, without these.
+    Nothing is kept from one slice to the next.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks take the cores already
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Little-endian 32-bit ids of words that two slices running had, and of those new in the last one.
-        self.words: dict[bytes, bytes] = {}
-        self.fresh: dict[bytes, bytes] = {}
+        blank = pre_tokenizers.WhitespaceSplit()
+        self.ascii, self.accented = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.ascii.pre_tokenizer = blank
+        self.accented.pre_tokenizer = pre_tokenizers.Sequence([blank, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.stops = {stop: self._ids(stop) for stop in (".", ",")}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't remembered; runs of letters go many to a call."""
-        simple, other, found = [], [], {}
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            stop = text[-1] if text[-1] in ".," else ""
-            run = text[:-1].lower() if stop else text.lower()
-            # Letters below U+0250 stay single letters under NFC and lower-casing, but for one.
-            if run.isalpha() and (run.isascii() or max(run) < "\u0250" and "\u0130" not in text):
-                simple.append((word, run, stop))
-            else:
-                other.append((word, text))
-        runs, letters = list({run for _, run, _ in simple}), {}
-        for i in range(0, len(runs), 4000):
-            part = runs[i : i + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1  # the last id of a run of letters, and no other, ends a word
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                letters.update((run, raw[a:b]) for run, a, b in zip(part, at, at[1:]))
-            else:
-                letters.update((run, self._ids(run)) for run in part)
-        for word, run, stop in simple:
-            found[word] = letters[run] + self.stops[stop] if stop else letters[run]
-        for i in range(0, len(other), 4000):
-            part = other[i : i + 4000]
-            for (word, _), own in zip(part, self.tokenizer.encode_batch([t for _, t in part], add_special_tokens=False)):
-                found[word] = np.array(own.ids, "<u4").tobytes()
-        return found
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        split = [text.split() for text in texts]
-        wanted = set().union(*split)
-        again = wanted.intersection(self.fresh)
-        if len(self.words) + len(again) > CACHE_WORDS:
-            self.words.clear()
-        self.words.update((word, self.fresh[word]) for word in again)
-        self.fresh = self.learn(wanted.difference(self.words))
-        every = self.words | self.fresh
-        for words in split:
-            yield np.frombuffer(b"".join(map(every.__getitem__, words)), "<u4")
+
+    def _each(self, tokenizer, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids, and number of ids for each, of texts encoded one by one."""
+        ids, sizes = [], []
+        for i in range(0, len(texts), 4000):
+            own = [e.ids for e in tokenizer.encode_batch_fast(texts[i : i + 4000], add_special_tokens=False)]
+            ids.append(np.fromiter((x for o in own for x in o), np.uint32))
+            sizes.append(np.array([len(o) for o in own], np.int64))
+        return ids, sizes
+
+    def _runs(self, tokenizer, runs: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The same of runs of letters."""
+        ids, sizes = [], []
+        for i in range(0, len(runs), 64 * RUNS):
+            calls = [runs[j : j + RUNS] for j in range(i, min(i + 64 * RUNS, len(runs)), RUNS)]
+            for part, own in zip(calls, tokenizer.encode_batch_fast([" ".join(c) for c in calls], add_special_tokens=False)):
+                found = np.array(own.ids, np.uint32)
+                ends = np.flatnonzero(self.ends_word[found]) + 1  # the last id of a run of letters, and no other, ends a word
+                if len(ends) == len(part):
+                    ids.append(found)
+                    sizes.append(np.diff(ends, prepend=0))
+                else:
+                    for have, more in zip((ids, sizes), self._each(tokenizer, part)):
+                        have += more
+        return ids, sizes
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and number of ids for each, of distinct words."""
+        simple = pc.match_substring_regex(words, _SIMPLE)
+        plain = words.filter(simple)
+        runs = pc.utf8_lower(pc.utf8_rtrim(plain, characters=_MARKS)).dictionary_encode()
+        marks = pc.replace_substring_regex(plain, "^" + _LETTERS, "").dictionary_encode()
+        other = [w.decode("utf-8", "replace") for w in words.filter(pc.invert(simple)).cast(pa.binary()).to_pylist()]
+        narrow = pc.string_is_ascii(runs.dictionary)
+        parts = [
+            self._runs(self.ascii, runs.dictionary.filter(narrow).to_pylist()), self._runs(self.accented, runs.dictionary.filter(pc.invert(narrow)).to_pylist()),
+            self._each(self.tokenizer, marks.dictionary.to_pylist()), self._each(self.tokenizer, other),
+        ]
+        pool = np.concatenate([np.zeros(0, np.uint32), *(x for ids, _ in parts for x in ids)])
+        size = np.concatenate([np.zeros(0, np.int64), *(x for _, sizes in parts for x in sizes)])
+        start = np.cumsum(size) - size
+        # Places in ``size``: ASCII runs, accented ones, marks, other words. A word is up to two of them.
+        narrow, n_runs, n_marks = narrow.to_numpy(zero_copy_only=False), len(runs.dictionary), len(marks.dictionary)
+        of_run = np.where(narrow, np.cumsum(narrow) - 1, narrow.sum() + np.cumsum(~narrow) - 1)
+        simple = simple.to_numpy(zero_copy_only=False)
+        first, second = np.zeros((2, len(words)), np.int64)
+        first[simple] = of_run[runs.indices.to_numpy()]
+        second[simple] = n_runs + marks.indices.to_numpy()
+        first[~simple] = n_runs + n_marks + np.arange(len(other))
+        both = np.stack([first, second], 1)
+        sizes = np.stack([size[first], np.where(simple, size[second], 0)], 1) if len(size) else np.zeros((len(words), 2), np.int64)
+        return _gather(pool, start[both].ravel(), sizes.ravel()) if len(size) else pool, sizes.sum(1)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string column; a null is empty."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        ids, sizes = self._words(words.dictionary)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int64()), pa.array(ids))
+        found = lists.take(words.indices)
+        at = found.offsets.to_numpy()[split.offsets.to_numpy()].tolist()
+        values = found.values.to_numpy()
+        for a, b in zip(at, at[1:]):
+            yield values[a:b]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -170,8 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in chunks(batches, "text", SLICE_BYTES):
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 ids = np.append(ids, np.uint32(end_id))
                 total = len(ids)
                 whole = total - total % window
@@ -184,7 +220,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield flush()
 
         left = state.rest()
-        encoder(tokenizer_path).fresh = {}  # a worker that waits for other tasks holds little
         remaining = sum(len(ids) for _, _, ids, _ in left)
         sequence: list[tuple] = []
         room = _next_length(remaining, window)

@@ -1,9 +1,13 @@
 """Operators over documents against brute force on small fixtures with nulls, ties, repeats and clashes."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -257,6 +261,37 @@ def test_prefixes_keep_every_link():
 # --- packing ------------------------------------------------------------------------------------
 
 
+def test_encoder_equals_the_tokenizer_at_half_of_its_time():
+    """Texts of new words, and awkward ones, get the ids that the whole tokenizer gives; the process stays small."""
+    code = """
+import random, resource, time
+import pyarrow as pa
+from hindcast.llm.packing import WordEncoder
+from hindcast.llm.queries import word_bpe_path
+draw = random.Random(5)
+odd = list("abcdeEZz  \\t\\n\\r\\x0b\\x0c\\x1c\\x85\\xa0.,;!#$%'<>|=*_-0123éÉÑñßÜİıſǅȺµªº×÷ŉﬁ中文кЖ😀") + ["\\u0300", "\\u0338", "<|endoftext|>", "'s", "don't", "<|"]
+texts = ["".join(draw.choices(odd, k=draw.randint(0, 60))) for _ in range(3000)] + ["", None]
+encoder = WordEncoder(word_bpe_path())
+whole = lambda texts: [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+assert [x.tolist() for x in encoder.encode(pa.array(texts))] == whole(texts)
+parts = ["th", "an", "on", "er", "wh", "ing", "tion", "ble", "ich", "sch", "eux", "ción"]
+word = lambda: "".join(draw.choices(parts, k=draw.randint(2, 6))) + draw.choice(["", "", ",", ".", ",###"])
+first, new = ([" ".join(word() for _ in range(500)) for _ in range(200)] for _ in range(2))
+for _ in encoder.encode(pa.array(first)): pass
+t0 = time.process_time(); got = [x.tolist() for x in encoder.encode(pa.array(new))]
+t1 = time.process_time(); want = whole(new)
+t2 = time.process_time()
+assert got == want and t1 - t0 < 0.6 * (t2 - t1), (t1 - t0, t2 - t1)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for _ in range(8):
+    for _ in encoder.encode(pa.array([" ".join(word() for _ in range(500)) for _ in range(200)])): pass
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 40_000
+"""
+    root = Path(packing.__file__).parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": str(root), "TOKENIZERS_PARALLELISM": "false"}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
