@@ -197,9 +197,10 @@ def _candidate_sets(docs: DataFrame, small: DataFrame, large: DataFrame, k: int,
 
 
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their sets, own_a and own_b."""
+    """The pairs (a, b) with their sets, own_a and own_b; only sets that a pair names are moved."""
     left = pairs.join(sets.select(F.col("c").alias("a"), F.col("own").alias("own_a")), "a")
-    return left.join(sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")), "b")
+    named = sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")).join(pairs.select("b").distinct(), "b", "left_semi")
+    return left.join(named, "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, parts: int, of: int) -> DataFrame | None:
@@ -261,7 +262,8 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     That serves members near the leader (|D| <= n), and those of which the leader holds so much that
     all that a link asks for may lie in it (common >= t n, t = parts / of), such as members inside a
     larger leader. Of members far from it (2 |D| > n) what the leader lacks is indexed, by the prefix that a link asks
-    for, which finds every link that shares something outside of the leader.
+    for, which finds every link that shares something outside of the leader; where a leader has up to
+    SMALL_DIFFERENCE of them, those prefixes are compared pair by pair instead of listed.
     So no link is lost, if t >= 3 / 4 (else all differences are indexed): of two near ones the whole
     differences meet. If one is far only (|D| > n, common < t n), a link shares at least t n, so some of
     it outside of the leader; the other one is in that index too, for were it near only (2 |D| <= n), then
@@ -286,9 +288,21 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     live = live.select("a", "b", "n", "d", "s", "diff", "own", "common", "comp", (F.col("linked") | (F.col("comp") == F.col("comp_a"))).alias("inside"))
     live = live.join(live.filter("not inside").select("a").distinct(), "a", "left_semi")
     fields = ("n", "d", "s", "common", "comp", "inside")
-    far = live.filter("own is not null").select("a", F.col("b").alias("c"), F.posexplode("own").alias("at", "e"))
-    far = far.join(far.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
-    far = far.join(live.select("a", F.col("b").alias("c"), *fields), ["a", "c"]).withColumns({"band": F.lit(1), "left": F.col("n") - F.col("common") - F.col("at")})
+    far = live.filter("own is not null").select("a", F.col("b").alias("c"), *fields, "own")
+    beyond = stage(far.join(far.groupBy("a").agg(F.count("*").alias("many")).filter("many > 1"), "a"), "ngram-differences")
+    # Few members far from a leader are held against each other as whole rows; only those of many are listed.
+    few = beyond.filter(F.col("many") <= SMALL_DIFFERENCE).drop("many")
+    few2 = few.select("a", *(F.col(x).alias(f"{x}2") for x in ("c", *fields, "own")))
+    alike = of * F.least("n", "n2") >= parts * F.greatest("n", "n2")
+    few = few.join(few2, "a").filter((F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2")) & alike)
+    # Lists are in one order for all, so the first n-gram that two share is the first of both that is shared.
+    few = few.withColumn("e", F.get(F.array_intersect("own", "own2"), F.lit(0))).filter("e is not null")
+    rest, rest2 = (F.col(f"n{x}") - F.col(f"common{x}") - F.array_position(f"own{x}", F.col("e")) + 1 for x in ("", "2"))
+    few = few.filter((of + parts) * (F.least(rest, rest2) + F.least("common", "common2")) >= parts * (F.col("n") + F.col("n2")))
+    far = beyond.filter(F.col("many") > SMALL_DIFFERENCE)
+    listed = far.select("a", "c", F.posexplode("own").alias("at", "e"))
+    listed = listed.join(listed.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+    far = listed.join(far.select("a", "c", *fields), ["a", "c"]).withColumns({"band": F.lit(1), "left": F.col("n") - F.col("common") - F.col("at")})
     live = live.filter("diff is not null").drop("own")
     out = lambda x: F.when(~F.col("inside"), F.col(x))
 
@@ -335,7 +349,9 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     left = F.least("left", "left2")
     meets = F.when(F.col("band") == 0, 2 * (of + parts) * left >= F.col("s") + F.col("s2")).otherwise((of + parts) * (left + F.least("common", "common2")) >= parts * (F.col("n") + F.col("n2")))
     fits = (F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2")) & meets
-    pairs = stage(one.join(two, ["a", "e", "band"]).filter(fits).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "ngram-pairs")
+    both = one.join(two, ["a", "e", "band"]).filter(fits).select("c", "c2").unionByName(few.select("c", "c2"))
+    pairs = stage(both.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "ngram-pairs")
+    unstage(beyond)
     if not pairs.isEmpty():
         links.add(_verified(pairs, sets, parts, of), label=not last)
     rest = stage(posted.filter("large").select(F.col("a").alias("g"), F.col("e").alias("h"), "band", "c", "n", (F.col("d") / F.col("n")).alias("first"), F.lit(1.0).alias("ratio")), "ngram-live")

@@ -180,6 +180,36 @@ def test_a_large_group_of_copies_that_hardly_link(spark, monkeypatch, difference
     assert pairs <= 20 * len(docs) and sum(name == "ngram-leaders" for name, _ in made) <= levels
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_few_members_far_from_a_leader_are_not_listed(spark, monkeypatch, few):
+    """Pairs that share a passage with others: links between members far from the leader are found pair by pair."""
+    texts = [""] * 24
+    for g in range(6):  # two pairs of near copies share a passage; each part of the rows holds one text of the four
+        for turn, (kind, half) in enumerate((("a", 0), ("a", 1), ("b", 0), ("b", 1))):
+            words = [f"s{g}-{i}" for i in range(60)] + [f"{kind}{g}-{i}" for i in range(150)]
+            words[80 + 90 * half] = f"x{kind}{g}-{half}"
+            texts[6 * turn + g] = " ".join(words)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    named = {i: i for i in range(len(texts))}
+    for i, j in ((i, j) for j in range(len(texts)) for i in range(j)):
+        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            named = {k: min(named[i], named[j]) if v in (named[i], named[j]) else v for k, v in named.items()}
+    listed, real = [], ngramjoin.stage
+
+    def spy(df, name, by=()):
+        out = real(df, name, by)
+        if name == "ngram-difference-postings":
+            listed.append(out.filter("band = 1").count())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "stage", spy)
+    monkeypatch.setattr(ngramjoin, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(ngramjoin, "SMALL_DIFFERENCE", few)
+    found = ngramjoin.ngram_groups(documents(spark, texts), parts=85).collect()
+    assert {r.doc_id: r.component_id for r in found} == named and len(set(named.values())) == 12
+    assert listed and (sum(listed) == 0) == (few == 64)
+
+
 def test_members_inside_a_larger_leader_keep_their_links(spark):
     """Sets that lie within twice as large ones, and link only by what they share inside of them."""
     passages = {kind: [[f"{kind}{i}-{j}" for j in range(n)] for i in range(16)] for kind, n in (("p", 69), ("q", 60))}
