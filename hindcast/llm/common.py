@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 4 << 20
 
 _local_dir: str | None = None
+#: Folders of ``stage_buckets`` and their names in the catalog.
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +52,19 @@ def stage(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stage``, in hash buckets by a column: joins on it don't move the rows again.
+
+    Buckets need a table in the session's catalog; ``unstage`` drops it with its files.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    _tables[path.rpartition("/")[2]] = table
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads.
 
@@ -60,6 +75,8 @@ def unstage(df: DataFrame) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         while "=" in folder.getName():  # a table in folders by columns
             folder = folder.getParent()
+        if folder.getName() in _tables:
+            spark.sql(f"DROP TABLE {_tables.pop(folder.getName())}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     spark._jvm.System.gc()
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, stage, text_buffers, unstage
+from .common import chunks, stage, stage_buckets, text_buffers, unstage
 from .graph import connected_components, contract, forest, labels
 from .words import LOWER, NOT_SPACE, U64, hashes, mix, shingles, spans
 
@@ -181,26 +181,24 @@ def _filter_bits(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def _candidate_sets(docs: DataFrame, small: DataFrame, large: DataFrame, k: int, frequency, twins: frozenset[int]) -> tuple[DataFrame, DataFrame]:
-    """(c, own): the sets of the classes (c) in small and in large buckets, staged apart; made anew
+def _candidate_sets(docs: DataFrame, small: DataFrame, large: DataFrame, k: int, frequency, twins: frozenset[int]) -> DataFrame:
+    """(c, own): the sets of the classes (c) in small and in large buckets, staged in buckets by class; made anew
     from the texts in one pass, for documents that a filter of bounded size lets through."""
-    kinds = small.select("c", F.lit(True).alias("small")).unionByName(large.select("c", F.lit(False).alias("small")))
-    kinds = kinds.groupBy("c").agg(F.max("small").alias("small"), F.max(~F.col("small")).alias("large"))
-    kinds = stage(kinds, "ngram-candidates")
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(kinds))
-    made = docs.select("text").mapInArrow(_members(k, wanted, frequency, twins), "c long, own array<long>")
-    sets = made.groupBy("c").agg(F.any_value("own").alias("own")).join(kinds, "c")
-    sets = stage(sets, "ngram-sets", by=("small", "large"))
-    wanted.destroy()
-    unstage(kinds)
-    return sets.filter("small").select("c", "own"), sets.filter("large").select("c", "own")
+    wanted = stage(small.unionByName(large).distinct(), "ngram-candidates")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+    made = docs.select("text").mapInArrow(_members(k, bits, frequency, twins), "c long, own array<long>")
+    sets = made.groupBy("c").agg(F.any_value("own").alias("own")).join(wanted, "c", "left_semi")
+    sets = stage_buckets(sets, "ngram-sets", "c")
+    bits.destroy()
+    unstage(wanted)
+    return sets
 
 
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their sets, own_a and own_b; only sets that a pair names are moved."""
+    """The pairs (a, b) with their sets, own_a and own_b. The sets stand in buckets by class: of them only
+    own_a is moved, once a pair."""
     left = pairs.join(sets.select(F.col("c").alias("a"), F.col("own").alias("own_a")), "a")
-    named = sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")).join(pairs.select("b").distinct(), "b", "left_semi")
-    return left.join(named, "b")
+    return left.join(sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")), "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, parts: int, of: int) -> DataFrame | None:
@@ -258,7 +256,8 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     share some of their differences. Those are indexed like sets: rarest first, as many as the
     least demand of a partner asks for. Members whose shared differences can't meet any partner's
     demand go first, most of a group of near copies that don't link; so no pairs of the whole
-    bucket are made.
+    bucket are made. Up to SMALL_DIFFERENCE such members of a leader are held against each other with their
+    whole differences instead, which tells their links exactly.
     That serves members near the leader (|D| <= n), and those of which the leader holds so much that
     all that a link asks for may lie in it (common >= t n, t = parts / of), such as members inside a
     larger leader. Of members far from it (2 |D| > n) what the leader lacks is indexed, by the prefix that a link asks
@@ -318,29 +317,42 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
         least = F.col("s") + F.when(F.col("inside"), F.col("s_out")).otherwise(F.col("s_all"))
         return F.ceil(F.greatest(least, F.lit(1)) / (2 * (of + parts)))
 
-    live = stage(able(live, F.col("d")), "ngram-differences")
-    bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"))
-    # Of differences in one order for all, the first that a pair shares is among the first d - demand + 1 of
-    # each. Members that share none of those with another one go, before whole differences are listed.
-    first = live.join(bounds, "a").select("a", "b", F.explode(F.slice(F.array_sort("diff"), F.lit(1), F.greatest(F.col("d") - demand() + 1, F.lit(0)).cast("int"))).alias("e"))
-    met = first.join(first.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"]).select("a", "b").distinct()
-    live = stage(live.join(met, ["a", "b"], "left_semi"), "ngram-differences")
-    own = live.select("a", "b", F.explode("diff").alias("e"))
-    held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
-    live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"])  # r: the differences that several hold
-    live = stage(able(live, F.col("r")).drop("r"), "ngram-differences")
-    own = live.select("a", "b", F.explode("diff").alias("e"))
-    held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
-    mine = Window.partitionBy("a", "b")
-    placed = held.withColumns({"turn": F.row_number().over(mine.orderBy("held", "e")), "r": F.count("*").over(mine)})
-    bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"))
-    placed = placed.join(live.drop("diff"), ["a", "b"]).join(bounds, "a").withColumn("at", F.col("d") - F.col("r") + F.col("turn"))
-    placed = placed.withColumns({"left": F.col("d") - F.col("at") + 1, "band": F.lit(0), "c": F.col("b")})
-    least = F.col("s") + F.when(F.col("inside"), F.col("s_out")).otherwise(F.col("s_all"))
-    near = placed.filter(2 * (of + parts) * F.col("left") >= F.greatest(least, F.lit(1)))
+    near = able(live, F.col("d"))
+    near = stage(near.join(near.groupBy("a").agg(F.count("*").alias("many")), "a"), "ngram-differences")
+    # Few members near a leader are held against each other as whole rows too, and all is known of them then.
+    pick = near.filter(F.col("many") <= SMALL_DIFFERENCE).select("a", "b", "d", "s", "comp", "inside", "diff")
+    pick2 = pick.select("a", *(F.col(x).alias(f"{x}2") for x in ("b", "d", "s", "comp", "inside", "diff")))
+    apart = (F.col("b") < F.col("b2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2"))
+    meets = lambda shared: 2 * (of + parts) * shared >= F.col("s") + F.col("s2")
+    pick = pick.join(pick2, "a").filter(apart & meets(F.least("d", "d2"))).filter(meets(F.size(F.array_intersect("diff", "diff2"))))
+    close = stage(pick.select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct(), "ngram-links")
     names = ("a", "e", "band", "c", *fields, "left")
-    posted = stage(near.select(*names).unionByName(far.select(*names)), "ngram-difference-postings")
+    posted = far.select(*names)
+    live = near.filter(F.col("many") > SMALL_DIFFERENCE).drop("many")
+    if not live.isEmpty():
+        bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"))
+        # Of differences in one order for all, the first that a pair shares is among the first d - demand + 1 of
+        # each. Members that share none of those with another one go, before whole differences are listed.
+        first = live.join(bounds, "a").select("a", "b", F.explode(F.slice(F.array_sort("diff"), F.lit(1), F.greatest(F.col("d") - demand() + 1, F.lit(0)).cast("int"))).alias("e"))
+        met = first.join(first.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"]).select("a", "b").distinct()
+        live = stage(live.join(met, ["a", "b"], "left_semi"), "ngram-differences")
+        own = live.select("a", "b", F.explode("diff").alias("e"))
+        held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+        live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"])  # r: the differences that several hold
+        live = stage(able(live, F.col("r")).drop("r"), "ngram-differences")
+        own = live.select("a", "b", F.explode("diff").alias("e"))
+        held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+        mine = Window.partitionBy("a", "b")
+        placed = held.withColumns({"turn": F.row_number().over(mine.orderBy("held", "e")), "r": F.count("*").over(mine)})
+        bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"))
+        placed = placed.join(live.drop("diff"), ["a", "b"]).join(bounds, "a").withColumn("at", F.col("d") - F.col("r") + F.col("turn"))
+        placed = placed.withColumns({"left": F.col("d") - F.col("at") + 1, "band": F.lit(0), "c": F.col("b")})
+        least = F.col("s") + F.when(F.col("inside"), F.col("s_out")).otherwise(F.col("s_all"))
+        listed = placed.filter(2 * (of + parts) * F.col("left") >= F.greatest(least, F.lit(1)))
+        posted = listed.select(*names).unionByName(posted)
+    posted = stage(posted, "ngram-difference-postings")
     unstage(diffs)
+    unstage(near)
     size = posted.groupBy("a", "e", "band").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     posted = posted.join(size.select("a", "e", "band", (F.lit(not last) & (F.col("held") > SMALL_DIFFERENCE)).alias("large")), ["a", "e", "band"])
     one = posted.filter("not large")
@@ -352,8 +364,10 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     both = one.join(two, ["a", "e", "band"]).filter(fits).select("c", "c2").unionByName(few.select("c", "c2"))
     pairs = stage(both.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "ngram-pairs")
     unstage(beyond)
-    if not pairs.isEmpty():
-        links.add(_verified(pairs, sets, parts, of), label=not last)
+    found = None if pairs.isEmpty() else _verified(pairs, sets, parts, of)
+    if not close.isEmpty():
+        found = close if found is None else close.unionByName(found)
+    links.add(found, label=not last)
     rest = stage(posted.filter("large").select(F.col("a").alias("g"), F.col("e").alias("h"), "band", "c", "n", (F.col("d") / F.col("n")).alias("first"), F.lit(1.0).alias("ratio")), "ngram-live")
     return None if rest.isEmpty() else rest
 
@@ -442,7 +456,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     live = large.select(F.lit(0).cast("long").alias("g"), "h", F.explode(band).alias("band"), "c", "n", F.col("lone").alias("first"), "ratio")
     led = _leaders(live.withColumn("comp", F.col("c")))
     unstage(parted)
-    sets, sets_large = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), led.select(F.explode(F.array("a", "b")).alias("c")), k, frequency, twins)
+    sets = _candidate_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), led.select(F.explode(F.array("a", "b")).alias("c")), k, frequency, twins)
     links = _Links()
     links.add(_verified(pairs, sets, parts, of))
     unstage(pairs)
@@ -450,7 +464,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     level = 0
     while not led.isEmpty():
         level += 1
-        live = _by_leader(led, sets_large, links, parts, of, last=level == LEVELS)
+        live = _by_leader(led, sets, links, parts, of, last=level == LEVELS)
         unstage(led)
         if live is None:
             break

@@ -210,6 +210,54 @@ def test_few_members_far_from_a_leader_are_not_listed(spark, monkeypatch, few):
     assert listed and (sum(listed) == 0) == (few == 64)
 
 
+def test_few_members_near_a_leader_are_not_listed(spark, monkeypatch):
+    """Near copies that hardly link, and pairs of them that do: found pair by pair, without a list of their differences."""
+    rng = random.Random(64)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(60):
+        own, edits = list(base), 2 + i % 4
+        if i % 5 == 0:  # a second edition, and copies of it
+            for at in range(10, 60, 10):
+                own[at] = f"second{at}"
+            edits = i % 3
+        for at in rng.sample(range(8, 140), edits):
+            own[at] = f"own{i}-{at}" if i % 7 else "shared"
+        texts.append(" ".join(own))
+    listed, real = [], ngramjoin.stage
+
+    def spy(df, name, by=()):
+        out = real(df, name, by)
+        if name == "ngram-difference-postings":
+            listed.append(out.filter("band = 0").count())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "stage", spy)
+    got = ngramjoin.ngram_groups(documents(spark, texts), k=4, parts=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(list(enumerate(texts)), 4, 85, 100)
+    assert listed and sum(listed) == 0
+
+
+def test_sets_of_candidates_are_moved_once_a_pair(spark, monkeypatch):
+    """The sets stand in buckets by class, so only the pairs and one set of each are shuffled; the table goes with its files."""
+    monkeypatch.setattr(ngramjoin, "SMALL_BUCKET", 2)
+    moved, real = [], ngramjoin._beside
+
+    def spy(pairs, sets):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        moved.append(real(pairs, sets)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        return real(pairs, sets)
+
+    monkeypatch.setattr(ngramjoin, "_beside", spy)
+    texts = [" ".join([f"w{j}" for j in range(100)] + [f"own{i}"]) for i in range(6)]
+    got = ngramjoin.ngram_groups(documents(spark, texts), k=4, parts=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(list(enumerate(texts)), 4, 85, 100)
+    assert moved and max(moved) == 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("ngram")]
+
+
 def test_members_inside_a_larger_leader_keep_their_links(spark):
     """Sets that lie within twice as large ones, and link only by what they share inside of them."""
     passages = {kind: [[f"{kind}{i}-{j}" for j in range(n)] for i in range(16)] for kind, n in (("p", 69), ("q", 60))}
