@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A task works on slices of about this many bytes of text, whatever the batch size.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _local_dir: str | None = None
 #: Folders of ``stage_buckets`` and their names in the catalog.
@@ -79,6 +80,7 @@ def unstage(df: DataFrame) -> None:
             spark.sql(f"DROP TABLE {_tables.pop(folder.getName())}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     spark._jvm.System.gc()
+    release()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +96,19 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept from task to task, and the driver throughout."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of at most about ``most`` bytes of text (one row at least)."""
+    """Cut batches into slices of at most about ``most`` bytes of text (one row at least).
+
+    What the slices of a batch took and left is released after it.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -106,3 +119,5 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+        del batch, _, at
+        release()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Runs of letters that one call of the tokenizer encodes.
 RUNS = 500
 

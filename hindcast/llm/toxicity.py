@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_buffers
+from .common import chunks, release, text_buffers
 from .words import ALNUM, LOWER, U64, hashes, mix, spans
 
 #: Words in a window, and words from one window's start to the next one's: a passage of up to 17 words
@@ -112,9 +112,10 @@ def windows(number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     turn = np.arange(len(text)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
     start = np.minimum(turn * STRIDE, np.maximum(0, count[text] - WINDOW))
     place = start[:, None] + np.arange(WINDOW)
-    inside = place < count[text][:, None]
-    padded = np.r_[number, 0]
-    return np.where(inside, padded[np.where(inside, at[text][:, None] + place, len(number))], 0), text
+    outside = place >= count[text][:, None]
+    place += at[text][:, None]
+    place[outside] = len(number)
+    return np.r_[number, 0][place], text
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -276,6 +277,8 @@ def fit(texts: list[str], toxic: list[int], share_toxic: float, least_epochs: in
     turn = np.arange(len(order)) - np.searchsorted(text[order], text[order])
     use = order[(turn < windows_a_text) & ~back[text[order]]]
     rows, text = rows[use], text[use]
+    del number, at, order, turn
+    release()
     label = toxic[text].astype(np.float32)
     on = np.ones(len(rows), bool)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
@@ -336,7 +339,10 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_clean:
     # At most most_toxic + most_clean ids: small enough to send to every task.
     sample = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(sample.collect())
-    return fit([r.text for r in rows], [r.toxic for r in rows], count.get(1, 0) / max(1, sum(count.values())))
+    scorer = fit([r.text for r in rows], [r.toxic for r in rows], count.get(1, 0) / max(1, sum(count.values())))
+    del rows
+    release()
+    return scorer
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -355,7 +361,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.score(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -369,7 +375,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", SLICE):
             yield batch.filter(pa.array(scorer.score(batch.column("text")) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

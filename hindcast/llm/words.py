@@ -24,6 +24,8 @@ _BASE = int(_random.integers(1, 2**63, dtype=np.uint64)) | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _STEP = _random.integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
 _powers: dict[int, np.ndarray] = {}
+#: Powers that are kept, enough for a slice of texts; a longer text has its own made.
+_KEPT = (1 << 20) + 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,9 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        grown = np.full(max(n, 1 << 20), base, np.uint64)
-        grown[0] = 1
-        have = _powers[base] = np.multiply.accumulate(grown)
+        have = np.full(max(n, _KEPT), base, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if len(have) == _KEPT:
+            _powers[base] = have
     return have[:n]
 
 
