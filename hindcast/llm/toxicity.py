@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -338,11 +339,18 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_clean:
     drawn = [known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most) for kind, most in ((1, most_toxic), (0, most_clean))]
     # At most most_toxic + most_clean ids: small enough to send to every task.
     sample = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = sorted(sample.collect())
-    scorer = fit([r.text for r in rows], [r.toxic for r in rows], count.get(1, 0) / max(1, sum(count.values())))
-    del rows
-    release()
-    return scorer
+    share = count.get(1, 0) / max(1, sum(count.values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made = pickle.dumps(fit([text for _, text, _ in rows], [toxic for _, _, toxic in rows], share))
+        del rows
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["scorer"])
+
+    # One task fits it, so that the driver, which lives on, takes the network alone and not what the fit needs.
+    made = sample.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "scorer binary").collect()
+    return pickle.loads(made[0].scorer) if made else fit([], [], share)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -354,8 +362,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     of repeated ones 1 wins; without both classes every score is the share of 1. Only texts are
     inputs. Extra columns are not read.
 
-    Plan: the network is fitted on the driver, on a bounded sample (see ``train``), and sent to the
-    tasks, a few MB at any size of the corpus; texts are scored in one narrow pass, slice by slice.
+    Plan: the network is fitted by one task, on a bounded sample (see ``train``), and sent to the
+    others, a few MB at any size of the corpus; texts are scored in one narrow pass, slice by slice.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 

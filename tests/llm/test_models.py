@@ -271,6 +271,19 @@ def test_toxicity_without_both_classes(spark):
         assert len(got) == 2 and all(r.predicted == 0 for r in got)
 
 
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    """What the fit needs stays in a task; the driver takes the network alone."""
+
+    def fail(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(toxicity, "words_in_slices", fail)  # tasks import the module anew
+    texts, labels = toxic_corpus(200, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = toxicity.score_toxicity(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")).collect()
+    assert len(got) == 200 and len({r.score for r in got}) > 1
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 32, 33, 56, 57, 200):
         rows, text = toxicity.windows(np.arange(1, n + 1), np.array([0, n, n]))
