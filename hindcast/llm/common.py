@@ -67,10 +67,7 @@ def stage_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads.
-
-    The shuffle files of plans that made it go when the JVM collects them, so that is asked for.
-    """
+    """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
@@ -79,6 +76,11 @@ def unstage(df: DataFrame) -> None:
         if folder.getName() in _tables:
             spark.sql(f"DROP TABLE {_tables.pop(folder.getName())}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_shuffles(spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let shuffle files of plans that have run go: they do when the JVM collects them, so that is asked for."""
     spark._jvm.System.gc()
     release()
 

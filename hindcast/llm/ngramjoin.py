@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, stage, stage_buckets, text_buffers, unstage
+from .common import chunks, drop_shuffles, stage, stage_buckets, text_buffers, unstage
 from .graph import connected_components, contract, forest, labels
 from .words import LOWER, NOT_SPACE, U64, hashes, mix, shingles, spans
 
@@ -27,8 +27,9 @@ MOST_MATCHES = 8
 CHANCE, VERIFY_COST = 0.25, 32
 #: An n-gram estimated in at least 2 ** HEAVY_LOG documents is never gathered in one place.
 HEAVY_LOG = 10
-#: Buckets of at most this many sets make all their pairs at once; larger ones go by a leader.
-SMALL_BUCKET = 8
+#: Buckets of at most this many sets make all their pairs at once, which are short rows and few of them
+#: candidates; larger ones go by a leader, which moves whole sets.
+SMALL_BUCKET = 32
 #: The same for buckets of differences, whose pairs also have to be in place before they are made.
 SMALL_DIFFERENCE = 64
 #: Levels of leaders; what is still large then makes its pairs, as far as their places allow a link.
@@ -417,6 +418,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     posted = posted.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket)}).filter("spread > 0 or low < high")
     # Equal sets were posted once a task: one of each stays.
     raw = stage(posted.select("h", "spread", "c", "nm").distinct(), "ngram-postings")
+    drop_shuffles(spark)
     posted = raw.select("h", "spread", "c", F.shiftright("nm", 32).alias("n"), F.shiftright("nm", 8).bitwiseAND((1 << 24) - 1).alias("at"), F.col("nm").bitwiseAND(255).alias("m"))
     held = stage(posted.groupBy("h").agg(F.count("*").alias("held"), F.min("m").alias("low")), "ngram-held")
     # How far a set can reach: of its n-grams up to place ``at`` only those that others hold are shared,
@@ -440,6 +442,9 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # small ones the pair's large buckets (g) may be missing.
     two = small.select("h", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "at", "m", "reach", "g")))
     near = (of * F.least("n", "n2") >= parts * F.greatest("n", "n2")) & (F.col("n2") <= F.col("reach")) & (F.col("n") <= F.col("reach2"))
+    # N-grams stand in one order for all: what two sets share lies before the shared one's place in both, or behind it.
+    around = F.least("at", "at2") + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    near = near & ((of + parts) * around >= parts * (F.col("n") + F.col("n2")))
     more = F.least(F.min("g"), F.min("g2"))
     # What lies behind the last shared n-gram may all be shared.
     rest = F.least(F.min(F.col("n") - F.col("at")), F.min(F.col("n2") - F.col("at2"))) + more
