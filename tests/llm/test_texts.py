@@ -238,6 +238,26 @@ def test_few_members_near_a_leader_are_not_listed(spark, monkeypatch):
     assert listed and sum(listed) == 0
 
 
+def test_texts_that_share_a_passage_with_many_move_no_sets(spark, monkeypatch):
+    """Texts of which each shares three passages with eleven others each, another one for any two: their n-grams tell them apart."""
+    monkeypatch.setattr(ngramjoin, "_frequency_table", lambda counts: np.zeros(1 << ngramjoin.FREQUENCY_BITS, np.uint8))
+    moved, real = [], ngramjoin._candidate_sets
+
+    def spy(docs, small, large, *rest):
+        moved.append(small.unionByName(large).distinct().count())
+        return real(docs, small, large, *rest)
+
+    monkeypatch.setattr(ngramjoin, "_candidate_sets", spy)
+    texts = []
+    for x, y in ((x, y) for x in range(12) for y in range(12)):
+        passages = [f"{kind}{at}-{j}" for kind, at in (("x", x), ("y", y), ("z", (x + y) % 12)) for j in range(33)]
+        texts.append(" ".join(passages + [f"own{x}-{y}-{j}" for j in range(500)]))
+    texts.append(texts[0] + " more")
+    got = ngramjoin.ngram_groups(documents(spark, texts), k=4, parts=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(list(enumerate(texts)), 4, 85, 100)
+    assert moved and sum(moved) <= 40
+
+
 def test_sets_of_candidates_are_moved_once_a_pair(spark, monkeypatch):
     """The sets stand in buckets by class, so only the pairs and one set of each are shuffled; the table goes with its files."""
     monkeypatch.setattr(ngramjoin, "SMALL_BUCKET", 2)
