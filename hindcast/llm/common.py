@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: A task works on slices of about this many bytes of text, whatever the batch size.
@@ -53,6 +54,16 @@ def stage(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def moved(df: DataFrame) -> DataFrame:
+    """df as one side of a join for which both sides are shuffled and neither goes through the driver.
+
+    The planner takes a staged table for as large as its file, and a list for one element. Rows that
+    repeat their values or have long lists, exploded ones above all, are many times larger in memory,
+    so a table that seems small enough to be broadcast may fill the driver.
+    """
+    return df.hint("merge")
+
+
 def stage_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     """As ``stage``, in hash buckets by a column: joins on it don't move the rows again.
 
@@ -82,9 +93,27 @@ def unstage(df: DataFrame) -> None:
 def drop_shuffles(spark: SparkSession) -> None:
     """Let shuffle files of plans that have run go: they do when the JVM collects them, so that is asked for."""
     spark._jvm.System.gc()
+    trim(spark)
     release()
 
 
+def trim(spark: SparkSession) -> str:
+    """Let the driver's JVM give freed native memory back, as ``release`` does for Python; what it says of it.
+
+    Planning and compiling many plans leaves a lot of that. JVMs without this command (jcmd
+    System.trim_native_heap) say nothing.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    methods = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+    try:
+        return next(m for m in methods if m.getName() == "invoke").invoke(server, args)
+    except Py4JJavaError:
+        return ""
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets into them; nulls are empty."""
     column = column.cast(pa.large_binary())

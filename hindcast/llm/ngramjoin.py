@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_shuffles, stage, stage_buckets, text_buffers, unstage
+from .common import chunks, drop_shuffles, moved, stage, stage_buckets, text_buffers, unstage
 from .graph import connected_components, contract, forest, labels
 from .words import LOWER, NOT_SPACE, U64, hashes, mix, shingles, spans
 
@@ -188,7 +188,7 @@ def _candidate_sets(docs: DataFrame, small: DataFrame, large: DataFrame, k: int,
     wanted = stage(small.unionByName(large).distinct(), "ngram-candidates")
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
     made = docs.select("text").mapInArrow(_members(k, bits, frequency, twins), "c long, own array<long>")
-    sets = made.groupBy("c").agg(F.any_value("own").alias("own")).join(wanted, "c", "left_semi")
+    sets = made.groupBy("c").agg(F.any_value("own").alias("own")).join(moved(wanted), "c", "left_semi")
     sets = stage_buckets(sets, "ngram-sets", "c")
     bits.destroy()
     unstage(wanted)
@@ -198,8 +198,8 @@ def _candidate_sets(docs: DataFrame, small: DataFrame, large: DataFrame, k: int,
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with their sets, own_a and own_b. The sets stand in buckets by class: of them only
     own_a is moved, once a pair."""
-    left = pairs.join(sets.select(F.col("c").alias("a"), F.col("own").alias("own_a")), "a")
-    return left.join(sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")), "b")
+    left = moved(pairs).join(sets.select(F.col("c").alias("a"), F.col("own").alias("own_a")), "a")
+    return moved(left).join(sets.select(F.col("c").alias("b"), F.col("own").alias("own_b")), "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, parts: int, of: int) -> DataFrame | None:
@@ -225,7 +225,9 @@ class _Links:
         if label:  # one step of contraction is enough to tell which pairs a link would be needless for
             grown = found if self._trees is None else found.unionByName(self._trees.select(F.col("u").alias("a"), F.col("v").alias("b")))
             self._trees = contract(forest(grown))
-            self.label = labels(self._trees, "c", "comp")
+            old, self.label = self.label, stage(labels(self._trees, "c", "comp"), "ngram-labels")
+            if old is not None:
+                unstage(old)
 
     def labelled(self, df: DataFrame, c: str = "c", comp: str = "comp") -> DataFrame:
         if self.label is None:
@@ -286,7 +288,8 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     # Members inside are connected with the leader: of a pair at least one is outside.
     live = links.labelled(links.labelled(diffs, "b", "comp"), "a", "comp_a")
     live = live.select("a", "b", "n", "d", "s", "diff", "own", "common", "comp", (F.col("linked") | (F.col("comp") == F.col("comp_a"))).alias("inside"))
-    live = live.join(live.filter("not inside").select("a").distinct(), "a", "left_semi")
+    live = stage(live.join(live.filter("not inside").select("a").distinct(), "a", "left_semi"), "ngram-differences")  # several plans read it
+    unstage(diffs)
     fields = ("n", "d", "s", "common", "comp", "inside")
     far = live.filter("own is not null").select("a", F.col("b").alias("c"), *fields, "own")
     beyond = stage(far.join(far.groupBy("a").agg(F.count("*").alias("many")).filter("many > 1"), "a"), "ngram-differences")
@@ -294,16 +297,16 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     few = beyond.filter(F.col("many") <= SMALL_DIFFERENCE).drop("many")
     few2 = few.select("a", *(F.col(x).alias(f"{x}2") for x in ("c", *fields, "own")))
     alike = of * F.least("n", "n2") >= parts * F.greatest("n", "n2")
-    few = few.join(few2, "a").filter((F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2")) & alike)
+    few = moved(few).join(few2, "a").filter((F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2")) & alike)
     # Lists are in one order for all, so the first n-gram that two share is the first of both that is shared.
     few = few.withColumn("e", F.get(F.array_intersect("own", "own2"), F.lit(0))).filter("e is not null")
     rest, rest2 = (F.col(f"n{x}") - F.col(f"common{x}") - F.array_position(f"own{x}", F.col("e")) + 1 for x in ("", "2"))
     few = few.filter((of + parts) * (F.least(rest, rest2) + F.least("common", "common2")) >= parts * (F.col("n") + F.col("n2")))
     far = beyond.filter(F.col("many") > SMALL_DIFFERENCE)
     listed = far.select("a", "c", F.posexplode("own").alias("at", "e"))
-    listed = listed.join(listed.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
-    far = listed.join(far.select("a", "c", *fields), ["a", "c"]).withColumns({"band": F.lit(1), "left": F.col("n") - F.col("common") - F.col("at")})
-    live = live.filter("diff is not null").drop("own")
+    listed = moved(listed).join(listed.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+    far = moved(listed).join(far.select("a", "c", *fields), ["a", "c"]).withColumns({"band": F.lit(1), "left": F.col("n") - F.col("common") - F.col("at")})
+    live, outer = live.filter("diff is not null").drop("own"), live
     out = lambda x: F.when(~F.col("inside"), F.col(x))
 
     def able(live: DataFrame, r: Column) -> DataFrame:
@@ -325,7 +328,7 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
     pick2 = pick.select("a", *(F.col(x).alias(f"{x}2") for x in ("b", "d", "s", "comp", "inside", "diff")))
     apart = (F.col("b") < F.col("b2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2"))
     meets = lambda shared: 2 * (of + parts) * shared >= F.col("s") + F.col("s2")
-    pick = pick.join(pick2, "a").filter(apart & meets(F.least("d", "d2"))).filter(meets(F.size(F.array_intersect("diff", "diff2"))))
+    pick = moved(pick).join(pick2, "a").filter(apart & meets(F.least("d", "d2"))).filter(meets(F.size(F.array_intersect("diff", "diff2"))))
     close = stage(pick.select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct(), "ngram-links")
     names = ("a", "e", "band", "c", *fields, "left")
     posted = far.select(*names)
@@ -335,34 +338,36 @@ def _by_leader(pairs: DataFrame, sets: DataFrame, links: _Links, parts: int, of:
         # Of differences in one order for all, the first that a pair shares is among the first d - demand + 1 of
         # each. Members that share none of those with another one go, before whole differences are listed.
         first = live.join(bounds, "a").select("a", "b", F.explode(F.slice(F.array_sort("diff"), F.lit(1), F.greatest(F.col("d") - demand() + 1, F.lit(0)).cast("int"))).alias("e"))
-        met = first.join(first.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"]).select("a", "b").distinct()
+        met = moved(first).join(first.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"]).select("a", "b").distinct()
         live = stage(live.join(met, ["a", "b"], "left_semi"), "ngram-differences")
         own = live.select("a", "b", F.explode("diff").alias("e"))
-        held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
-        live = live.join(held.groupBy("a", "b").agg(F.count("*").alias("r")), ["a", "b"])  # r: the differences that several hold
+        held = moved(own).join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+        several = stage(held.groupBy("a", "b").agg(F.count("*").alias("r")), "ngram-differences")
+        live = moved(live).join(several, ["a", "b"])  # r: the differences that several hold
         live = stage(able(live, F.col("r")).drop("r"), "ngram-differences")
+        unstage(several)
         own = live.select("a", "b", F.explode("diff").alias("e"))
-        held = own.join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
+        held = moved(own).join(own.groupBy("a", "e").agg(F.count("*").alias("held")).filter("held > 1"), ["a", "e"])
         mine = Window.partitionBy("a", "b")
         placed = held.withColumns({"turn": F.row_number().over(mine.orderBy("held", "e")), "r": F.count("*").over(mine)})
         bounds = live.groupBy("a").agg(F.min("s").alias("s_all"), F.min(out("s")).alias("s_out"))
-        placed = placed.join(live.drop("diff"), ["a", "b"]).join(bounds, "a").withColumn("at", F.col("d") - F.col("r") + F.col("turn"))
+        placed = moved(placed).join(live.drop("diff"), ["a", "b"]).join(bounds, "a").withColumn("at", F.col("d") - F.col("r") + F.col("turn"))
         placed = placed.withColumns({"left": F.col("d") - F.col("at") + 1, "band": F.lit(0), "c": F.col("b")})
         least = F.col("s") + F.when(F.col("inside"), F.col("s_out")).otherwise(F.col("s_all"))
         listed = placed.filter(2 * (of + parts) * F.col("left") >= F.greatest(least, F.lit(1)))
         posted = listed.select(*names).unionByName(posted)
     posted = stage(posted, "ngram-difference-postings")
-    unstage(diffs)
+    unstage(outer)
     unstage(near)
     size = posted.groupBy("a", "e", "band").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    posted = posted.join(size.select("a", "e", "band", (F.lit(not last) & (F.col("held") > SMALL_DIFFERENCE)).alias("large")), ["a", "e", "band"])
+    posted = moved(posted).join(size.select("a", "e", "band", (F.lit(not last) & (F.col("held") > SMALL_DIFFERENCE)).alias("large")), ["a", "e", "band"])
     one = posted.filter("not large")
     two = one.select("a", "e", "band", *(F.col(x).alias(f"{x}2") for x in ("c", *fields, "left")))
     # What is left from the shared place on (and, of far ones, what the leader may have of both) meets the demand.
     left = F.least("left", "left2")
     meets = F.when(F.col("band") == 0, 2 * (of + parts) * left >= F.col("s") + F.col("s2")).otherwise((of + parts) * (left + F.least("common", "common2")) >= parts * (F.col("n") + F.col("n2")))
     fits = (F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("inside") & F.col("inside2")) & meets
-    both = one.join(two, ["a", "e", "band"]).filter(fits).select("c", "c2").unionByName(few.select("c", "c2"))
+    both = moved(one).join(two, ["a", "e", "band"]).filter(fits).select("c", "c2").unionByName(few.select("c", "c2"))
     pairs = stage(both.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "ngram-pairs")
     unstage(beyond)
     found = None if pairs.isEmpty() else _verified(pairs, sets, parts, of)
@@ -448,7 +453,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = F.least(F.min("g"), F.min("g2"))
     # What lies behind the last shared n-gram may all be shared.
     rest = F.least(F.min(F.col("n") - F.col("at")), F.min(F.col("n2") - F.col("at2"))) + more
-    counted = small.join(two, "h").filter((F.col("c") < F.col("c2")) & near).groupBy(F.col("c").alias("a"), F.col("c2").alias("b")).agg(
+    counted = moved(small).join(two, "h").filter((F.col("c") < F.col("c2")) & near).groupBy(F.col("c").alias("a"), F.col("c2").alias("b")).agg(
         F.count("*").alias("shared"), (F.least(F.min("m"), F.min("m2")) - more).alias("need"), rest.alias("rest"), F.min(F.col("n") + F.col("n2")).alias("size")
     )
     enough = (F.col("shared") >= F.col("need")) & ((of + parts) * (F.col("shared") + F.col("rest")) >= parts * F.col("size"))
@@ -484,13 +489,13 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named = classes.filter("rows > 1").select("c", F.col("first").alias("component_id"), F.col("c").alias("comp"), F.lit(0).cast("long").alias("n_links"))
     else:
         degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-        linked = classes.join(component, "c", "left").filter("rows > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "c"))
+        linked = classes.join(moved(component), "c", "left").filter("rows > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "c"))
         smallest = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
         named = linked.join(smallest, "comp").join(degree, "c", "left").select("c", "component_id", "comp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     named = stage(named, "ngram-named")
     # A key that can't match spreads the rows without words.
     own = known.withColumn("key", F.coalesce("c", F.xxhash64("doc_id")))
-    out = own.join(named.withColumnRenamed("c", "key"), "key", "left")
+    out = own.join(moved(named.withColumnRenamed("c", "key")), "key", "left")
     none = F.col("c").isNull()
     out = out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.llm import decontam, linededup, ngramjoin, packing, secrets
+from hindcast.llm import common, decontam, linededup, ngramjoin, packing, secrets
 from hindcast.llm.queries import word_bpe_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key long"
@@ -258,6 +258,41 @@ def test_texts_that_share_a_passage_with_many_move_no_sets(spark, monkeypatch):
     assert moved and sum(moved) <= 40
 
 
+def test_lists_of_differences_do_not_go_through_the_driver(spark, monkeypatch):
+    """Staged lists look small to the planner: the side of a join that it broadcasts has none, exploded or not, that no shuffle has measured."""
+    sent, real = [], ngramjoin.stage
+
+    def spy(df, name, by=()):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = [len(re.match(r"[\s:+-]*", line)[0]) for line in lines]
+        for i in (i for i, line in enumerate(lines) if "- BroadcastExchange" in line):
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i] or "- Exchange" in lines[j]:
+                    break
+                sent.extend(re.findall(r"explode\((?:diff|own)|(?:own|diff)2#", lines[j]))
+        return real(df, name, by)
+
+    monkeypatch.setattr(ngramjoin, "stage", spy)
+    monkeypatch.setattr(ngramjoin, "SMALL_DIFFERENCE", 4)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(80):
+        own = list(base)
+        for at in rng.sample(range(8, 140), 2 + i % 4):
+            own[at] = f"own{i}-{at}" if i % 7 else "shared"
+        texts.append(" ".join(own))
+    got = ngramjoin.ngram_groups(documents(spark, texts), k=4, parts=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == groups_by_hand(list(enumerate(texts)), 4, 85, 100)
+    assert not sent
+
+
+def test_the_driver_gives_native_memory_back(spark):
+    version = spark._jvm.System.getProperty("java.version").split(".")
+    if [int(x) for x in version if x.isdigit()] >= [17, 0, 9]:
+        assert common.trim(spark).startswith("Trim native heap")
+
+
 def test_sets_of_candidates_are_moved_once_a_pair(spark, monkeypatch):
     """The sets stand in buckets by class, so only the pairs and one set of each are shuffled; the table goes with its files."""
     monkeypatch.setattr(ngramjoin, "SMALL_BUCKET", 2)
